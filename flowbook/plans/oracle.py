@@ -139,7 +139,9 @@ def events_ctes(t0: str, factors: bool = True) -> str:
     if factors:
         lookup = """
   bk AS (
-    SELECT b.*, m.rf_type AS rr_type, m.code IS NOT NULL AS rr_found
+    SELECT b.*, m.rf_type AS rr_type, m.code IS NOT NULL AS rr_found,
+           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR m.code IS NOT NULL)
+            AND b.sc_moc IN (SELECT code FROM fmeta)) AS sc_found
     FROM book b LEFT JOIN fmeta m ON m.code = b.rr_moc),"""
         asof = """
   rr_obs AS (
@@ -150,7 +152,7 @@ def events_ctes(t0: str, factors: bool = True) -> str:
         obs_join = "LEFT JOIN rr_obs o ON o.contract_id = e.contract_id AND o.d = e.event_date AND e.type IN ('RR', 'RRF')"
     else:
         lookup = """
-  bk AS (SELECT b.*, CAST(NULL AS VARCHAR) AS rr_type, false AS rr_found FROM book b),"""
+  bk AS (SELECT b.*, CAST(NULL AS VARCHAR) AS rr_type, false AS rr_found, false AS sc_found FROM book b),"""
         asof = ""
         obs = "CAST(NULL AS DOUBLE)"
         obs_join = ""
@@ -223,7 +225,7 @@ def events_ctes(t0: str, factors: bool = True) -> str:
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc
     FROM s3),
   events AS (
-    SELECT contract_id, event_date, seq, type, currency, sc_moc, obs, obs_value,
+    SELECT contract_id, event_date, seq, type, currency, rr_moc, sc_moc, sc_found, obs, obs_value,
       CASE WHEN type = 'IED' THEN -sgn * (notional + coalesce(pdied, 0.0))
            WHEN type = 'IP' THEN acc
            WHEN type = 'MD' THEN nt_before + acc
@@ -250,3 +252,198 @@ FROM events WHERE {where}"""
 def pam_sql(t0: str = T0, rr: bool = True, prd_td: bool = True) -> str:
     return with_ctes(book_cte(rr=rr, prd_td=prd_td), FACTOR_CTES if rr else "",
                      events_ctes(t0, factors=rr)) + present_events()
+
+
+# The term columns of the two layouts with their positions.
+FULL_COLUMNS = [
+    (4, "status_date"), (5, "role"), (7, "contract_id"), (9, "ip_anchor"), (10, "ip_cycle"),
+    (11, "rate"), (12, "dcc"), (16, "currency"), (17, "deal_date"), (18, "ied"), (19, "md"),
+    (20, "notional"), (21, "prd"), (22, "pprd"), (23, "td"), (24, "ptd"), (25, "sc_moc"),
+    (26, "sc_index"), (30, "rr_anchor"), (31, "rr_cycle"), (32, "rr_spread"), (33, "rr_moc"),
+    (34, "rr_point"), (35, "rr_fixing"), (36, "rr_next"), (37, "rr_mult"), (38, "rr_term"),
+    (39, "pdied"),
+]
+SHORT_COLUMNS = FULL_COLUMNS[:12]
+DATE_COLUMNS = {"status_date", "ip_anchor", "deal_date", "ied", "md", "prd", "td", "rr_anchor"}
+CYCLE_RE = r"^P?(\d+)([DWMQHY])(L?[-+01]?)$"
+PERIOD_RE = r"^P?(\d+)([DWMQHY])$"
+
+
+def _col(name: str) -> str:
+    return f"CAST({name} AS VARCHAR)" if name in DATE_COLUMNS else name
+
+
+def _terms_sql(columns, err: str = "CAST(NULL AS INTEGER)") -> str:
+    sel = ",\n  ".join(
+        f"CASE WHEN err_pos IS NULL OR {pos} < err_pos THEN {_col(n)} END AS {n}" for pos, n in columns)
+    return f"""
+SELECT {sel}, err_pos
+FROM (SELECT *, {err} AS err_pos FROM book)"""
+
+
+DEFECT_ERR = ("CASE WHEN k > 0 AND k % 997 = 0 THEN 11 WHEN k > 0 AND k % 991 = 0 THEN 20 END")
+
+TIME_SPEC_CTES = """
+  lines AS (
+    SELECT CAST(-1 AS BIGINT) AS line_no, '1998-01-01T00;fixture' AS value
+    UNION ALL
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN ';;'
+           ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%dT%H') || ';' || o_orderpriority || ';' || o_orderstatus END
+    FROM orders),
+  toks AS (SELECT line_no, string_split(regexp_replace(value, ';+$', ''), ';') AS t FROM lines),
+  tokens AS (
+    SELECT line_no, CAST(unnest(range(len(t))) AS INTEGER) AS pos, unnest(t) AS token FROM toks)"""
+
+CF_CTE = f"""
+  cf AS (
+    SELECT b.contract_id, b.rr_moc, m.code IS NOT NULL AS rr_found, m.rf_type AS rr_type, b.sc_moc,
+           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR m.code IS NOT NULL) AND ms.code IS NOT NULL) AS sc_found,
+           CASE WHEN m.rf_type = 'TermStructure' THEN {curve_at('0.5')} END AS rr_curve_rate
+    FROM book b LEFT JOIN fmeta m ON m.code = b.rr_moc LEFT JOIN fmeta ms ON ms.code = b.sc_moc)"""
+
+
+def _full(body: str, t0: str = T0) -> str:
+    return with_ctes(book_cte(), FACTOR_CTES, events_ctes(t0)) + body
+
+
+def _nested_body() -> str:
+    def lst(expr, typ):
+        return (f"coalesce(list({expr} ORDER BY event_date, seq) FILTER (WHERE reported), "
+                f"CAST([] AS {typ}[]))")
+    return f"""
+  nested AS (
+    SELECT contract_id,
+      {lst('contract_id', 'VARCHAR')} AS id,
+      {lst("CAST(event_date AS VARCHAR) || 'T00:00Z'", 'VARCHAR')} AS date,
+      {lst('type', 'VARCHAR')} AS type,
+      {lst('currency', 'VARCHAR')} AS currency,
+      {lst(r4('value'), 'DOUBLE')} AS value,
+      {lst(r4('nominal'), 'DOUBLE')} AS nominal,
+      {lst(r4('accrued'), 'DOUBLE')} AS accrued
+    FROM events GROUP BY contract_id)"""
+
+
+FLAT_BODY = f"""
+SELECT CAST(row_number() OVER (PARTITION BY contract_id ORDER BY event_date, seq) - 1 AS INTEGER) AS idx,
+       contract_id AS id, CAST(event_date AS VARCHAR) || 'T00:00Z' AS date, type, currency,
+       {r4('value')} AS value, {r4('nominal')} AS nominal, {r4('accrued')} AS accrued
+FROM events WHERE reported"""
+
+
+def all_sql() -> dict[str, str]:
+    book_only = with_ctes(book_cte())
+    book_defects = with_ctes(book_cte())
+    factors_only = with_ctes(book_cte(), FACTOR_CTES)
+
+    def arr(name):
+        return f"'[' || array_to_string({name}, ',') || ']'"
+
+    def num_arr(name):
+        return f"'[' || array_to_string(list_transform({name}, lambda x: printf('%.4f', x)), ',') || ']'"
+
+    out = {
+        "parse_full": book_only + _terms_sql(FULL_COLUMNS),
+        "parse_short": book_only + _terms_sql(SHORT_COLUMNS),
+        "parse_prefix": book_defects + _terms_sql(FULL_COLUMNS, DEFECT_ERR),
+        "parse_rejects": book_only + """
+SELECT 'C' || k AS contract_id, 11 AS err_pos, 'rate' AS err_field, 'abc' AS err_token
+FROM book WHERE k > 0 AND k % 997 = 0
+UNION ALL
+SELECT 'C' || k, 20, 'notional', CAST(NULL AS VARCHAR) FROM book WHERE k > 0 AND k % 991 = 0""",
+        "parse_reject_counts": book_only + """
+SELECT err_field, count(*) AS n_rejects FROM (
+  SELECT CASE WHEN k % 997 = 0 THEN 'rate' ELSE 'notional' END AS err_field
+  FROM book WHERE k > 0 AND (k % 997 = 0 OR k % 991 = 0)) GROUP BY err_field""",
+        "cycles": book_only + f"""
+SELECT contract_id,
+  CAST(regexp_extract(ip_cycle, '{CYCLE_RE}', 1) AS INTEGER) AS ip_n,
+  regexp_extract(ip_cycle, '{CYCLE_RE}', 2) AS ip_unit,
+  regexp_extract(ip_cycle, '{CYCLE_RE}', 3) AS ip_stub,
+  coalesce(regexp_extract(ip_cycle, '{CYCLE_RE}', 3) IN ('+', 'L0'), false) AS ip_long,
+  CAST(regexp_extract(rr_cycle, '{CYCLE_RE}', 1) AS INTEGER) AS rr_n,
+  regexp_extract(rr_cycle, '{CYCLE_RE}', 2) AS rr_unit,
+  regexp_extract(rr_cycle, '{CYCLE_RE}', 3) AS rr_stub,
+  coalesce(regexp_extract(rr_cycle, '{CYCLE_RE}', 3) IN ('+', 'L0'), false) AS rr_long,
+  CAST(regexp_extract(rr_fixing, '{PERIOD_RE}', 1) AS INTEGER) AS fixing_n,
+  regexp_extract(rr_fixing, '{PERIOD_RE}', 2) AS fixing_unit,
+  CAST(regexp_extract(rr_term, '{PERIOD_RE}', 1) AS DOUBLE) * 1.0 / 12.0 AS term_years
+FROM book""",
+        "t0_tokens": with_ctes(TIME_SPEC_CTES) + "\nSELECT line_no, pos, token FROM tokens",
+        "analysis_date": with_ctes(TIME_SPEC_CTES) + """
+SELECT CAST(CAST(substr(arg_min(token, line_no * 100000 + pos), 1, 10) AS DATE) AS VARCHAR) AS t0
+FROM tokens WHERE trim(token) <> ''""",
+        "factor_points": factors_only + """
+SELECT code, rf_type, CAST(row_number() OVER (PARTITION BY code ORDER BY d) - 1 AS INTEGER) AS pos,
+       CAST(d AS VARCHAR) AS obs_date, CAST(NULL AS DOUBLE) AS tenor_years, v AS value FROM series
+UNION ALL
+SELECT code, 'TermStructure', CAST(row_number() OVER (PARTITION BY code ORDER BY t) - 1 AS INTEGER),
+       NULL, t, v FROM curve""",
+        "factor_dedup": """
+SELECT 'RATE_' || l_returnflag AS code, CAST(1 + ascii(l_returnflag) AS BIGINT) AS line_no,
+       'ReferenceRate' AS rf_type,
+       CAST(count(DISTINCT date_trunc('month', CAST(l_shipdate AS DATE))) AS INTEGER) AS n_keys
+FROM lineitem GROUP BY l_returnflag
+UNION ALL
+SELECT code, CAST(line_no AS BIGINT), rf_type, CAST(n_keys AS INTEGER) FROM (VALUES
+  ('CURVE_1', 1000, 'TermStructure', 7), ('IDX_1', 1001, 'ReferenceIndex', 8),
+  ('FX_EUR', 1002, 'ForeignExchangeRate', 8), ('FX_CHF', 1003, 'ForeignExchangeRate', 8),
+  ('FX_JPY', 1004, 'ForeignExchangeRate', 8), ('ODD_1', 1005, 'SomethingElse', 1))
+  AS v(code, line_no, rf_type, n_keys)""",
+        "contract_factors": with_ctes(book_cte(), FACTOR_CTES, CF_CTE) + f"""
+SELECT contract_id, rr_moc, rr_found, rr_type, sc_moc, sc_found, {r4('rr_curve_rate')} AS rr_curve_rate FROM cf""",
+        "lookup_errors": with_ctes(book_cte(), FACTOR_CTES, CF_CTE) + """
+SELECT contract_id, rr_moc AS code, 'reset' AS usage, 'missing' AS status
+FROM cf WHERE rr_moc IS NOT NULL AND NOT rr_found
+UNION ALL
+SELECT contract_id, sc_moc, 'scaling',
+       CASE WHEN rr_moc IS NOT NULL AND NOT rr_found THEN 'skipped' ELSE 'missing' END
+FROM cf WHERE sc_moc IS NOT NULL AND ((rr_moc IS NOT NULL AND NOT rr_found) OR NOT sc_found)""",
+        "curve_rate": factors_only + f"""
+SELECT contract_id, {r4('tt')} AS term_years, {r4(curve_at('tt'))} AS curve_rate
+FROM (SELECT b.contract_id, CAST(b.md - {T0} AS DOUBLE) / 365.0 AS tt
+      FROM book b JOIN fmeta m ON m.code = b.rr_moc WHERE m.rf_type = 'TermStructure')""",
+        "asof_rate": _full("""
+SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, CAST(obs AS VARCHAR) AS obs_date,
+       rr_moc AS code, obs_value
+FROM events WHERE type = 'RR'"""),
+        "asof_index": _full("""
+SELECT e.contract_id, CAST(e.event_date AS VARCHAR) AS event_date, e.seq, e.type, s.v AS index_value
+FROM (SELECT * FROM events WHERE reported AND sc_found) e
+ASOF LEFT JOIN series s ON s.code = e.sc_moc AND e.event_date >= s.d"""),
+        "asof_fx": _full(f"""
+SELECT e.contract_id, CAST(e.event_date AS VARCHAR) AS event_date, e.seq, e.type, e.currency,
+       CASE WHEN e.currency = 'USD' THEN 1.0 ELSE s.v END AS fx_rate,
+       {r4("e.value * (CASE WHEN e.currency = 'USD' THEN 1.0 ELSE s.v END)")} AS value_usd
+FROM (SELECT *, 'FX_' || currency AS fx_code FROM events WHERE reported) e
+ASOF LEFT JOIN series s ON s.code = e.fx_code AND e.event_date >= s.d"""),
+        "schedule": _full("""
+SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, seq, type, CAST(obs AS VARCHAR) AS obs_date
+FROM events"""),
+        "year_fraction": book_only + f"""
+SELECT contract_id, dcc, {yf('ied', 'md', 'dcc')} AS yf,
+       {yf('ied', 'md', "'A/360'")} AS yf_a360, {yf('ied', 'md', "'A/365'")} AS yf_a365,
+       {yf('ied', 'md', "'30E/360'")} AS yf_30e360, {yf('ied', 'md', "'A/AISDA'")} AS yf_aisda
+FROM book""",
+        "pam_fixed": pam_sql(EARLY_T0, rr=False, prd_td=False),
+        "pam_running": pam_sql(T0, rr=False, prd_td=False),
+        "pam_floating": pam_sql(T0, rr=True, prd_td=False),
+        "pam_full": pam_sql(T0),
+        "events_nested": with_ctes(book_cte(), FACTOR_CTES, events_ctes(T0), _nested_body()) + """
+SELECT id, date, type, currency, value, nominal, accrued FROM nested""",
+        "events_flat": _full(FLAT_BODY),
+        "events_text": with_ctes(book_cte(), FACTOR_CTES, events_ctes(T0), _nested_body()) + f"""
+SELECT concat_ws(';', {arr('id')}, {arr('date')}, {arr('type')}, {arr('currency')},
+                 {num_arr('value')}, {num_arr('nominal')}, {num_arr('accrued')}) AS line
+FROM nested""",
+        "events_ids": with_ctes(book_cte(), FACTOR_CTES, events_ctes(T0), _nested_body()) + """
+SELECT array_to_string(id, ',') AS line FROM nested""",
+        "events_parquet_roundtrip": _full(FLAT_BODY),
+        "events_count": "SELECT count(*) AS n FROM orders",
+        "cash_by_currency_month": with_ctes(book_cte(), FACTOR_CTES, events_ctes(T0),
+                                            "flat AS (" + FLAT_BODY + ")") + """
+SELECT currency, substr(date, 1, 7) AS month, count(*) AS n_events,
+       floor(sum(value) * 10000 + 0.5) / 10000.0 AS total_value,
+       floor(sum(CASE WHEN type = 'IP' THEN value ELSE 0.0 END) * 10000 + 0.5) / 10000.0 AS interest
+FROM flat GROUP BY currency, substr(date, 1, 7)""",
+    }
+    return out

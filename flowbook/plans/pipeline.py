@@ -92,6 +92,22 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
     return apply
 
 
+def to_base_currency(events: DataFrame, factors: FX.FactorTables, base: str = "USD",
+                     prefix: str = "FX_") -> DataFrame:
+    """``fx_rate`` (units of ``base`` per unit of the event currency, as of
+    the event date, from the series ``prefix || currency``) and ``value_usd``.
+    The base currency converts at 1."""
+    m = factors.meta.select(F.col("code").alias("_fx_code"), F.col("first_date").alias("_fx_first"),
+                            F.col("last_date").alias("_fx_last"), F.col("last_value").alias("_fx_lv"))
+    code = F.concat(F.lit(prefix), F.col("currency"))
+    ev = events.join(m, code == F.col("_fx_code"), "left")
+    ev = FX.asof_value(ev, factors, F.col("_fx_code"), F.col("event_date"), F.col("_fx_first"),
+                       F.col("_fx_last"), F.col("_fx_lv"), "_fx", spread_key=F.col("contract_id"))
+    rate = F.when(F.col("currency") == base, F.lit(1.0)).otherwise(F.col("_fx"))
+    return (ev.withColumn("fx_rate", rate).withColumn("value_usd", F.col("value") * F.col("fx_rate"))
+            .drop("_fx_code", "_fx_first", "_fx_last", "_fx_lv", "_fx"))
+
+
 def parse_book(lines: DataFrame, layout: str = "full") -> DataFrame:
     """P1-P15 on contract lines: typed terms with error columns."""
     return C.parse_contracts(lines, layout=layout)
