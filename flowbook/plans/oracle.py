@@ -48,7 +48,7 @@ def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False) -> str
       'C' || {k} AS contract_id, {k} AS k,
       DATE '1998-01-01' AS status_date,
       CASE WHEN o_orderstatus = 'P' THEN 'RPL' ELSE 'RPA' END AS role,
-      CASE WHEN o_orderstatus = 'P' THEN -1.0 ELSE 1.0 END AS sgn,
+      CASE WHEN o_orderstatus = 'P' THEN CAST(-1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS sgn,
       CASE WHEN {k} % 4 = 0 THEN NULL ELSE CAST({d0} + to_months(ip_m) AS DATE) END AS ip_anchor,
       ip_cycle, ip_m, ip_cycle = '5M+' AS ip_long,
       CAST(10 + ({k} % 9) * 5 AS DOUBLE) / CAST(1000 AS DOUBLE) AS rate,
@@ -59,12 +59,12 @@ def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False) -> str
       CAST({d0} + to_months(CAST(12 * (1 + {k} % 5) AS INTEGER)) AS DATE) AS md,
       o_totalprice AS notional,{pt_cols},
       CASE WHEN {k} % 10 = 0 THEN 'IDX_1' END AS sc_moc,
-      100.0 AS sc_index,{rr_cols},
+      CAST(100 AS DOUBLE) AS sc_index,{rr_cols},
       CAST({k} % 3 AS DOUBLE) / CAST(1000 AS DOUBLE) AS rr_spread,
       CASE WHEN {k} % 4 = 1 THEN 'E' ELSE 'B' END AS rr_point,
       '2D' AS rr_fixing,
-      CASE WHEN {k} % 7 = 0 THEN 0.03 END AS rr_next,
-      1.0 AS rr_mult,
+      CASE WHEN {k} % 7 = 0 THEN CAST('0.03' AS DOUBLE) END AS rr_next,
+      CAST(1 AS DOUBLE) AS rr_mult,
       '6M' AS rr_term,
       CAST(-10 * ({k} % 5) AS DOUBLE) AS pdied
     FROM pri)"""
