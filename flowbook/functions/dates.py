@@ -20,16 +20,3 @@ def shift(anchor: Column, steps: Column, n: Column, unit: Column) -> Column:
 def month_index(d: Column) -> Column:
     """Months since year 0: the bucket key of the as-of joins."""
     return F.year(d) * 12 + F.month(d) - 1
-
-
-def cycle_count(anchor: Column, end: Column, n: Column, unit: Column) -> Column:
-    """Upper bound of the number of cycle dates from ``anchor`` before ``end``.
-
-    Integer arithmetic only; the few dates it over-generates are filtered.
-    """
-    months = unit_months(unit)
-    days = unit_days(unit)
-    span_m = (F.year(end) - F.year(anchor)) * 12 + F.month(end) - F.month(anchor)
-    by_m = F.floor(span_m / (n * months)).cast("int") + 1
-    by_d = F.floor(F.datediff(end, anchor) / (n * days)).cast("int") + 1
-    return F.greatest(F.when(months.isNotNull(), by_m).otherwise(by_d), F.lit(0))

@@ -120,9 +120,19 @@ class FactorTables:
     hinted for broadcast when its size check passes."""
 
     def __init__(self, lines: DataFrame):
-        s = series(lines)
-        self.meta, self.meta_broadcast = B.bounded(meta(s))
-        self.intervals, self.intervals_broadcast = B.bounded(intervals(s))
+        # The typed series (one row per code) is cached: the two size checks
+        # and the joins then read the factor text once.  It is market data, not
+        # contracts; a lost cached block is recomputed from its short lineage.
+        self.series = series(lines).cache()
+        self.meta, self.meta_broadcast = B.bounded(meta(self.series))
+        self.intervals, self.intervals_broadcast = B.bounded(intervals(self.series))
+
+    @property
+    def broadcast(self) -> bool:
+        return self.meta_broadcast and self.intervals_broadcast
+
+    def release(self) -> None:
+        self.series.unpersist()
 
 
 def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, prefix: str,

@@ -13,6 +13,14 @@ Rules (published contract semantics, or our decision where marked [D]):
       date, ``md`` for the last (``E``), minus the fixing period.
   PRD, TD at their dates; events after TD are dropped.
   Order within a date by type rank [D].
+
+Implementation: no array lambdas.  For each contract the number of cycle
+dates before an end date has a closed form (months between the two dates,
+then one ``add_months`` check in the end month), so the stub rule, the first
+reset after t0 and the event count are integer columns.  One ``explode`` over
+``0 .. count-1`` then gives each event row its index, and the date, type and
+observation date follow from the index with ``add_months`` / ``CASE``: all
+code-generated, one generate per contract.
 """
 
 from __future__ import annotations
@@ -21,122 +29,190 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbook.functions import parsing as P
-from flowbook.functions.dates import cycle_count, shift
+from flowbook.functions.dates import shift
 
 # Fixed values [D]: event type rank within one date.
 EVENT_RANK = {"IED": 10, "IP": 20, "RRF": 30, "RR": 40, "PRD": 50, "TD": 60, "MD": 70}
-EVENT_STRUCT = "struct<d:date,seq:int,type:string,obs:date>"
-
-
-def _ev(d: Column, kind: str, obs: Column | None = None) -> Column:
-    return F.struct(d.alias("d"), F.lit(EVENT_RANK[kind]).alias("seq"), F.lit(kind).alias("type"),
-                    (obs if obs is not None else F.lit(None).cast("date")).alias("obs"))
-
-
-def _empty(typ: str) -> Column:
-    return F.array().cast(f"array<{typ}>")
-
-
-def _generated(start: Column, end: Column, n: Column, unit: Column) -> Column:
-    """Cycle dates ``start + k*n`` before ``end`` (no stub rule yet)."""
-    gen = F.filter(F.transform(F.sequence(F.lit(0), cycle_count(start, end, n, unit)),
-                               lambda k: shift(start, k, n, unit)),
-                   lambda x: x < end)
-    return F.coalesce(gen, _empty("date"))
-
 
-def _stubbed(gen: Column, start: Column, end: Column, n: Column, unit: Column, long: Column,
-             cycle: Column, anchor: Column) -> Column:
-    """E8 on generated dates; a contract without a cycle has its anchor only."""
-    size = F.size(gen)
-    hit = F.coalesce(shift(start, size, n, unit) == end, F.lit(False))
-    gen = F.when(long & ~hit & (size > 0), F.slice(gen, F.lit(1), size - 1)).otherwise(gen)
-    single = F.when(anchor.isNotNull() & (anchor < end), F.array(anchor)).otherwise(_empty("date"))
-    return F.when(cycle.isNull(), single).otherwise(gen)
 
+def count_before(start: Column, end: Column, n: Column, unit: Column) -> Column:
+    """Number of cycle dates ``start + k*n units`` (k >= 0) strictly before ``end``.
 
-def with_cycle_dates(contracts: DataFrame) -> DataFrame:
-    """Adds ``ip_dates`` (ending with ``md``) and ``rr_dates`` (before
-    ``md``) as ARRAY<DATE>.
-
-    Built in stages (cycle parts, start, generated dates, stub rule) so that
-    every array is computed once; Catalyst keeps a projection whose expensive
-    output is read more than once instead of inlining it.
+    Month units: dates with ``k*step`` below the month distance fall in an
+    earlier month; only ``k*step`` equal to it lands in the end month and needs
+    a day check.  Day units: a ceiling division.  0 when anything is NULL.
+    """
+    months = P.unit_months(unit)
+    days = P.unit_days(unit)
+    step_m = n * months
+    step_d = n * days
+    span_m = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+    q = F.floor(span_m / step_m).cast("int")
+    by_m = F.when(span_m < 0, F.lit(0)).otherwise(
+        q + 1 - F.when(F.add_months(start, q * step_m) >= end, F.lit(1)).otherwise(F.lit(0)))
+    diff = F.datediff(end, start)
+    by_d = F.when(diff <= 0, F.lit(0)).otherwise(F.floor((diff - 1) / step_d).cast("int") + 1)
+    out = (F.when((months.isNotNull()) & (step_m > 0), by_m)
+           .when((days.isNotNull()) & (step_d > 0), by_d)
+           .otherwise(F.when(start < end, F.lit(1)).otherwise(F.lit(0))))
+    return F.coalesce(out, F.lit(0))
+
+
+def count_before_steps(start: Column, end: Column, step_m: Column, step_d: Column) -> Column:
+    """``count_before`` from per-contract steps (no text parsing per row)."""
+    span_m = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+    q = F.floor(span_m / step_m).cast("int")
+    by_m = F.when(span_m < 0, F.lit(0)).otherwise(
+        q + 1 - F.when(F.add_months(start, q * step_m) >= end, F.lit(1)).otherwise(F.lit(0)))
+    diff = F.datediff(end, start)
+    by_d = F.when(diff <= 0, F.lit(0)).otherwise(F.floor((diff - 1) / step_d).cast("int") + 1)
+    out = (F.when(step_m > 0, by_m).when(step_d > 0, by_d)
+           .otherwise(F.when(start < end, F.lit(1)).otherwise(F.lit(0))))
+    return F.coalesce(out, F.lit(0))
+
+
+def cycle_date(start: Column, k: Column, step_m: Column, step_d: Column) -> Column:
+    """The ``k``-th cycle date from per-contract steps in months or days; the
+    start itself when there is no cycle."""
+    return (F.when(step_m.isNotNull(), F.add_months(start, k * step_m))
+            .when(step_d.isNotNull(), F.date_add(start, k * step_d))
+            .otherwise(start))
+
+
+def _steps(n: Column, unit: Column, prefix: str) -> list[Column]:
+    return [(n * P.unit_months(unit)).alias(f"{prefix}_sm"), (n * P.unit_days(unit)).alias(f"{prefix}_sd")]
+
+
+def _stub_count(gen: Column, start: Column, end: Column, n: Column, unit: Column,
+                long: Column, cycle: Column) -> Column:
+    """Drop the last generated date for a long stub unless the cycle hits ``end``."""
+    hit = F.coalesce(shift(start, gen, n, unit) == end, F.lit(False))
+    drop = cycle.isNotNull() & long & ~hit & (gen > 0)
+    return gen - F.when(drop, F.lit(1)).otherwise(F.lit(0))
+
+
+def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
+    """Per contract: cycle parts, starts and event counts per segment.
+
+    Segments in index order: IED, IP cycle dates, IP at ``md``, resets after t0,
+    PRD, TD, MD.  Each count is already cut at the termination date (E6: keep
+    events before TD, and those on its date ranked at most TD), so the
+    exploded rows need no filter.
     """
-    col = F.col
+    c = F.col
     s1 = contracts.select(
         "*",
-        P.cycle_n(col("ip_cycle")).alias("_ip_n"), P.cycle_unit(col("ip_cycle")).alias("_ip_u"),
-        P.cycle_is_long(col("ip_cycle")).alias("_ip_long"),
-        P.cycle_n(col("rr_cycle")).alias("_rr_n"), P.cycle_unit(col("rr_cycle")).alias("_rr_u"),
-        P.cycle_is_long(col("rr_cycle")).alias("_rr_long"))
+        P.cycle_n(c("ip_cycle")).alias("_ip_n"), P.cycle_unit(c("ip_cycle")).alias("_ip_u"),
+        P.cycle_is_long(c("ip_cycle")).alias("_ip_long"),
+        P.cycle_n(c("rr_cycle")).alias("_rr_n"), P.cycle_unit(c("rr_cycle")).alias("_rr_u"),
+        P.cycle_is_long(c("rr_cycle")).alias("_rr_long"),
+        (c("rr_anchor").isNotNull() | c("rr_cycle").isNotNull()).alias("_has_rr"),
+        F.date_add(c("td"), 1).alias("_td_next"),
+        P.period_n(c("rr_fixing")).alias("_fx_n"), P.period_unit(c("rr_fixing")).alias("_fx_u"))
     s2 = s1.select(
         "*",
-        F.coalesce(col("ip_anchor"), shift(col("ied"), F.lit(1), col("_ip_n"), col("_ip_u"))).alias("_ip_start"),
-        F.coalesce(col("rr_anchor"), shift(col("ied"), F.lit(1), col("_rr_n"), col("_rr_u"))).alias("_rr_start"))
+        *_steps(c("_ip_n"), c("_ip_u"), "_ip"), *_steps(c("_rr_n"), c("_rr_u"), "_rr"),
+        *_steps(c("_fx_n"), c("_fx_u"), "_fx"),
+        F.when(c("ip_cycle").isNull(), c("ip_anchor")).otherwise(
+            F.coalesce(c("ip_anchor"), shift(c("ied"), F.lit(1), c("_ip_n"), c("_ip_u")))).alias("_ip_start"),
+        F.when(c("rr_cycle").isNull(), c("rr_anchor")).otherwise(
+            F.coalesce(c("rr_anchor"), shift(c("ied"), F.lit(1), c("_rr_n"), c("_rr_u")))).alias("_rr_start"))
+    ip = (c("_ip_start"), c("_ip_n"), c("_ip_u"))
+    rr = (c("_rr_start"), c("_rr_n"), c("_rr_u"))
     s3 = s2.select(
         "*",
-        _generated(col("_ip_start"), col("md"), col("_ip_n"), col("_ip_u")).alias("_ip_gen"),
-        _generated(col("_rr_start"), col("md"), col("_rr_n"), col("_rr_u")).alias("_rr_gen"))
-    has_rr = col("rr_anchor").isNotNull() | col("rr_cycle").isNotNull()
+        count_before(ip[0], c("md"), ip[1], ip[2]).alias("_ip_gen"),
+        F.when(c("_has_rr"), count_before(rr[0], c("md"), rr[1], rr[2])).otherwise(F.lit(0)).alias("_rr_gen"),
+        F.when(c("_has_rr"), count_before(rr[0], F.date_add(t0, 1), rr[1], rr[2]))
+        .otherwise(F.lit(0)).alias("_rr_past"),
+        count_before(ip[0], c("_td_next"), ip[1], ip[2]).alias("_ip_td"),
+        F.when(c("_has_rr"), count_before(rr[0], c("_td_next"), rr[1], rr[2])).otherwise(F.lit(0)).alias("_rr_td"))
     s4 = s3.select(
         "*",
-        F.concat(_stubbed(col("_ip_gen"), col("_ip_start"), col("md"), col("_ip_n"), col("_ip_u"),
-                          col("_ip_long"), col("ip_cycle"), col("ip_anchor")),
-                 F.array(col("md"))).alias("ip_dates"),
-        F.when(has_rr, _stubbed(col("_rr_gen"), col("_rr_start"), col("md"), col("_rr_n"), col("_rr_u"),
-                                col("_rr_long"), col("rr_cycle"), col("rr_anchor")))
-        .otherwise(_empty("date")).alias("rr_dates"))
-    return s4.drop("_ip_n", "_ip_u", "_ip_long", "_rr_n", "_rr_u", "_rr_long", "_ip_start",
-                   "_rr_start", "_ip_gen", "_rr_gen")
-
-
-def fixing_date(base: Column, fixing: Column) -> Column:
-    """``base`` minus the fixing period (calendar units)."""
-    moved = shift(base, F.lit(-1), P.period_n(fixing), P.period_unit(fixing))
-    return F.when(fixing.isNull(), base).otherwise(moved)
-
-
-def event_array(t0: Column) -> Column:
-    """All events of one contract, unordered: ARRAY<struct<d, seq, type, obs>>;
-    needs ``ip_dates`` and ``rr_dates`` (``with_cycle_dates``)."""
-    c = {k: F.col(k) for k in ("ied", "md", "rr_next", "rr_point", "rr_fixing", "prd", "td",
-                               "ip_dates", "rr_dates")}
-    rr_all = c["rr_dates"]
-    future = F.filter(F.transform(rr_all, lambda x, i: F.struct(
-        x.alias("d"), F.coalesce(F.try_element_at(rr_all, i + 2), c["md"]).alias("nxt"))),
-        lambda p: p["d"] > t0)
-    is_rrf = lambda i: (i == 0) & c["rr_next"].isNotNull()
-    rr_ev = F.transform(future, lambda p, i: F.struct(
-        p["d"].alias("d"),
-        F.when(is_rrf(i), F.lit(EVENT_RANK["RRF"])).otherwise(F.lit(EVENT_RANK["RR"])).alias("seq"),
-        F.when(is_rrf(i), F.lit("RRF")).otherwise(F.lit("RR")).alias("type"),
-        fixing_date(F.when(c["rr_point"] == "E", p["nxt"]).otherwise(p["d"]), c["rr_fixing"]).alias("obs")))
-    ip_ev = F.transform(c["ip_dates"], lambda d: _ev(d, "IP"))
-    prd_ev = F.when(c["prd"].isNotNull(), F.array(_ev(c["prd"], "PRD"))).otherwise(_empty(EVENT_STRUCT))
-    td_ev = F.when(c["td"].isNotNull(), F.array(_ev(c["td"], "TD"))).otherwise(_empty(EVENT_STRUCT))
-    everything = F.concat(F.array(_ev(c["ied"], "IED")), ip_ev, rr_ev.cast(f"array<{EVENT_STRUCT}>"),
-                          prd_ev, td_ev, F.array(_ev(c["md"], "MD")))
-    td = c["td"]
-    return F.when(td.isNull(), everything).otherwise(F.filter(
-        everything, lambda e: (e["d"] < td) | ((e["d"] == td) & (e["seq"] <= EVENT_RANK["TD"]))))
+        _stub_count(c("_ip_gen"), ip[0], c("md"), ip[1], ip[2], c("_ip_long"), c("ip_cycle")).alias("_n_ip"),
+        _stub_count(c("_rr_gen"), rr[0], c("md"), rr[1], rr[2], c("_rr_long"), c("rr_cycle")).alias("_n_rr"))
+    no_td = c("td").isNull()
+    flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    cap = lambda n, at_td: F.when(no_td, n).otherwise(F.least(n, at_td))
+    s5 = s4.select(
+        "*",
+        F.least(c("_rr_past"), c("_n_rr")).alias("_k0"),
+        flag(no_td | (c("ied") <= c("td"))).alias("_c_ied"),
+        cap(c("_n_ip"), c("_ip_td")).alias("_c_ip"),
+        flag(no_td | (c("md") <= c("td"))).alias("_c_ipmd"),
+        flag(c("prd").isNotNull() & (no_td | (c("prd") <= c("td")))).alias("_c_prd"),
+        flag(~no_td).alias("_c_td"),
+        flag(no_td | (c("md") < c("td"))).alias("_c_md"))
+    s6 = s5.select("*", F.greatest(cap(c("_n_rr"), c("_rr_td")) - c("_k0"), F.lit(0)).alias("_c_rr"))
+    return s6.select(
+        "*",
+        c("_c_ied").alias("_o_ip"),
+        (c("_c_ied") + c("_c_ip")).alias("_o_ipmd"),
+        (c("_c_ied") + c("_c_ip") + c("_c_ipmd")).alias("_o_rr"),
+        (c("_c_ied") + c("_c_ip") + c("_c_ipmd") + c("_c_rr")).alias("_o_prd"),
+        (c("_c_ied") + c("_c_ip") + c("_c_ipmd") + c("_c_rr") + c("_c_prd")).alias("_o_td"),
+        (c("_c_ied") + c("_c_ip") + c("_c_ipmd") + c("_c_rr") + c("_c_prd") + c("_c_td")).alias("_o_md"))
 
 
 def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
-    """One row per event (``event_date, seq, type, obs_date``), one
-    generate over one concatenated array (not a union per type)."""
+    """One row per event (``event_date, seq, type, obs_date``, and the
+    accrual group ``_grp`` the state windows order by).
+
+    One generate over the event index per contract (not a union per type);
+    rejected contracts (``err_pos`` set) generate nothing.
+    """
+    c = F.col
     cols = list(contracts.columns)
-    staged = with_cycle_dates(contracts)
-    arr = event_array(t0)
-    if "err_pos" in cols:  # rejected contracts generate nothing; no filter needed
-        arr = F.when(F.col("err_pos").isNull(), arr)
-    return (staged.select(*cols, F.explode(arr).alias("_e"))
-            .select(*cols, F.col("_e.d").alias("event_date"), F.col("_e.seq").alias("seq"),
-                    F.col("_e.type").alias("type"), F.col("_e.obs").alias("obs_date")))
+    counted = with_schedule_counts(contracts, t0)
+    n_events = c("_o_md") + c("_c_md")
+    if "err_pos" in cols:
+        n_events = F.when(c("err_pos").isNull(), n_events).otherwise(F.lit(0))
+    idx = counted.select("*", F.explode(F.sequence(F.lit(0), n_events - 1)).alias("_i"))
+    i = c("_i")
+    seg = (F.when(i < c("_o_ip"), F.lit("IED")).when(i < c("_o_ipmd"), F.lit("IP"))
+           .when(i < c("_o_rr"), F.lit("IPMD")).when(i < c("_o_prd"), F.lit("RR"))
+           .when(i < c("_o_td"), F.lit("PRD")).when(i < c("_o_md"), F.lit("TD")).otherwise(F.lit("MD")))
+    s1 = idx.select(*cols, "_i", "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
+                    "_fx_sm", "_fx_sd", "_n_rr", "_k0", "_o_ip", "_o_rr", "_c_ip", "_c_ipmd", seg.alias("_seg"),
+                    (c("_k0") + (i - c("_o_rr"))).alias("_k_rr"))
+    sg, k_rr = c("_seg"), c("_k_rr")
+    rr_date = cycle_date(c("_rr_start"), k_rr, c("_rr_sm"), c("_rr_sd"))
+    is_rrf = (k_rr == c("_k0")) & c("rr_next").isNotNull()
+    s2 = s1.select(
+        "*",
+        (F.when(sg == "IED", c("ied"))
+         .when(sg == "IP", cycle_date(c("_ip_start"), i - c("_o_ip"), c("_ip_sm"), c("_ip_sd")))
+         .when(sg == "RR", rr_date)
+         .when(sg == "PRD", c("prd"))
+         .when(sg == "TD", c("td"))
+         .otherwise(c("md"))).alias("event_date"),
+        F.when(sg == "RR", is_rrf).alias("_is_rrf"))
+    rrf = c("_is_rrf")
+    next_rr = F.when(k_rr + 1 < c("_n_rr"), cycle_date(c("_rr_start"), k_rr + 1, c("_rr_sm"), c("_rr_sd"))) \
+        .otherwise(c("md"))
+    rank = (F.when(sg == "IED", F.lit(EVENT_RANK["IED"])).when(sg.isin("IP", "IPMD"), F.lit(EVENT_RANK["IP"]))
+            .when(sg == "RR", F.when(rrf, F.lit(EVENT_RANK["RRF"])).otherwise(F.lit(EVENT_RANK["RR"])))
+            .when(sg == "PRD", F.lit(EVENT_RANK["PRD"])).when(sg == "TD", F.lit(EVENT_RANK["TD"]))
+            .otherwise(F.lit(EVENT_RANK["MD"])))
+    typ = (F.when(sg == "IPMD", F.lit("IP"))
+           .when(sg == "RR", F.when(rrf, F.lit("RRF")).otherwise(F.lit("RR")))
+           .otherwise(sg))
+    base = F.when(c("rr_point") == "E", next_rr).otherwise(c("event_date"))
+    obs = F.when(sg == "RR", cycle_date(base, F.lit(-1), c("_fx_sm"), c("_fx_sd")))
+    s3 = s2.select(*cols, "event_date", rank.alias("seq"), typ.alias("type"), obs.alias("obs_date"),
+                   "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd")
+    # Accrual group (X5): interest payments strictly before this event in
+    # (date, rank) order -- IP cycle dates before it, and the IP at ``md``.
+    d, q = c("event_date"), c("seq")
+    s4 = s3.select("*", F.when(q > EVENT_RANK["IP"], F.date_add(d, 1)).otherwise(d).alias("_end"))
+    ip_before = F.least(count_before_steps(c("_ip_start"), c("_end"), c("_ip_sm"), c("_ip_sd")), c("_c_ip"))
+    md_before = F.when((c("_c_ipmd") == 1) & ((c("md") < d) | ((c("md") == d) & (q > EVENT_RANK["IP"]))),
+                       F.lit(1)).otherwise(F.lit(0))
+    return s4.select(*cols, "event_date", "seq", "type", "obs_date", (ip_before + md_before).alias("_grp"))
 
 
 def schedule_table(contracts: DataFrame, t0: Column) -> DataFrame:
     """IP and RR schedules per contract, with reset observation dates."""
     return explode_events(contracts.select(
         "contract_id", "ied", "md", "ip_anchor", "ip_cycle", "rr_anchor", "rr_cycle", "rr_next",
-        "rr_point", "rr_fixing", "prd", "td"), t0)
+        "rr_point", "rr_fixing", "prd", "td", *(["err_pos"] if "err_pos" in contracts.columns else [])), t0)

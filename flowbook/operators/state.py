@@ -29,7 +29,15 @@ def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> Dat
     ``role, rate, notional, dcc, rr_next, rr_mult, rr_spread, pprd, ptd, pdied, prd``."""
     typ = F.col("type")
     sign = role_sign(F.col("role")).cast("double")
-    w = Window.partitionBy("contract_id").orderBy("event_date", "seq")
+    # ``_grp`` (interest payments before the event, from the schedule) never
+    # falls in (date, rank) order, so ordering by (group, date, rank) is the
+    # same order, and the accrual window below reuses this sort.
+    if "_grp" not in events.columns:
+        g = Window.partitionBy("contract_id").orderBy("event_date", "seq").rowsBetween(
+            Window.unboundedPreceding, -1)
+        events = events.withColumn("_grp", F.coalesce(
+            F.sum(F.col("type").isin("IP", "MD", "TD").cast("int")).over(g), F.lit(0)))
+    w = Window.partitionBy("contract_id").orderBy("_grp", "event_date", "seq")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
 
     rate_set = (F.when(typ == "IED", F.col("rate"))
@@ -47,8 +55,7 @@ def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> Dat
         "*",
         F.last("_rate_set", ignorenulls=True).over(before).alias("_rate_before"),
         F.coalesce(F.last("_nt_set", ignorenulls=True).over(before), F.lit(0.0)).alias("_nt_before"),
-        F.lag("event_date").over(w).alias("_prev_d"),
-        F.coalesce(F.sum(F.col("_is_reset").cast("int")).over(before), F.lit(0)).alias("_grp"))
+        F.lag("event_date").over(w).alias("_prev_d"))
     inc = F.coalesce(F.col("_nt_before") * F.col("_rate_before")
                      * year_fraction(F.col("_prev_d"), F.col("event_date"), F.col("dcc")), F.lit(0.0))
     s3 = s2.withColumn("_inc", inc)

@@ -70,11 +70,23 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
     """
     t0c = _t0_col(t0)
 
+    def spread(df: DataFrame) -> DataFrame:
+        # An explicit count: AQE would coalesce this small shuffle (one row per
+        # contract) to a few partitions, but every row becomes ~10-20 events
+        # and window work after it, so the shuffle size understates the stage.
+        if not repartition:
+            return df
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(n, "contract_id")
+
     def apply(contracts: DataFrame) -> DataFrame:
-        df = with_factors(contracts, factors)
-        if repartition:
-            df = (df.repartition(partitions, "contract_id") if partitions
-                  else df.repartition("contract_id"))
+        # Broadcast lookups are narrow, so run them after the exchange (in
+        # parallel, whatever the input split count).  Shuffle lookups re-key
+        # the contracts by code first; then the exchange by id comes last.
+        if factors is None or factors.broadcast:
+            df = with_factors(spread(contracts), factors)
+        else:
+            df = spread(with_factors(contracts, factors))
         ev = schedule.explode_events(df, t0c)
         is_series_reset = (F.col("type") == "RR") & (F.col("rr_type") == FX.REFERENCE_RATE)
         if factors is not None:
