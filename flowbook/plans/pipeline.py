@@ -125,6 +125,26 @@ def parse_book(lines: DataFrame, layout: str = "full") -> DataFrame:
     return C.parse_contracts(lines, layout=layout)
 
 
+def ingest_contracts(lines: DataFrame, table: str, buckets: int, path: str | None = None,
+                     layout: str = "full") -> DataFrame:
+    """Parse a contract book once and store it bucketed by ``contract_id``.
+
+    Valuation runs (any t0, any market data) then read the table with its
+    hash partitioning known to the planner and use
+    ``cashflow_events(..., repartition=False)``: no exchange at all, the
+    one-time shuffle is paid here.  ``path`` (default: under the shared
+    ``spark.checkpoint.dir``) makes it an external table.
+    """
+    from flowbook.plans import sinks
+
+    spark = lines.sparkSession
+    book = C.parse_contracts(lines, layout=layout)
+    loc = path or f"{sinks.shared_dir(spark)}/flowbook-book-{table}"
+    (book.write.mode("errorifexists").bucketBy(buckets, "contract_id").sortBy("contract_id")
+     .option("path", loc).saveAsTable(table))
+    return spark.table(table)
+
+
 def load_factors(spark: SparkSession, path: str | list[str]) -> FX.FactorTables:
     """L4: read the factor file(s) into typed, size-checked lookup tables."""
     return FX.FactorTables(text.read_lines(spark, path))

@@ -29,7 +29,7 @@ def r4(x: Column) -> Column:
 
 
 def book(spark: SparkSession, sf: str, layout: str = "full", defects: bool = False) -> DataFrame:
-    return C.parse_contracts(FXT.contract_lines(FXT.load(spark, sf, "orders"), layout, defects), layout)
+    return C.parse_contracts(FXT.contract_lines(FXT.load_book_source(spark, sf), layout, defects), layout)
 
 
 def without_terms(df: DataFrame, rr: bool = True, prd_td: bool = True) -> DataFrame:

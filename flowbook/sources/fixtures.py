@@ -47,6 +47,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_book_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as the source of the contract book, with at least the
+    session's parallelism in partitions (H1)."""
+    from flowbook.sources.text import ensure_min_partitions
+    return ensure_min_partitions(load(spark, sf_dir, "orders"))
+
+
 def _dtext(d: Column) -> Column:
     return F.date_format(d, "yyyy-MM-dd'T'HH")
 

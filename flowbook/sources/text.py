@@ -28,6 +28,18 @@ def read_lines(spark: SparkSession, path: str | list[str], min_partitions: int |
     return df.select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 
+def ensure_min_partitions(df: DataFrame, n: int | None = None) -> DataFrame:
+    """H1: at least ``n`` partitions (default: the session's default parallelism).
+
+    A text file is split by size, but a small parquet file may be a single
+    row group, i.e. one task for everything before the first exchange.  Only
+    then spread it round-robin; an input with enough splits (any large one)
+    is returned unchanged, with no extra exchange.
+    """
+    n = n or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def analysis_date_tokens(lines: DataFrame) -> DataFrame:
     """Every ``;`` token of every time-spec line with its place."""
     return lines.select(
