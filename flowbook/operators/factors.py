@@ -151,6 +151,10 @@ def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, pref
         F.col("last_value").alias(f"{prefix}_last_value"),
         F.col("curve").alias(f"{prefix}_curve"))
     key = F.col(code_col) if gate is None else F.when(gate, F.col(code_col))
+    if not factors.meta_broadcast:
+        # Shuffle join: contracts without a code would all hash to the NULL
+        # key's partition; give them a key no factor has, spread by id.
+        key = F.coalesce(key, F.concat(F.lit("\u0000"), F.col("contract_id")))
     joined = contracts.join(m, key == F.col(f"{prefix}_code"), "left")
     return (joined.withColumn(f"{prefix}_found", F.col(f"{prefix}_code").isNotNull())
             .drop(f"{prefix}_code"))
