@@ -419,6 +419,11 @@ ASOF LEFT JOIN series s ON s.code = e.fx_code AND e.event_date >= s.d"""),
         "schedule": _full("""
 SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, seq, type, CAST(obs AS VARCHAR) AS obs_date
 FROM events"""),
+        "ip_schedule": _full("""
+SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date FROM events WHERE type = 'IP'"""),
+        "rr_schedule": _full("""
+SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, type, CAST(obs AS VARCHAR) AS obs_date
+FROM events WHERE type IN ('RR', 'RRF')"""),
         "year_fraction": book_only + f"""
 SELECT contract_id, dcc, {yf('ied', 'md', 'dcc')} AS yf,
        {yf('ied', 'md', "'A/360'")} AS yf_a360, {yf('ied', 'md', "'A/365'")} AS yf_a365,

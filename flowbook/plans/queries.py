@@ -219,6 +219,17 @@ def q_schedule(spark, sf):
         "contract_id", "event_date", "seq", "type", "obs_date"))
 
 
+def q_ip_schedule(spark, sf):
+    """Interest payment dates per contract (cycle, stub rule, maturity)."""
+    return q_schedule(spark, sf).filter(F.col("type") == "IP").select("contract_id", "event_date")
+
+
+def q_rr_schedule(spark, sf):
+    """Reset dates after t0, first one fixed (RRF), observation dates."""
+    return q_schedule(spark, sf).filter(F.col("type").isin("RR", "RRF")).select(
+        "contract_id", "event_date", "type", "obs_date")
+
+
 def q_year_fraction(spark, sf):
     """IED to MD under the contract's convention and under each of the four."""
     b = C.clean(book(spark, sf))
@@ -302,6 +313,8 @@ QUERIES = {
     "asof_index": q_asof_index,
     "asof_fx": q_asof_fx,
     "schedule": q_schedule,
+    "ip_schedule": q_ip_schedule,
+    "rr_schedule": q_rr_schedule,
     "year_fraction": q_year_fraction,
     "pam_fixed": q_pam_fixed,
     "pam_running": q_pam_running,
