@@ -65,28 +65,35 @@ def parse_date(x: Column) -> Column:
     return x.try_cast("date")
 
 
+def _group(x: Column, pattern: str, i: int) -> Column:
+    """Group ``i`` of ``pattern`` or NULL: ``regexp_extract`` yields '' on no
+    match, so one regex call per part (no separate ``rlike`` guard)."""
+    return F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
+
+
 def cycle_n(x: Column) -> Column:
-    return F.when(x.rlike(CYCLE_PATTERN), F.regexp_extract(x, CYCLE_PATTERN, 1).cast("int"))
+    return _group(x, CYCLE_PATTERN, 1).try_cast("int")
 
 
 def cycle_unit(x: Column) -> Column:
-    return F.when(x.rlike(CYCLE_PATTERN), F.regexp_extract(x, CYCLE_PATTERN, 2))
+    return _group(x, CYCLE_PATTERN, 2)
 
 
 def cycle_stub(x: Column) -> Column:
-    return F.when(x.rlike(CYCLE_PATTERN), F.regexp_extract(x, CYCLE_PATTERN, 3))
+    """The stub text ('' when the cycle has none); NULL when the text is no cycle."""
+    return F.when(cycle_n(x).isNotNull(), F.regexp_extract(x, CYCLE_PATTERN, 3))
 
 
 def cycle_is_long(x: Column) -> Column:
-    return F.coalesce(cycle_stub(x).isin(*LONG_STUBS), F.lit(False))
+    return F.coalesce(F.regexp_extract(x, CYCLE_PATTERN, 3).isin(*LONG_STUBS), F.lit(False))
 
 
 def period_n(x: Column) -> Column:
-    return F.when(x.rlike(PERIOD_PATTERN), F.regexp_extract(x, PERIOD_PATTERN, 1).cast("int"))
+    return _group(x, PERIOD_PATTERN, 1).try_cast("int")
 
 
 def period_unit(x: Column) -> Column:
-    return F.when(x.rlike(PERIOD_PATTERN), F.regexp_extract(x, PERIOD_PATTERN, 2))
+    return _group(x, PERIOD_PATTERN, 2)
 
 
 def unit_months(unit: Column) -> Column:
