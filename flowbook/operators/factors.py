@@ -120,10 +120,12 @@ class FactorTables:
     hinted for broadcast when its size check passes."""
 
     def __init__(self, lines: DataFrame):
-        # The typed series (one row per code) is cached: the two size checks
-        # and the joins then read the factor text once.  It is market data, not
-        # contracts; a lost cached block is recomputed from its short lineage.
-        self.series = series(lines).cache()
+        # The typed series (one row per code) is checkpointed to the shared
+        # checkpoint folder: the two size checks and the joins read the factor
+        # text once, and a lost executor re-reads the files, not the lineage.
+        from flowbook.plans.sinks import shared_dir
+        shared_dir(lines.sparkSession)  # sets the folder only where it is unset (tests)
+        self.series = series(lines).checkpoint(eager=True)
         self.meta, self.meta_broadcast = B.bounded(meta(self.series))
         self.intervals, self.intervals_broadcast = B.bounded(intervals(self.series))
 
@@ -131,8 +133,6 @@ class FactorTables:
     def broadcast(self) -> bool:
         return self.meta_broadcast and self.intervals_broadcast
 
-    def release(self) -> None:
-        self.series.unpersist()
 
 
 def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, prefix: str,
