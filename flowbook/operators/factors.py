@@ -156,8 +156,8 @@ def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, pref
         # key's partition; give them a key no factor has, spread by id.
         key = F.coalesce(key, F.concat(F.lit("\u0000"), F.col("contract_id")))
     joined = contracts.join(m, key == F.col(f"{prefix}_code"), "left")
-    return (joined.withColumn(f"{prefix}_found", F.col(f"{prefix}_code").isNotNull())
-            .drop(f"{prefix}_code"))
+    rest = [c for c in joined.columns if c != f"{prefix}_code"]
+    return joined.select(*rest, F.col(f"{prefix}_code").isNotNull().alias(f"{prefix}_found"))
 
 
 def curve_rate(curve: Column, term_years: Column) -> Column:
@@ -189,14 +189,13 @@ def asof_value(df: DataFrame, factors: FactorTables, code: Column, at: Column,
         F.col("code").alias("_iv_code"), F.col("bucket").alias("_iv_bucket"),
         F.col("d_from").alias("_iv_from"), F.col("d_to").alias("_iv_to"),
         F.col("value").alias("_iv_value"))
-    staged = df.withColumn("_k_code", key_code).withColumn("_k_at", at)
+    staged = df.select("*", key_code.alias("_k_code"), at.alias("_k_at"))
     cond = ((F.col("_k_code") == F.col("_iv_code"))
             & (month_index(F.col("_k_at")) == F.col("_iv_bucket"))
             & (F.col("_k_at") >= F.col("_iv_from")) & (F.col("_k_at") < F.col("_iv_to")))
     joined = staged.join(iv, cond, "left")
     value = F.when(at >= last, last_value).when(probe, F.col("_iv_value"))
-    return joined.withColumn(out, value).drop(
-        "_k_code", "_k_at", "_iv_code", "_iv_bucket", "_iv_from", "_iv_to", "_iv_value")
+    return joined.select(*df.columns, value.alias(out))
 
 
 def lookup_errors(contracts: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> Dat
     if "_grp" not in events.columns:
         g = Window.partitionBy("contract_id").orderBy("event_date", "seq").rowsBetween(
             Window.unboundedPreceding, -1)
-        events = events.withColumn("_grp", F.coalesce(
-            F.sum(F.col("type").isin("IP", "MD", "TD").cast("int")).over(g), F.lit(0)))
+        events = events.select("*", F.coalesce(
+            F.sum(F.col("type").isin("IP", "MD", "TD").cast("int")).over(g), F.lit(0)).alias("_grp"))
     w = Window.partitionBy("contract_id").orderBy("_grp", "event_date", "seq")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -58,13 +58,13 @@ def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> Dat
         F.lag("event_date").over(w).alias("_prev_d"))
     inc = F.coalesce(F.col("_nt_before") * F.col("_rate_before")
                      * year_fraction(F.col("_prev_d"), F.col("event_date"), F.col("dcc")), F.lit(0.0))
-    s3 = s2.withColumn("_inc", inc)
+    s3 = s2.select("*", inc.alias("_inc"))
     # Accrued interest: sum of the accruals since the last reset.  A running
     # sum minus its value at the reset would save a sort but cancels digits
     # (money must round the same way); the group sum is exact per group.
     w_grp = (Window.partitionBy("contract_id", "_grp").orderBy("event_date", "seq")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s4 = s3.withColumn("_acc", F.sum("_inc").over(w_grp))
+    s4 = s3.select("*", F.sum("_inc").over(w_grp).alias("_acc"))
     acc = F.col("_acc")
     nt_before = F.col("_nt_before")
     value = (F.when(typ == "IED", -sign * (F.col("notional") + F.coalesce(F.col("pdied"), F.lit(0.0))))
@@ -83,5 +83,5 @@ def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> Dat
         F.coalesce(F.col("_nt_set"), nt_before).alias("nominal"),
         F.when(F.col("_is_reset"), F.lit(0.0)).otherwise(acc).alias("accrued"),
         reported.alias("reported"))
-    return out.drop("_rate_set", "_nt_set", "_is_reset", "_rate_before", "_nt_before", "_prev_d",
-                    "_inc", "_grp", "_acc")
+    work = {"_rate_set", "_nt_set", "_is_reset", "_rate_before", "_nt_before", "_prev_d", "_inc", "_grp", "_acc"}
+    return out.select(*[c for c in out.columns if c not in work])

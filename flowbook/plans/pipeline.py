@@ -38,20 +38,18 @@ def with_factors(contracts: DataFrame, factors: FX.FactorTables | None) -> DataF
     sc_last_value``.
     """
     if factors is None:
-        out = contracts
+        empty = []
         for p in ("rr", "sc"):
-            out = (out.withColumn(f"{p}_found", F.lit(False))
-                   .withColumn(f"{p}_type", F.lit(None).cast("string"))
-                   .withColumn(f"{p}_first", F.lit(None).cast("date"))
-                   .withColumn(f"{p}_last", F.lit(None).cast("date"))
-                   .withColumn(f"{p}_last_value", F.lit(None).cast("double")))
-        return out.withColumn("rr_curve_rate", F.lit(None).cast("double"))
+            empty += [F.lit(False).alias(f"{p}_found"), F.lit(None).cast("string").alias(f"{p}_type"),
+                      F.lit(None).cast("date").alias(f"{p}_first"), F.lit(None).cast("date").alias(f"{p}_last"),
+                      F.lit(None).cast("double").alias(f"{p}_last_value")]
+        return contracts.select("*", *empty, F.lit(None).cast("double").alias("rr_curve_rate"))
     out = FX.lookup_code(contracts, factors, "rr_moc", "rr")
     gate = F.col("rr_moc").isNull() | F.col("rr_found")
     out = FX.lookup_code(out, factors, "sc_moc", "sc", gate=gate).drop("sc_curve")
     curve = F.when(F.col("rr_type") == FX.TERM_STRUCTURE,
                    FX.curve_rate(F.col("rr_curve"), P.period_years(F.col("rr_term"))))
-    return out.withColumn("rr_curve_rate", curve).drop("rr_curve")
+    return out.select(*[c for c in out.columns if c != "rr_curve"], curve.alias("rr_curve_rate"))
 
 
 def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int | None = None,
@@ -94,10 +92,10 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
                                F.col("rr_first"), F.col("rr_last"), F.col("rr_last_value"),
                                "_series_value", spread_key=F.col("contract_id"))
         else:
-            ev = ev.withColumn("_series_value", F.lit(None).cast("double"))
+            ev = ev.select("*", F.lit(None).cast("double").alias("_series_value"))
         obs = (F.when(F.col("rr_type") == FX.TERM_STRUCTURE, F.col("rr_curve_rate"))
                .when(is_series_reset, F.col("_series_value")))
-        ev = ev.withColumn("obs_value", obs)
+        ev = ev.select("*", obs.alias("obs_value"))
         rolled = state.roll_state(ev, t0c)
         return rolled.select(*EVENT_OUTPUT, *keep)
 
@@ -116,8 +114,8 @@ def to_base_currency(events: DataFrame, factors: FX.FactorTables, base: str = "U
     ev = FX.asof_value(ev, factors, F.col("_fx_code"), F.col("event_date"), F.col("_fx_first"),
                        F.col("_fx_last"), F.col("_fx_lv"), "_fx", spread_key=F.col("contract_id"))
     rate = F.when(F.col("currency") == base, F.lit(1.0)).otherwise(F.col("_fx"))
-    return (ev.withColumn("fx_rate", rate).withColumn("value_usd", F.col("value") * F.col("fx_rate"))
-            .drop("_fx_code", "_fx_first", "_fx_last", "_fx_lv", "_fx"))
+    keep = [c for c in ev.columns if c not in ("_fx_code", "_fx_first", "_fx_last", "_fx_lv", "_fx")]
+    return ev.select(*keep, rate.alias("fx_rate"), (F.col("value") * rate).alias("value_usd"))
 
 
 def parse_book(lines: DataFrame, layout: str = "full") -> DataFrame:

@@ -34,11 +34,11 @@ def book(spark: SparkSession, sf: str, layout: str = "full", defects: bool = Fal
 
 def without_terms(df: DataFrame, rr: bool = True, prd_td: bool = True) -> DataFrame:
     """The book with the reset or purchase/termination terms switched off."""
-    drop = ([] if rr else [("rr_anchor", "date"), ("rr_cycle", "string"), ("rr_moc", "string")]) + \
-           ([] if prd_td else [("prd", "date"), ("pprd", "double"), ("td", "date"), ("ptd", "double")])
-    for name, typ in drop:
-        df = df.withColumn(name, F.lit(None).cast(typ))
-    return df
+    drop = dict(([] if rr else [("rr_anchor", "date"), ("rr_cycle", "string"), ("rr_moc", "string")]) +
+                ([] if prd_td else [("prd", "date"), ("pprd", "double"), ("td", "date"), ("ptd", "double")]))
+    if not drop:
+        return df
+    return df.select(*[F.lit(None).cast(drop[c]).alias(c) if c in drop else F.col(c) for c in df.columns])
 
 
 def factors(spark: SparkSession, sf: str) -> FX.FactorTables:
