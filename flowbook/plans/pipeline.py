@@ -151,7 +151,7 @@ def load_factors(spark: SparkSession, path: str | list[str]) -> FX.FactorTables:
 def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
         lines: DataFrame | None = None, factors_path: str | list[str] | None = None,
         factor_lines: DataFrame | None = None, t0=None, time_spec_path: str | None = None,
-        layout: str = "full", partitions: int | None = None, min_partitions: int | None = None,
+        layout: str = "full", partitions: int | str | None = None, min_partitions: int | None = None,
         sink: str | None = None, output: str | None = None, view: str | None = None,
         cache: bool = False) -> DataFrame:
     """L1-L3 in one function; returns the nested result (one row per contract).
@@ -163,6 +163,8 @@ def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
     """
     from flowbook.plans import sinks
 
+    if partitions is not None:  # H2: also given as text such as "32" or "32.0", truncated
+        partitions = int(float(partitions))
     if lines is None:
         lines = text.read_lines(spark, contracts_path, min_partitions=min_partitions)
     if t0 is None:

@@ -37,7 +37,7 @@ def test_l1_text_sink(spark, files):
 def test_l2_parquet_view_and_count(spark, files):
     out = files + "/out_l2"
     nested = PL.run(spark, files + "/contracts", factors_path=files + "/factors",
-                    time_spec_path=files + "/time", partitions=4, sink="parquet", output=out,
+                    time_spec_path=files + "/time", partitions="4.0", sink="parquet", output=out,
                     view="events_l2", cache=True)
     assert spark.sql("SELECT COUNT(*) AS n FROM events_l2").first()["n"] == 1500
     back = spark.read.parquet(out)
