@@ -200,7 +200,7 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     base = F.when(c("rr_point") == "E", next_rr).otherwise(c("event_date"))
     obs = F.when(sg == "RR", cycle_date(base, F.lit(-1), c("_fx_sm"), c("_fx_sd")))
     s3 = s2.select(*cols, "event_date", rank.alias("seq"), typ.alias("type"), obs.alias("obs_date"),
-                   "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd")
+                   "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", "_i", "_o_ip")
     # Accrual group (X5): interest payments strictly before this event in
     # (date, rank) order -- IP cycle dates before it, and the IP at ``md``.
     d, q = c("event_date"), c("seq")
@@ -208,7 +208,14 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     ip_before = F.least(count_before_steps(c("_ip_start"), c("_end"), c("_ip_sm"), c("_ip_sd")), c("_c_ip"))
     md_before = F.when((c("_c_ipmd") == 1) & ((c("md") < d) | ((c("md") == d) & (q > EVENT_RANK["IP"]))),
                        F.lit(1)).otherwise(F.lit(0))
-    return s4.select(*cols, "event_date", "seq", "type", "obs_date", (ip_before + md_before).alias("_grp"))
+    # Interest events know their group from their index; only IED, resets,
+    # PRD and TD need the date count (a CASE evaluates the taken branch only).
+    seg = c("_seg")
+    grp = (F.when(seg == "IP", c("_i") - c("_o_ip"))
+           .when(seg == "IPMD", c("_c_ip"))
+           .when(seg == "MD", c("_c_ip") + c("_c_ipmd"))
+           .otherwise(ip_before + md_before))
+    return s4.select(*cols, "event_date", "seq", "type", "obs_date", grp.alias("_grp"))
 
 
 def schedule_table(contracts: DataFrame, t0: Column) -> DataFrame:
