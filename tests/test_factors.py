@@ -58,3 +58,34 @@ def test_curve_interpolation(spark, lines_df):
     r = curve.select(*[FX.curve_rate(F.col("curve"), F.lit(t)).alias(f"t{i}")
                        for i, t in enumerate([0.0, 1 / 12, 6.5 / 12, 1.0, 3.0])]).first()
     assert r.t0 == 0.01 and r.t1 == 0.01 and abs(r.t2 - 0.015) < 1e-12 and r.t3 == 0.02 and r.t4 == 0.02
+
+
+def test_hot_code_spreads_over_month_keys(spark, lines_df):
+    """One code for every probe (a third of a book or all of it): the shuffle
+    path joins on (code, month), so the hot code is split by month."""
+    dates = [dt.date(2000, 1, 1) + dt.timedelta(days=30 * i) for i in range(60)]
+    line = "HOT;x;ReferenceRate;" + "!".join(d.isoformat() + "T00" for d in dates) + ";" + \
+        "!".join(str(0.01 + i / 1000) for i in range(60))
+    probes = spark.range(0, 3000).select(
+        F.col("id"), F.date_add(F.lit(dt.date(1999, 12, 1)), (F.col("id") % 1900).cast("int")).alias("at"))
+
+    def run():
+        f = FX.FactorTables(lines_df([line]))
+        m = f.meta.first()
+        out = FX.asof_value(probes, f, F.lit("HOT"), F.col("at"), F.lit(m.first_date), F.lit(m.last_date),
+                            F.lit(m.last_value), "v", spread_key=F.col("id"))
+        rows = sorted((r.id, r.v) for r in out.collect())
+        return rows, out._jdf.queryExecution().executedPlan().toString()
+
+    ref, _ = run()
+    spark.conf.set(B.MAX_ROWS_CONF, "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, plan = run()
+    finally:
+        spark.conf.unset(B.MAX_ROWS_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == ref
+    assert "SortMergeJoin" in plan and "year(_k_at" in plan
+    # ids cycle modulo 1900 over 3000 rows: two sets of 31 December-1999 probes precede the data
+    assert sum(v is None for _, v in ref) == 62
