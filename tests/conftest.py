@@ -15,6 +15,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="flowbook-warehouse-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
