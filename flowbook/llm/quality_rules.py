@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbook.llm.scan import BLANKS, Chunk, Words, between, chunks, covered, mix, per_doc, raw_prefix
+from flowbook.llm.scan import BLANKS, Chunk, Words, between, chunks, covered, mix, per_doc, prefix, raw_prefix
 from flowbook.llm.store import columns, stored
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -82,11 +82,12 @@ def text_stats(chunk: Chunk, words: Words, rules: Rules) -> dict[str, np.ndarray
     """The per-text counts of the base rules."""
     raw, off = chunk.raw, chunk.off
     point = (raw & 0xC0) != 0x80
-    at, h = words.windows(rules.repeat_window)
+    plain = raw_prefix(chunk)  # the base rules compare words and lines as they stand
+    at, h = words.windows(rules.repeat_window, prefix(between(plain, words.start, words.end)))
     hit = covered(at[_found_twice(h, words.doc[at])], rules.repeat_window, len(words.start))
     s, e, _, _ = _lines(chunk, words)
     line_doc = np.searchsorted(off, s, side="right") - 1
-    later = _seen_before(between(raw_prefix(chunk), s, e), line_doc)
+    later = _seen_before(between(plain, s, e), line_doc)
     return {
         "n_words": words.count.astype(np.int64),
         "word_chars": per_doc(words.inside & point, off[:-1], off[1:]),

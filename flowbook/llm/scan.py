@@ -127,12 +127,13 @@ class Words:
             self._sums = prefix(self.hash)
         return self._sums
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of every window of ``n`` words inside one text."""
+    def windows(self, n: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of every window of ``n`` words inside one text;
+        ``sums``: prefix sums over other hashes of the words."""
         at = np.arange(max(0, len(self.start) - n + 1))
         if n > 1:
             at = at[self.doc[at] == self.doc[at + n - 1]]
-        return at, between(self.sums, at, at + n)
+        return at, between(self.sums if sums is None else sums, at, at + n)
 
     def text(self, i: int, j: int) -> bytes:
         """Words ``i`` to ``j`` - 1, separated by one space."""
