@@ -1,25 +1,26 @@
 """Near-duplicate documents with SetSketch registers (op1).
 
-A document is the set of its distinct 5-word shingles.  Its sketch has 180
+A document is the set of its distinct 5-word shingles.  Its sketch has 600
 registers: each is the set's smallest exponential hash value on a logarithmic
 scale, ``K = floor(1 - log_b(x))`` truncated to one byte, so sketches merge by the
 maximum and equal registers get likelier with the similarity.
 
 1. Documents with equal sets are one class (by a 128-bit digest; counted, never paired).
-2. Classes that agree in one of 30 bands of 6 registers are candidates: a pair at
+2. Classes that agree in one of 30 bands of 6 of the first 180 registers are
+   candidates: a pair at
    similarity 0.85 shares no band with a probability below 1e-6.
 3. A bucket's candidates are screened by the joint likelihood of similarity given
    the registers that are larger, smaller and equal and the two exact set sizes;
-   a pair goes only if 0.85 is less likely than the best value by seven standard
-   deviations or the sizes rule it out.
+   a pair is dropped only if 0.85 is less likely than the best value by 4.75
+   standard deviations (one link in a million) or the sizes rule it out.
 4. Links are confirmed on full sets, read from the texts.
 
-Pairs are tested in three passes: a spanning tree of each bucket first; after the
-components are known, the best pair of any two different components of a bucket;
-at last every pair left that lies in different components.  So a group of copies
-costs about its size and not its square, and no pair that could join two
-components stays untested.  Buckets are dealt in blocks of ``BLOCK`` members, and in
-the later passes in pairs of blocks; a hot bucket spreads over many tasks.
+Pairs are tested in two passes: a spanning forest of each bucket first; then,
+with the components known, every pair left that lies in different components, at
+its first common band.  So a group of copies costs about its size and not its
+square, and no pair that could join two components stays untested.  Buckets are
+dealt in blocks of ``BLOCK`` members, and in the second pass in pairs of blocks;
+a hot bucket spreads over many tasks.
 
 Texts without words and null texts have an empty set and are linked with nothing.
 Rows with one doc_id are one document: it is linked with whatever one of its
@@ -41,8 +42,8 @@ from flowbook.llm.scan import BLANKS, Chunk, between, chunks, mix
 from flowbook.llm.store import shuffle_parts, stored
 
 SHINGLE = 5
-REGISTERS, BAND = 180, 6
-BANDS = REGISTERS // BAND
+REGISTERS, BANDS, BAND = 600, 30, 6
+SURE = 4.75  # standard deviations
 FIRST = 3  # the first pass looks at one bucket in three
 BASE, RATE, TOP = 1.12, 10.0, 254
 BLOCK = 512
@@ -95,16 +96,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n_shingles", "digest", "registers"])
 
 
-def candidate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of sketches may have the similarity, seven standard deviations allowed."""
+def candidate(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sketches ``b`` may be as similar to the sketch ``a``, and their equal registers."""
     need = percent / 100
-    equal = (a == b).sum(1)
-    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (equal >= REGISTERS * need - 7 * np.sqrt(REGISTERS * need * (1 - need)))
-    at = np.flatnonzero(ok)
+    equal = (b == a).sum(1)
+    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (equal >= REGISTERS * need - SURE * np.sqrt(REGISTERS * need * (1 - need)))
+    at = np.flatnonzero(ok & (equal < REGISTERS * need))
     if len(at):
-        more = (a[at] > b[at]).sum(1)
-        ok[at] = _likely(more, REGISTERS - more - equal[at], equal[at], na[at], nb[at], need)
-    return ok
+        more = (b[at] < a).sum(1)
+        ok[at] = _likely(more, REGISTERS - more - equal[at], equal[at], na, nb[at], need)
+    return ok, equal
 
 
 def log_likelihood(j: np.ndarray, more: np.ndarray, less: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -116,71 +117,63 @@ def log_likelihood(j: np.ndarray, more: np.ndarray, less: np.ndarray, equal: np.
 
 
 def _likely(more, less, equal, na, nb, need: float) -> np.ndarray:
+    """``need`` against the best lower similarity; lower ones than the grid's have fewer equal registers."""
     top = np.minimum(na / nb, nb / na)
-    grid = [log_likelihood(top * k / 40, more, less, equal, na, nb) for k in range(41)]
-    best, at = np.max(grid, 0), np.argmax(grid, 0) / 40 * top
-    return (at >= need) | (2 * (best - log_likelihood(np.minimum(need, top), more, less, equal, na, nb)) <= 49)
+    best = np.max([log_likelihood(np.minimum(j, top), more, less, equal, na, nb) for j in np.linspace(0.75, 1, 12) * need], 0)
+    return 2 * (best - log_likelihood(np.minimum(need, top), more, less, equal, na, nb)) <= SURE**2
 
 
 def _tree(regs: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the candidates, by most equal registers (Prim)."""
-    g = len(n)
-    best, via, out = np.full(g, -1), np.full(g, -1), []
-    left = np.ones(g, bool)
-    for _ in range(g):
+    best, via, out = np.full(len(n), -1), np.full(len(n), -1), []
+    left = np.ones(len(n), bool)
+    for _ in range(len(n)):
         i = int(np.where(left, best, -2).argmax())
         left[i] = False
         if via[i] >= 0:
             out.append((int(via[i]), i))
         rest = np.flatnonzero(left)
         if len(rest):
-            ok = candidate(np.broadcast_to(regs[i], (len(rest), REGISTERS)), regs[rest], np.full(len(rest), n[i]), n[rest], percent)
-            equal = (regs[rest] == regs[i]).sum(1)
-            better = rest[ok & (equal > best[rest])]
-            best[better], via[better] = (regs[better] == regs[i]).sum(1), i
+            ok, equal = candidate(regs[i], regs[rest], n[i], n[rest], percent)
+            ok &= equal > best[rest]
+            best[rest[ok]], via[rest[ok]] = equal[ok], i
     return out
 
 
-def _cross(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, part: np.ndarray, percent: int, best_only: bool) -> list[tuple[int, int]]:
-    """Candidates in different components, and in different parts if there are two;
-    with ``best_only`` one of most equal registers for two components."""
-    out, two = [], len(set(part.tolist())) > 1
-    for i in range(len(n)):
+def _cross(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, part: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
+    """Candidates in different components, and in different parts if there are
+    two, that agree in no band before ``band``."""
+    out, two = [], bool((part != part[0]).any())
+    first = regs[:, :(band + 1) * BAND]
+    for i in range(len(n) - 1):
         rest = np.arange(i + 1, len(n))
         rest = rest[(comp[rest] != comp[i]) & ((part[rest] != part[i]) | (not two))]
         if len(rest):
-            ok = candidate(np.broadcast_to(regs[i], (len(rest), REGISTERS)), regs[rest], np.full(len(rest), n[i]), n[rest], percent)
+            same = (first[rest] == first[i]).reshape(len(rest), band + 1, BAND).all(2)
+            rest = rest[~same[:, :band].any(1)]
+        if len(rest):
+            ok, _ = candidate(regs[i], regs[rest], n[i], n[rest], percent)
             out += [(i, int(j)) for j in rest[ok]]
-    if best_only and out:
-        score = [(int((regs[i] == regs[j]).sum()), i, j) for i, j in out]
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for s in score:
-            key = tuple(sorted((int(comp[s[1]]), int(comp[s[2]]))))
-            found[key] = max(found.get(key, s), s)
-        out = [(i, j) for _, i, j in found.values()]
     return out
 
 
-def _pairs(choose, percent: int):
+def _pairs(choose):
     """Pairs (a < b) of the groups of equal ``key``; rows come sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         found: set[tuple[int, int]] = set()
-        seen: set[tuple[int, ...]] = set()  # groups with the same members come back in other bands
 
         def close() -> None:
-            cls = tuple(r[1] for r in held)
-            if len(held) > 1 and cls not in seen:
-                if len(cls) <= 8:
-                    seen.add(cls)
+            if len(held) > 1:
+                cls = [r[1] for r in held]
                 regs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), REGISTERS)
                 n, comp, part = (np.array([r[k] for r in held], np.int64) for k in (2, 4, 5))
-                found.update((min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in choose(regs, n, comp, part) if cls[i] != cls[j])
+                found.update((min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in choose(regs, n, comp, part, held[0][6]) if cls[i] != cls[j])
             held.clear()
 
         for b in batches:
-            for row in zip(*[b.column(k).to_pylist() for k in ("key", "cls", "n", "registers", "comp", "part")], strict=True):
+            for row in zip(*[b.column(k).to_pylist() for k in ("key", "cls", "n", "registers", "comp", "part", "band")], strict=True):
                 if held and held[0][0] != row[0]:
                     close()
                 held.append(row)
@@ -198,10 +191,10 @@ def _as_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], names=["a", "b"])
 
 
-def _grouped(rows: DataFrame, choose, percent: int) -> DataFrame:
-    """Distinct candidate pairs; ``rows`` have key, cls, n, registers, comp, part."""
+def _grouped(rows: DataFrame, choose) -> DataFrame:
+    """Distinct candidate pairs; ``rows`` have key, cls, n, registers, comp, part, band."""
     dealt = rows.repartition(2 * shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(_pairs(choose, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_pairs(choose), "a long, b long").distinct()
 
 
 def _confirm(percent: int):
@@ -234,9 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
 
     # buckets of two classes or more
-    bands = classes.select("cls", F.explode(_bands(F.col("registers"))).alias("band"))  # 64-bit keys; a clash only adds candidates
-    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(bands.join(full, "band"), "members")
+    buckets = classes.select("cls", F.posexplode(_bands(F.col("registers"))).alias("band", "bucket"))  # 64-bit keys; a clash only adds candidates
+    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stored(buckets.join(full, "bucket"), "members")
     texts = stored(own.join(members.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("text IS NOT NULL").select(
         F.col("doc_id").alias("cls"), "text"), "texts")
     sketches = classes.select("cls", "n", "registers")
@@ -244,27 +237,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
     # first pass: a spanning forest of each block
-    some = members.filter(F.pmod("band", F.lit(FIRST)) == 0)
-    rows = some.join(sketches, "cls").select(F.xxhash64("band", block).alias("key"), "cls", "n", "registers",
-                                             F.lit(0).cast("long").alias("comp"), F.lit(0).alias("part"))
-    tested = stored(_grouped(rows, lambda regs, n, comp, part: _tree(regs, n, percent), percent), "pairs")
+    some = members.filter(F.pmod("bucket", F.lit(FIRST)) == 0)
+    rows = some.join(sketches, "cls").select(F.xxhash64("bucket", block).alias("key"), "cls", "n", "registers",
+                                             F.lit(0).cast("long").alias("comp"), F.lit(0).alias("part"), "band")
+    tested = stored(_grouped(rows, lambda regs, n, comp, part, band: _tree(regs, n, percent)), "pairs")
     links = stored(_linked(tested, texts, percent), "links")
     comp = stored(components(links), "components")
 
-    # later passes: buckets that hold different components
-    for best_only in (True, False):
-        known = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        mixed = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-        left = known.join(mixed, "band").join(sketches, "cls").withColumn("block", block)
-        pair = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-        rows = left.withColumn("p", F.explode(pair)).select(F.xxhash64("band", "p.i", "p.j").alias("key"), "cls", "n", "registers", "comp", F.col("block").alias("part"))
-        found = _grouped(rows, lambda regs, n, comp, part, one=best_only: _cross(regs, n, comp, part, percent, one), percent)
-        new = stored(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(new)
-        more = stored(_linked(new, texts, percent), "links")
-        if more.isEmpty():
-            continue
-        comp = stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    # second pass: buckets that hold different components
+    known = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    left = known.join(mixed, "bucket").join(sketches, "cls").withColumn("block", block)
+    pair = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    rows = left.withColumn("p", F.explode(pair)).select(F.xxhash64("bucket", "p.i", "p.j").alias("key"), "cls", "n", "registers", "comp", F.col("block").alias("part"), "band")
+    found = _grouped(rows, lambda regs, n, comp, part, band: _cross(regs, n, comp, part, band, percent))
+    more = stored(_linked(found.join(tested, ["a", "b"], "left_anti"), texts, percent), "links")
+    comp = stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     least = F.coalesce("component", "cls").alias("component_id")
     of_class = classes.select("digest", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("digest", least)

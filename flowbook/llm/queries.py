@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from flowbook.llm import chat, decontaminate, html_extract, near_dup, packing, quality_model, quality_rules, secret_scan, url_filter, warc
 
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table.  Python workers that share this machine's files find the
+    library where the driver does; on a cluster it is installed or sent along."""
+    path = spark.sparkContext.environment.setdefault("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, ROOT]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
