@@ -25,12 +25,14 @@ LONG_STUBS = ("+", "L0")
 
 
 def java_split(text: Column, sep: str = FIELD_SEP) -> Column:
-    """Split like ``String.split``: trailing empty tokens are dropped.
+    """Split like ``String.split``: trailing empty tokens are dropped, so a line of
+    separators only has no token, and an empty line has one empty token.
 
     Spark's ``split`` keeps them, so strip a run of separators at the end first.
     """
     s = re.escape(sep)
-    return F.split(F.regexp_replace(text, s + "+$", ""), s)
+    parts = F.split(F.regexp_replace(text, s + "+$", ""), s)
+    return F.when(text.rlike(f"^{s}+$"), F.array().cast("array<string>")).otherwise(parts)
 
 
 def token(tokens: Column, i: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowbook.operators.state import contract_key
+
 EVENT_COLUMNS = ["contract_id", "event_date", "seq", "type", "currency", "value", "nominal", "accrued"]
 NESTED_FIELDS = ["id", "date", "type", "currency", "value", "nominal", "accrued"]
 
@@ -20,13 +22,14 @@ def nest(events: DataFrame) -> DataFrame:
 
     Takes all events of every contract (with ``reported``), so a contract with
     nothing to report still gets a row with empty arrays, without a join.
-    Grouping by ``contract_id`` reuses the partitioning of the windows.
+    One row per input line: lines that share an id stay apart, and a rejected
+    line has empty arrays.  Grouping reuses the partitioning of the windows.
     """
     e = F.when(F.col("reported"), F.struct(
         F.col("event_date").alias("d"), F.col("seq").alias("seq"), F.col("type").alias("type"),
         F.col("currency").alias("currency"), F.col("value").alias("value"),
         F.col("nominal").alias("nominal"), F.col("accrued").alias("accrued")))
-    g = events.groupBy("contract_id").agg(F.sort_array(F.collect_list(e)).alias("ev"))
+    g = events.groupBy(*contract_key(events)).agg(F.sort_array(F.collect_list(e)).alias("ev"))
     ev = F.col("ev")
     return g.select(
         F.transform(ev, lambda x: F.col("contract_id")).alias("id"),

@@ -1,8 +1,8 @@
 """Broadcast only behind a size check.
 
 The factor side of every lookup is market data, not contracts, so it is
-usually small; but nothing bounds it by construction.  ``bounded`` counts at
-most ``max_rows + 1`` rows (a bounded job on the small side) and hints a
+usually small; but nothing bounds it by construction.  ``bounded`` counts its
+rows (summed from one number per task) and hints a
 broadcast only under the bound.  Beyond it the callers fall back to shuffle
 joins whose hot keys are spread (see ``operators.factors.asof_value``), and AQE
 splits skewed partitions.
@@ -23,7 +23,7 @@ def max_rows(df: DataFrame) -> int:
 
 def fits(df: DataFrame, limit: int | None = None) -> bool:
     limit = max_rows(df) if limit is None else limit
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def bounded(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:

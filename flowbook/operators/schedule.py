@@ -158,8 +158,10 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     """One row per event (``event_date, seq, type, obs_date``, and the
     accrual group ``_grp`` the state windows order by).
 
-    One generate over the event index per contract (not a union per type);
-    rejected contracts (``err_pos`` set) generate nothing.
+    One generate over the event index per contract (not a union per type).
+    A rejected contract (``err_pos`` set) has no events: it stays as one row
+    whose ``type`` and ``event_date`` are NULL, so that its line still gets a
+    (empty) nested result; filters on ``reported`` or ``type`` drop it.
     """
     c = F.col
     cols = list(contracts.columns)
@@ -167,9 +169,9 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     n_events = c("_o_md") + c("_c_md")
     if "err_pos" in cols:
         n_events = F.when(c("err_pos").isNull(), n_events).otherwise(F.lit(0))
-    idx = counted.select("*", F.explode(F.sequence(F.lit(0), n_events - 1)).alias("_i"))
+    idx = counted.select("*", F.explode_outer(F.when(n_events > 0, F.sequence(F.lit(0), n_events - 1))).alias("_i"))
     i = c("_i")
-    seg = (F.when(i < c("_o_ip"), F.lit("IED")).when(i < c("_o_ipmd"), F.lit("IP"))
+    seg = (F.when(i.isNull(), F.lit(None)).when(i < c("_o_ip"), F.lit("IED")).when(i < c("_o_ipmd"), F.lit("IP"))
            .when(i < c("_o_rr"), F.lit("IPMD")).when(i < c("_o_prd"), F.lit("RR"))
            .when(i < c("_o_td"), F.lit("PRD")).when(i < c("_o_md"), F.lit("TD")).otherwise(F.lit("MD")))
     s1 = idx.select(*cols, "_i", "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
@@ -180,7 +182,7 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     is_rrf = (k_rr == c("_k0")) & c("rr_next").isNotNull()
     s2 = s1.select(
         "*",
-        (F.when(sg == "IED", c("ied"))
+        (F.when(i.isNull(), F.lit(None)).when(sg == "IED", c("ied"))
          .when(sg == "IP", cycle_date(c("_ip_start"), i - c("_o_ip"), c("_ip_sm"), c("_ip_sd")))
          .when(sg == "RR", rr_date)
          .when(sg == "PRD", c("prd"))
@@ -222,4 +224,4 @@ def schedule_table(contracts: DataFrame, t0: Column) -> DataFrame:
     """IP and RR schedules per contract, with reset observation dates."""
     return explode_events(contracts.select(
         "contract_id", "ied", "md", "ip_anchor", "ip_cycle", "rr_anchor", "rr_cycle", "rr_next",
-        "rr_point", "rr_fixing", "prd", "td", *(["err_pos"] if "err_pos" in contracts.columns else [])), t0)
+        "rr_point", "rr_fixing", "prd", "td", *(["err_pos"] if "err_pos" in contracts.columns else [])), t0).filter(F.col("type").isNotNull())

@@ -10,7 +10,8 @@ of each contract, ordered by (date, type rank).
             PRD -(sign*price + accrued); TD sign*price + accrued; RR/RRF 0.
   reported: events after t0 and not before the purchase (X9, X10, E9).
 
-All windows share the partitioning by ``contract_id`` (no exchange); the
+All windows are per input line (``contract_key``) and share its partitioning
+(no exchange); the
 accrued-interest group sum needs a second sort within it.
 """
 
@@ -24,20 +25,31 @@ from flowbook.operators.contracts import role_sign
 from flowbook.operators.schedule import EVENT_RANK
 
 
+LINE_KEY = "line_key"
+
+
+def contract_key(df: DataFrame) -> list[str]:
+    """What tells contracts apart: the line they came from, where it is known.
+    Two lines with one id are two contracts, and ids that failed to parse are
+    no common key."""
+    return ["contract_id", LINE_KEY] if LINE_KEY in df.columns else ["contract_id"]
+
+
 def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> DataFrame:
     """Adds ``value, nominal, accrued, reported``; needs the event columns and
     ``role, rate, notional, dcc, rr_next, rr_mult, rr_spread, pprd, ptd, pdied, prd``."""
     typ = F.col("type")
+    key = contract_key(events)
     sign = role_sign(F.col("role")).cast("double")
     # ``_grp`` (interest payments before the event, from the schedule) never
     # falls in (date, rank) order, so ordering by (group, date, rank) is the
     # same order, and the accrual window below reuses this sort.
     if "_grp" not in events.columns:
-        g = Window.partitionBy("contract_id").orderBy("event_date", "seq").rowsBetween(
+        g = Window.partitionBy(*key).orderBy("event_date", "seq").rowsBetween(
             Window.unboundedPreceding, -1)
         events = events.select("*", F.coalesce(
             F.sum(F.col("type").isin("IP", "MD", "TD").cast("int")).over(g), F.lit(0)).alias("_grp"))
-    w = Window.partitionBy("contract_id").orderBy("_grp", "event_date", "seq")
+    w = Window.partitionBy(*key).orderBy("_grp", "event_date", "seq")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
 
     rate_set = (F.when(typ == "IED", F.col("rate"))
@@ -62,7 +74,7 @@ def roll_state(events: DataFrame, t0: Column, obs_col: str = "obs_value") -> Dat
     # Accrued interest: sum of the accruals since the last reset.  A running
     # sum minus its value at the reset would save a sort but cancels digits
     # (money must round the same way); the group sum is exact per group.
-    w_grp = (Window.partitionBy("contract_id", "_grp").orderBy("event_date", "seq")
+    w_grp = (Window.partitionBy(*key, "_grp").orderBy("event_date", "seq")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s4 = s3.select("*", F.sum("_inc").over(w_grp).alias("_acc"))
     acc = F.col("_acc")

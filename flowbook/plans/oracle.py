@@ -290,7 +290,8 @@ TIME_SPEC_CTES = """
     SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN ';;'
            ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%dT%H') || ';' || o_orderpriority || ';' || o_orderstatus END
     FROM orders),
-  toks AS (SELECT line_no, string_split(regexp_replace(value, ';+$', ''), ';') AS t FROM lines),
+  toks AS (SELECT line_no, CASE WHEN regexp_matches(value, '^;+$') THEN CAST([] AS VARCHAR[])
+                ELSE string_split(regexp_replace(value, ';+$', ''), ';') END AS t FROM lines),
   tokens AS (
     SELECT line_no, CAST(unnest(range(len(t))) AS INTEGER) AS pos, unnest(t) AS token FROM toks)"""
 
@@ -341,7 +342,14 @@ def all_sql() -> dict[str, str]:
     def num_arr(name):
         return f"'[' || array_to_string(list_transform({name}, lambda x: printf('%.4f', x)), ',') || ']'"
 
+    rejected = "(k > 0 AND (k % 997 = 0 OR k % 991 = 0))"
     out = {
+        "pam_defects": pam_sql() + f" AND contract_id NOT IN (SELECT contract_id FROM book WHERE {rejected})",
+        "nested_defects": _full(f"""
+SELECT CAST(count(e.contract_id) AS INTEGER) AS n_events, {r4('min(e.value)')} AS least, {r4('max(e.value)')} AS most
+FROM (SELECT contract_id, {rejected} AS bad, unnest([1, 2]) AS copy FROM book) b
+LEFT JOIN (SELECT * FROM events WHERE reported) e ON e.contract_id = b.contract_id AND NOT b.bad
+GROUP BY b.contract_id, b.copy"""),
         "parse_full": book_only + _terms_sql(FULL_COLUMNS),
         "parse_short": book_only + _terms_sql(SHORT_COLUMNS),
         "parse_prefix": book_defects + _terms_sql(FULL_COLUMNS, DEFECT_ERR),

@@ -2,9 +2,9 @@
 
 Plan shape (checked with ``explain``): text scan -> parse (one projection) ->
 left joins to the per-code factor metadata (broadcast when its size check
-passes) -> ONE hash exchange of the contracts on ``contract_id`` -> generate
+passes) -> ONE hash exchange of the contracts on their line key -> generate
 the event array and explode it -> broadcast as-of join for reset rows ->
-windows by ``contract_id`` (no further exchange: the partitioning is reused)
+windows by line (no further exchange: the partitioning is reused)
 -> events.  Nesting groups by ``contract_id`` on the same partitioning.
 Shuffling contracts before the explode moves one compact row per contract,
 not ~13 event rows.
@@ -75,9 +75,11 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
         if not repartition:
             return df
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(n, "contract_id")
+        return df.repartition(n, state.LINE_KEY)  # unique: no hot key, NULL ids spread too
 
     def apply(contracts: DataFrame) -> DataFrame:
+        if state.LINE_KEY not in contracts.columns:
+            contracts = contracts.select("*", F.monotonically_increasing_id().alias(state.LINE_KEY))
         # Broadcast lookups are narrow, so run them after the exchange (in
         # parallel, whatever the input split count).  Shuffle lookups re-key
         # the contracts by code first; then the exchange by id comes last.
@@ -97,7 +99,7 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
                .when(is_series_reset, F.col("_series_value")))
         ev = ev.select("*", obs.alias("obs_value"))
         rolled = state.roll_state(ev, t0c)
-        return rolled.select(*EVENT_OUTPUT, *keep)
+        return rolled.select(*EVENT_OUTPUT, *keep, state.LINE_KEY)
 
     return apply
 

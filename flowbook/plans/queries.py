@@ -54,8 +54,8 @@ def present(events: DataFrame) -> DataFrame:
 
 
 def pam(spark: SparkSession, sf: str, t0=FXT.FIXTURE_T0, rr: bool = True, prd_td: bool = True,
-        keep: tuple[str, ...] = (), f: FX.FactorTables | None = None) -> DataFrame:
-    b = without_terms(book(spark, sf), rr=rr, prd_td=prd_td)
+        keep: tuple[str, ...] = (), f: FX.FactorTables | None = None, defects: bool = False) -> DataFrame:
+    b = without_terms(book(spark, sf, defects=defects), rr=rr, prd_td=prd_td)
     if rr and f is None:
         f = factors(spark, sf)
     return b.transform(PL.cashflow_events(t0, f if rr else None, keep=keep))
@@ -87,6 +87,19 @@ def q_pam_full(spark, sf):
     return present(pam(spark, sf))
 
 
+def q_pam_defects(spark, sf):
+    """The full book with bad lines; a rejected line has no event."""
+    return present(pam(spark, sf, defects=True))
+
+
+def q_nested_defects(spark, sf):
+    """One row per input line, also for rejected lines (empty arrays) and
+    for lines that share an id (here every line twice)."""
+    b = without_terms(book(spark, sf, defects=True))
+    n = A.nest(b.union(b).transform(PL.cashflow_events(FXT.FIXTURE_T0, factors(spark, sf))))
+    return n.select(F.size("id").alias("n_events"), r4(F.array_min("value")).alias("least"), r4(F.array_max("value")).alias("most"))
+
+
 def _terms(df: DataFrame, layout: str = "full") -> DataFrame:
     names = [n for _, n, _ in C.LAYOUTS[layout]]
     return _text(df.select(*names, "err_pos"))
@@ -261,7 +274,7 @@ def q_events_flat(spark, sf):
 
 def q_events_text(spark, sf):
     """K1: the printable line per contract."""
-    return K.row_text(nested(spark, sf))
+    return K.row_text(nested(spark, sf), decimals=4)
 
 
 def q_events_ids(spark, sf):
@@ -320,6 +333,8 @@ QUERIES = {
     "pam_running": q_pam_running,
     "pam_floating": q_pam_floating,
     "pam_full": q_pam_full,
+    "pam_defects": q_pam_defects,
+    "nested_defects": q_nested_defects,
     "events_nested": q_events_nested,
     "events_flat": q_events_flat,
     "events_text": q_events_text,

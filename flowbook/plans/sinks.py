@@ -10,19 +10,18 @@ from pyspark.sql import functions as F
 from flowbook.operators.assemble import NESTED_FIELDS
 
 
-def _num_text(x: Column) -> Column:
-    return F.format_string("%.4f", x)
-
-
-def row_text(nested: DataFrame) -> DataFrame:
+def row_text(nested: DataFrame, decimals: int | None = None) -> DataFrame:
     """K1: one printable line per contract: the seven arrays as ``[a,b,..]``
-    joined by ``;`` (doubles with four decimals).  Spark's text sink takes
-    strings only, so arrays are rendered first."""
+    joined by ``;``, doubles in full or with ``decimals``.  Spark's text sink
+    takes strings only, so arrays are rendered first."""
+    def number(x: Column) -> Column:
+        return x.cast("string") if decimals is None else F.format_string(f"%.{decimals}f", x)
+
     parts = []
     for f in NESTED_FIELDS:
         col = F.col(f)
         if f in ("value", "nominal", "accrued"):
-            col = F.transform(col, _num_text)
+            col = F.transform(col, number)
         parts.append(F.concat(F.lit("["), F.array_join(col, ",", "null"), F.lit("]")))
     return nested.select(F.concat_ws(";", *parts).alias("line"))
 
@@ -43,10 +42,13 @@ def write_parquet(nested: DataFrame, path: str) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for materialised intermediates:
-    ``spark.checkpoint.dir`` from the session; one of our own only when unset
-    (local tests)."""
+    ``spark.checkpoint.dir`` from the session.  Where it is unset, a local master
+    (tests) gets a folder of its own; on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
         d = tempfile.mkdtemp(prefix="flowbook-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
