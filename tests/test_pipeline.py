@@ -77,9 +77,9 @@ def test_nest_flatten_roundtrip(spark):
 def test_one_exchange_on_contract_side(spark):
     ev = Q.pam(spark, SF_SMALL)
     plan = ev._jdf.queryExecution().executedPlan().toString()
-    # the only shuffle of contracts/events is the hash partitioning by contract_id;
+    # the only shuffle of contracts/events is the hash partitioning by line key;
     # others belong to the small factor side (dedup of factor lines)
-    assert plan.count("hashpartitioning(contract_id") == 1
+    assert plan.count("hashpartitioning(line_key") == 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
     assert "BroadcastHashJoin" in plan
 
