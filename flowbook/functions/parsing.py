@@ -21,6 +21,7 @@ NULL_TOKEN = "NULL"
 DATE_TEXT_FORMAT = "yyyy-MM-dd'T'HH"
 CYCLE_PATTERN = r"^P?(\d+)([DWMQHY])(L?[-+01]?)$"
 PERIOD_PATTERN = r"^P?(\d+)([DWMQHY])$"
+DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}(T([01]\d|2[0-3])(:[0-5]\d){0,2})?$"
 LONG_STUBS = ("+", "L0")
 
 
@@ -61,10 +62,10 @@ def nan_to_null(x: Column) -> Column:
 def parse_date(x: Column) -> Column:
     """``yyyy-MM-ddTHH`` (or ISO date) text to DATE; NULL when unparseable.
 
-    Spark's date cast reads ``yyyy-MM-dd`` followed by ``T`` and a time part,
-    and it is far lighter in generated code than a formatter per term.
+    Spark's date cast reads ``yyyy-MM-dd`` followed by ``T`` and any text, and
+    parts of a date; the pattern admits whole dates with or without a time only.
     """
-    return x.try_cast("date")
+    return F.when(x.rlike(DATE_PATTERN), x.try_cast("date"))
 
 
 def _group(x: Column, pattern: str, i: int) -> Column:

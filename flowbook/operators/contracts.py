@@ -69,6 +69,9 @@ LAYOUTS = {"full": FULL_LAYOUT, "short": SHORT_LAYOUT}
 ROLE_SIGN = {"RPA": 1, "RPL": -1}
 CYCLE_POINTS = ("B", "E")
 
+# Terms without which a contract has no cash flow: ``NULL``, empty or ``NaN`` rejects.
+REQUIRED = ("rate", "ied", "md", "notional")
+
 TERM_TYPES = {
     "date": "date", "role": "string", "text": "string", "cycle": "string",
     "double": "double", "dcc": "string", "code": "string", "point": "string",
@@ -79,14 +82,17 @@ TERM_TYPES = {
 ALL_TERMS = [(name, TERM_TYPES[kind]) for _, name, kind in FULL_LAYOUT]
 
 
-def _term(raw: Column, kind: str) -> tuple[Column, Column]:
+def _term(raw: Column, kind: str, required: bool = False) -> tuple[Column, Column]:
     """(parsed value, term accepted) for one raw token."""
     present = raw.isNotNull()
     if kind == "double":
         v = P.parse_double(raw)
-        return P.nan_to_null(v), present & v.isNotNull()
+        n = P.nan_to_null(v)
+        return n, present & (n if required else v).isNotNull()
     if kind == "date":
         v = P.parse_date(raw)
+        if required:
+            return v, present & v.isNotNull()
         return v, present & (P.is_null_token(raw) | v.isNotNull())
     if kind == "cycle":
         return P.null_if_token(raw), present & (P.is_null_token(raw) | raw.rlike(P.CYCLE_PATTERN))
@@ -117,7 +123,7 @@ def parse_contracts(lines: DataFrame, layout: str = "full", value_col: str = "va
         *keep, "_tok", *[P.token(F.col("_tok"), pos).alias(f"_r{pos}") for pos, _, _ in spec])
     vals, oks = [], []
     for pos, name, kind in spec:
-        value, ok = _term(F.col(f"_r{pos}"), kind)
+        value, ok = _term(F.col(f"_r{pos}"), kind, name in REQUIRED)
         vals.append(value.alias(f"_v{pos}"))
         oks.append(F.when(~ok, F.lit(pos)))
     err_pos = F.least(*oks) if len(oks) > 1 else oks[0]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from flowbook.functions import parsing as P
 from flowbook.functions.dates import month_index
 from flowbook.operators import broadcast as B
+from flowbook.operators.state import LINE_KEY
 
 # Risk-factor types.
 TERM_STRUCTURE = "TermStructure"
@@ -29,6 +30,11 @@ FX_RATE = "ForeignExchangeRate"
 KNOWN_TYPES = (TERM_STRUCTURE, REFERENCE_RATE, REFERENCE_INDEX, FX_RATE)
 DATED_TYPES = (REFERENCE_RATE, REFERENCE_INDEX, FX_RATE)
 
+#: Beyond the broadcast bound, a hot code's rows are dealt to so many keys and the
+#: factor side is replicated as often.
+SALTS_CONF = "flowbook.lookup.salts"
+DEFAULT_SALTS = 16
+
 
 def factor_records(lines: DataFrame) -> DataFrame:
     """``(line_no, code, rf_type, keys ARRAY<STRING>, vals ARRAY<STRING>)``."""
@@ -37,8 +43,8 @@ def factor_records(lines: DataFrame) -> DataFrame:
         "line_no",
         P.token(tok, 0).alias("code"),
         P.token(tok, 2).alias("rf_type"),
-        F.split(P.token(tok, 3), "!").alias("keys"),
-        F.split(P.token(tok, 4), "!").alias("vals"))
+        P.java_split(P.token(tok, 3), P.ARRAY_SEP).alias("keys"),
+        P.java_split(P.token(tok, 4), P.ARRAY_SEP).alias("vals"))
 
 
 def dedup(records: DataFrame) -> DataFrame:
@@ -50,33 +56,41 @@ def dedup(records: DataFrame) -> DataFrame:
 
 
 def series(lines: DataFrame) -> DataFrame:
-    """Typed, sorted points per code, one row per code, known types only.
+    """Typed, sorted points per code, one row per code, of every type.
 
-    ``pts ARRAY<STRUCT<d DATE, v DOUBLE>>`` for dated types,
-    ``curve ARRAY<STRUCT<t DOUBLE, v DOUBLE>>`` (tenor in years) for curves.
-    Points whose key or value does not parse are left out.
+    ``pts ARRAY<STRUCT<d DATE, pos INT, v DOUBLE>>`` where the keys are dates,
+    ``curve ARRAY<STRUCT<t DOUBLE, pos INT, v DOUBLE>>`` (tenor in years) for
+    curves.  A line is read as a whole: if one key or value does not parse, or
+    there are not as many keys as values, the array is NULL and the line is in
+    ``factor_rejects``.  Of points with equal keys the later one is last.
     """
-    rec = dedup(factor_records(lines)).filter(F.col("rf_type").isin(*KNOWN_TYPES))
-    zipped = F.arrays_zip("keys", "vals")
-    dated = F.array_sort(F.filter(
-        F.transform(zipped, lambda p: F.struct(P.parse_date(p["keys"]).alias("d"),
-                                               P.nan_to_null(P.parse_double(p["vals"])).alias("v"))),
-        lambda p: p["d"].isNotNull() & p["v"].isNotNull()))
-    curve = F.array_sort(F.filter(
-        F.transform(zipped, lambda p: F.struct(P.period_years(p["keys"]).alias("t"),
-                                               P.nan_to_null(P.parse_double(p["vals"])).alias("v"))),
-        lambda p: p["t"].isNotNull() & p["v"].isNotNull()))
+    rec = dedup(factor_records(lines))
     is_curve = F.col("rf_type") == TERM_STRUCTURE
+
+    def points(name, parse):
+        p = F.transform(F.arrays_zip("keys", "vals"), lambda x, i: F.struct(
+            parse(x["keys"]).alias(name), i.alias("pos"), P.nan_to_null(P.parse_double(x["vals"])).alias("v")))
+        whole = F.size("keys") == F.size("vals")
+        return F.when(whole & F.forall(p, lambda x: x[name].isNotNull() & x["v"].isNotNull()), F.array_sort(p))
+
     return rec.select(
-        "code", "rf_type", "line_no",
-        F.when(~is_curve, dated).alias("pts"),
-        F.when(is_curve, curve).alias("curve"))
+        "code", "rf_type", "line_no", F.size("keys").alias("n_keys"), F.size("vals").alias("n_vals"),
+        F.when(~F.coalesce(is_curve, F.lit(False)), points("d", P.parse_date)).alias("pts"),
+        F.when(is_curve, points("t", P.period_years)).alias("curve"))
+
+
+def factor_rejects(lines: DataFrame) -> DataFrame:
+    """The lines in use that do not read as what their type says (an unknown
+    type: as a dated series), with the reason: ``length`` or ``value``."""
+    bad = series(lines).filter("pts IS NULL AND curve IS NULL")
+    reason = F.when(F.col("n_keys").isNull() | (F.col("n_keys") != F.col("n_vals")) | (F.col("n_vals").isNull()), "length")
+    return bad.select("code", "rf_type", "line_no", reason.otherwise("value").alias("reason"))
 
 
 def factor_points(lines: DataFrame) -> DataFrame:
     """Every point of every known factor as a row:
     ``code, rf_type, pos, obs_date, tenor_years, value``."""
-    s = series(lines)
+    s = series(lines).filter(F.col("rf_type").isin(*KNOWN_TYPES))
     dated = s.filter(F.col("pts").isNotNull()).select(
         "code", "rf_type", F.posexplode("pts").alias("pos", "p")).select(
         "code", "rf_type", "pos", F.col("p.d").alias("obs_date"),
@@ -89,14 +103,18 @@ def factor_points(lines: DataFrame) -> DataFrame:
 
 
 def meta(series_df: DataFrame) -> DataFrame:
-    """One row per code: type, first and last observation, last value, curve."""
+    """One row per code: type, first and last observation, last value, curve, and
+    whether the line reads as a reset factor (F3: types other than the two are
+    ignored there, without an error) and as an index (F5: whatever its type)."""
     pts = F.col("pts")
+    read = (F.when(F.col("rf_type") == TERM_STRUCTURE, F.col("curve").isNotNull())
+            .when(F.col("rf_type") == REFERENCE_RATE, pts.isNotNull()).otherwise(F.lit(True)))
     return series_df.select(
         "code", "rf_type",
         F.try_element_at(pts, F.lit(1))["d"].alias("first_date"),
         F.try_element_at(pts, F.lit(-1))["d"].alias("last_date"),
         F.try_element_at(pts, F.lit(-1))["v"].alias("last_value"),
-        "curve")
+        "curve", read.alias("reset_ok"), pts.isNotNull().alias("scaling_ok"))
 
 
 def intervals(series_df: DataFrame) -> DataFrame:
@@ -134,12 +152,44 @@ class FactorTables:
         return self.meta_broadcast and self.intervals_broadcast
 
 
+def _salts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+
+
+def _salt(spread: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(spread), F.lit(n)).cast("int")
+
+
+def _salted(df: DataFrame, n: int) -> DataFrame:
+    """``df`` once per salt."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_m_salt"))
+
+
+def _spread_of(df: DataFrame) -> Column:
+    """What tells contracts apart, never NULL."""
+    key = F.col(LINE_KEY) if LINE_KEY in df.columns else F.col("contract_id")
+    return F.coalesce(key.cast("string"), F.lit(""))
+
+
+def join_meta(df: DataFrame, factors: FactorTables, m: DataFrame, key: Column, code: str) -> DataFrame:
+    """Left join of ``df`` to metadata ``m`` on ``key`` = ``code``.
+
+    In the shuffle path a code's rows are dealt to several keys (the metadata is
+    replicated as often), and rows without a key get one that no factor has.
+    """
+    if factors.meta_broadcast:
+        return df.join(m, key == F.col(code), "left")
+    n, spread = _salts(df), _spread_of(df)
+    key = F.coalesce(key, F.concat(F.lit("\u0000"), spread))
+    return df.join(_salted(m, n), (key == F.col(code)) & (_salt(spread, n) == F.col("_m_salt")), "left").drop("_m_salt")
+
 
 def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, prefix: str,
-                gate: Column | None = None) -> DataFrame:
+                gate: Column | None = None, ok: str = "reset_ok") -> DataFrame:
     """Left join of each contract to the metadata of ``code_col``.
 
-    Adds ``{prefix}_found``, ``_type``, ``_first``, ``_last``, ``_last_value``,
+    Adds ``{prefix}_found`` (there is a line), ``_ok`` (and it reads for this use,
+    the metadata's ``ok``), ``_type``, ``_first``, ``_last``, ``_last_value``,
     ``_curve``.  With ``gate`` false the lookup is skipped (J5: a failed reset
     lookup skips the scaling lookup).
     """
@@ -149,15 +199,13 @@ def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, pref
         F.col("first_date").alias(f"{prefix}_first"),
         F.col("last_date").alias(f"{prefix}_last"),
         F.col("last_value").alias(f"{prefix}_last_value"),
-        F.col("curve").alias(f"{prefix}_curve"))
+        F.col("curve").alias(f"{prefix}_curve"),
+        F.col(ok).alias(f"{prefix}_ok"))
     key = F.col(code_col) if gate is None else F.when(gate, F.col(code_col))
-    if not factors.meta_broadcast:
-        # Shuffle join: contracts without a code would all hash to the NULL
-        # key's partition; give them a key no factor has, spread by id.
-        key = F.coalesce(key, F.concat(F.lit("\u0000"), F.col("contract_id")))
-    joined = contracts.join(m, key == F.col(f"{prefix}_code"), "left")
-    rest = [c for c in joined.columns if c != f"{prefix}_code"]
-    return joined.select(*rest, F.col(f"{prefix}_code").isNotNull().alias(f"{prefix}_found"))
+    joined = join_meta(contracts, factors, m, key, f"{prefix}_code")
+    rest = [c for c in joined.columns if c not in (f"{prefix}_code", f"{prefix}_ok")]
+    return joined.select(*rest, F.col(f"{prefix}_code").isNotNull().alias(f"{prefix}_found"),
+                         F.coalesce(f"{prefix}_ok", F.lit(False)).alias(f"{prefix}_ok"))
 
 
 def curve_rate(curve: Column, term_years: Column) -> Column:
@@ -179,7 +227,7 @@ def asof_value(df: DataFrame, factors: FactorTables, code: Column, at: Column,
     Rows inside ``[first, last)`` probe the month intervals; later ones take
     ``last_value``.  Without a broadcast, rows that do not probe get a key no
     interval has (from ``spread_key``), so they spread over the shuffle instead
-    of piling up on the NULL key.
+    of piling up on the NULL key, and a busy month of a hot code is salted.
     """
     probe = at.isNotNull() & (at >= first) & (at < last)
     key_code = F.when(probe, code)
@@ -189,31 +237,41 @@ def asof_value(df: DataFrame, factors: FactorTables, code: Column, at: Column,
         F.col("code").alias("_iv_code"), F.col("bucket").alias("_iv_bucket"),
         F.col("d_from").alias("_iv_from"), F.col("d_to").alias("_iv_to"),
         F.col("value").alias("_iv_value"))
-    staged = df.select("*", key_code.alias("_k_code"), at.alias("_k_at"))
+    salted = not factors.intervals_broadcast and spread_key is not None
+    n = _salts(df) if salted else 1
+    iv = _salted(iv, n) if salted else iv
+    salt = _salt(F.coalesce(spread_key.cast("string"), F.lit("")), n) if salted else F.lit(0)
+    staged = df.select("*", key_code.alias("_k_code"), at.alias("_k_at"), salt.alias("_k_salt"))
     cond = ((F.col("_k_code") == F.col("_iv_code"))
             & (month_index(F.col("_k_at")) == F.col("_iv_bucket"))
             & (F.col("_k_at") >= F.col("_iv_from")) & (F.col("_k_at") < F.col("_iv_to")))
+    if salted:
+        cond = cond & (F.col("_k_salt") == F.col("_m_salt"))
     joined = staged.join(iv, cond, "left")
     value = F.when(at >= last, last_value).when(probe, F.col("_iv_value"))
     return joined.select(*df.columns, value.alias(out))
 
 
 def lookup_errors(contracts: DataFrame) -> DataFrame:
-    """Codes a contract names but the factor file does not have.
+    """Codes a contract names but the factor file does not have, or whose line
+    does not read.
 
     Output ``contract_id, code, usage ('reset'|'scaling'), status
-    ('missing'|'skipped')``; a scaling lookup is skipped when the reset lookup
-    failed, as in the reference.
+    ('missing'|'unreadable'|'skipped')``; a scaling lookup is skipped when the
+    reset lookup failed, as in the reference.
     """
-    rr_bad = F.col("rr_moc").isNotNull() & ~F.col("rr_found")
-    sc_bad = F.col("sc_moc").isNotNull() & (rr_bad | ~F.col("sc_found"))
+    rr_bad = F.col("rr_moc").isNotNull() & ~F.col("rr_ok")
+    sc_bad = F.col("sc_moc").isNotNull() & (rr_bad | ~F.col("sc_ok"))
+
+    def why(p):
+        return F.when(~F.col(f"{p}_found"), F.lit("missing")).otherwise(F.lit("unreadable"))
 
     def err(code, usage, status):
         return F.struct(code.alias("code"), F.lit(usage).alias("usage"), status.alias("status"))
 
     errs = F.array(
-        F.when(rr_bad, err(F.col("rr_moc"), "reset", F.lit("missing"))),
+        F.when(rr_bad, err(F.col("rr_moc"), "reset", why("rr"))),
         F.when(sc_bad, err(F.col("sc_moc"), "scaling",
-                           F.when(rr_bad, F.lit("skipped")).otherwise(F.lit("missing")))))
+                           F.when(rr_bad, F.lit("skipped")).otherwise(why("sc")))))
     return (contracts.select("contract_id", F.explode(F.filter(errs, lambda e: e.isNotNull())).alias("e"))
             .select("contract_id", "e.code", "e.usage", "e.status"))

@@ -23,7 +23,8 @@ def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False) -> str
     rr_cols = (f"""
       CASE WHEN {k} % 2 = 1 THEN CAST({d0} + to_months(6) AS DATE) END AS rr_anchor,
       CASE WHEN {k} % 2 = 1 THEN '6M-' END AS rr_cycle,
-      CASE WHEN {k} % 101 = 0 THEN 'MISSING' WHEN {k} % 6 = 1 THEN 'RATE_A'
+      CASE WHEN {k} % 101 = 0 THEN 'MISSING' WHEN {k} % 103 = 0 THEN 'BAD_1'
+           WHEN {k} % 107 = 0 THEN 'ODD_1' WHEN {k} % 6 = 1 THEN 'RATE_A'
            WHEN {k} % 6 = 3 THEN 'RATE_N' WHEN {k} % 6 = 5 THEN 'CURVE_1' END AS rr_moc"""
                if rr else """
       CAST(NULL AS DATE) AS rr_anchor, CAST(NULL AS VARCHAR) AS rr_cycle,
@@ -58,7 +59,7 @@ def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False) -> str
       {d0} AS ied,
       CAST({d0} + to_months(CAST(12 * (1 + {k} % 5) AS INTEGER)) AS DATE) AS md,
       o_totalprice AS notional,{pt_cols},
-      CASE WHEN {k} % 10 = 0 THEN 'IDX_1' END AS sc_moc,
+      CASE WHEN {k} % 70 = 0 THEN 'UNEVEN_1' WHEN {k} % 30 = 0 THEN 'ODD_1' WHEN {k} % 10 = 0 THEN 'IDX_1' END AS sc_moc,
       CAST(100 AS DOUBLE) AS sc_index,{rr_cols},
       CAST({k} % 3 AS DOUBLE) / CAST(1000 AS DOUBLE) AS rr_spread,
       CASE WHEN {k} % 4 = 1 THEN 'E' ELSE 'B' END AS rr_point,
@@ -90,18 +91,26 @@ FACTOR_CTES = """
     UNION ALL
     SELECT 'FX_JPY', 'ForeignExchangeRate', make_date(1995 + CAST(i AS INTEGER), 1, 1),
            [0.01, 0.0097, 0.0086, 0.0077, 0.0088, 0.0098, 0.0088, 0.0076][i + 1] FROM yearly),
+  points AS (
+    SELECT code, rf_type, d, 0 AS place, CAST(v AS DOUBLE) AS v FROM rate_pts
+    UNION ALL SELECT code, rf_type, d, 0, CAST(v AS DOUBLE) FROM fixed_pts
+    UNION ALL SELECT 'IDX_1', 'ReferenceIndex', DATE '1999-01-01', 1, CAST(108 AS DOUBLE)
+    UNION ALL SELECT 'ODD_1', 'SomethingElse', DATE '1995-01-01', 0, CAST(1 AS DOUBLE)),
   series AS (
-    SELECT code, rf_type, d, CAST(v AS DOUBLE) AS v FROM rate_pts
-    UNION ALL SELECT code, rf_type, d, CAST(v AS DOUBLE) FROM fixed_pts),
+    SELECT code, rf_type, d, v FROM points
+    QUALIFY row_number() OVER (PARTITION BY code, d ORDER BY place DESC) = 1),
   curve AS (
     SELECT 'CURVE_1' AS code, CAST(t AS DOUBLE) AS t, CAST(v AS DOUBLE) AS v FROM (VALUES
       (CAST(1 AS DOUBLE) * 1.0 / 12.0, 0.01), (CAST(3 AS DOUBLE) * 1.0 / 12.0, 0.012),
       (CAST(6 AS DOUBLE) * 1.0 / 12.0, 0.015), (CAST(1 AS DOUBLE) * 12.0 / 12.0, 0.02),
       (CAST(2 AS DOUBLE) * 12.0 / 12.0, 0.024), (CAST(5 AS DOUBLE) * 12.0 / 12.0, 0.03),
       (CAST(10 AS DOUBLE) * 12.0 / 12.0, 0.035)) AS c(t, v)),
+  curve_half AS (SELECT {curve_half} AS v),
   fmeta AS (
-    SELECT code, any_value(rf_type) AS rf_type FROM series GROUP BY code
-    UNION ALL SELECT 'CURVE_1', 'TermStructure')"""
+    SELECT code, any_value(rf_type) AS rf_type, true AS reset_ok, true AS scaling_ok FROM series GROUP BY code
+    UNION ALL SELECT 'CURVE_1', 'TermStructure', true, false
+    UNION ALL SELECT 'BAD_1', 'ReferenceRate', false, false
+    UNION ALL SELECT 'UNEVEN_1', 'ReferenceIndex', true, false)"""
 
 
 def curve_at(term: str) -> str:
@@ -115,6 +124,10 @@ def curve_at(term: str) -> str:
       ELSE {lo_v} + ({hi_v} - {lo_v}) * (({term} - {lo_t}) / ({hi_t} - {lo_t})) END)"""
 
 
+FACTOR_CTES = FACTOR_CTES.replace("{curve_half}", curve_at("CAST(0.5 AS DOUBLE)"))
+CURVE_HALF = "(SELECT v FROM curve_half)"
+
+
 def yf(d1: str, d2: str, dcc: str) -> str:
     days = f"CAST(({d2}) - ({d1}) AS DOUBLE)"
 
@@ -140,14 +153,14 @@ def events_ctes(t0: str, factors: bool = True) -> str:
         lookup = """
   bk AS (
     SELECT b.*, m.rf_type AS rr_type, m.code IS NOT NULL AS rr_found,
-           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR m.code IS NOT NULL)
+           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR coalesce(m.reset_ok, false))
             AND b.sc_moc IN (SELECT code FROM fmeta)) AS sc_found
     FROM book b LEFT JOIN fmeta m ON m.code = b.rr_moc),"""
         asof = """
   rr_obs AS (
     SELECT e.contract_id, e.d, s.v AS series_v
     FROM rr_ev e ASOF LEFT JOIN series s ON s.code = e.rr_moc AND e.obs >= s.d),"""
-        obs = f"""CASE WHEN e.rr_type = 'TermStructure' THEN {curve_at('0.5')}
+        obs = f"""CASE WHEN e.rr_type = 'TermStructure' THEN {CURVE_HALF}
                        WHEN e.type = 'RR' AND e.rr_type = 'ReferenceRate' THEN o.series_v END"""
         obs_join = "LEFT JOIN rr_obs o ON o.contract_id = e.contract_id AND o.d = e.event_date AND e.type IN ('RR', 'RRF')"
     else:
@@ -281,7 +294,8 @@ SELECT {sel}, err_pos
 FROM (SELECT *, {err} AS err_pos FROM book)"""
 
 
-DEFECT_ERR = ("CASE WHEN k > 0 AND k % 997 = 0 THEN 11 WHEN k > 0 AND k % 991 = 0 THEN 20 END")
+DEFECT_ERR = ("CASE WHEN k > 0 AND k % 997 = 0 THEN 11 WHEN k > 0 AND k % 971 = 0 THEN 19 "
+              "WHEN k > 0 AND (k % 991 = 0 OR k % 977 = 0) THEN 20 END")
 
 TIME_SPEC_CTES = """
   lines AS (
@@ -298,8 +312,10 @@ TIME_SPEC_CTES = """
 CF_CTE = f"""
   cf AS (
     SELECT b.contract_id, b.rr_moc, m.code IS NOT NULL AS rr_found, m.rf_type AS rr_type, b.sc_moc,
-           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR m.code IS NOT NULL) AND ms.code IS NOT NULL) AS sc_found,
-           CASE WHEN m.rf_type = 'TermStructure' THEN {curve_at('0.5')} END AS rr_curve_rate
+           coalesce(m.reset_ok, false) AS rr_ok,
+           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR coalesce(m.reset_ok, false)) AND ms.code IS NOT NULL) AS sc_found,
+           (b.sc_moc IS NOT NULL AND (b.rr_moc IS NULL OR coalesce(m.reset_ok, false)) AND coalesce(ms.scaling_ok, false)) AS sc_ok,
+           CASE WHEN m.rf_type = 'TermStructure' THEN {CURVE_HALF} END AS rr_curve_rate
     FROM book b LEFT JOIN fmeta m ON m.code = b.rr_moc LEFT JOIN fmeta ms ON ms.code = b.sc_moc)"""
 
 
@@ -307,6 +323,11 @@ def _full(body: str, t0: str = T0) -> str:
     return with_ctes(book_cte(), FACTOR_CTES, events_ctes(t0)) + body
 
 
+def _dates(body: str) -> str:
+    """Event dates (``ev1``) need neither factors nor state."""
+    return with_ctes(book_cte(), events_ctes(T0, factors=False)) + body
+
+
 def _nested_body() -> str:
     def lst(expr, typ):
         return (f"coalesce(list({expr} ORDER BY event_date, seq) FILTER (WHERE reported), "
@@ -342,7 +363,7 @@ def all_sql() -> dict[str, str]:
     def num_arr(name):
         return f"'[' || array_to_string(list_transform({name}, lambda x: printf('%.4f', x)), ',') || ']'"
 
-    rejected = "(k > 0 AND (k % 997 = 0 OR k % 991 = 0))"
+    rejected = f"({DEFECT_ERR} IS NOT NULL)"
     out = {
         "pam_defects": pam_sql() + f" AND contract_id NOT IN (SELECT contract_id FROM book WHERE {rejected})",
         "nested_defects": _full(f"""
@@ -353,15 +374,13 @@ GROUP BY b.contract_id, b.copy"""),
         "parse_full": book_only + _terms_sql(FULL_COLUMNS),
         "parse_short": book_only + _terms_sql(SHORT_COLUMNS),
         "parse_prefix": book_defects + _terms_sql(FULL_COLUMNS, DEFECT_ERR),
-        "parse_rejects": book_only + """
-SELECT 'C' || k AS contract_id, 11 AS err_pos, 'rate' AS err_field, 'abc' AS err_token
-FROM book WHERE k > 0 AND k % 997 = 0
-UNION ALL
-SELECT 'C' || k, 20, 'notional', CAST(NULL AS VARCHAR) FROM book WHERE k > 0 AND k % 991 = 0""",
-        "parse_reject_counts": book_only + """
-SELECT err_field, count(*) AS n_rejects FROM (
-  SELECT CASE WHEN k % 997 = 0 THEN 'rate' ELSE 'notional' END AS err_field
-  FROM book WHERE k > 0 AND (k % 997 = 0 OR k % 991 = 0)) GROUP BY err_field""",
+        "parse_rejects": book_only + f"""
+SELECT 'C' || k AS contract_id, err_pos, CASE err_pos WHEN 11 THEN 'rate' WHEN 19 THEN 'md' ELSE 'notional' END AS err_field,
+       CASE WHEN err_pos = 11 THEN 'abc' WHEN err_pos = 19 THEN 'NULL' WHEN k % 991 <> 0 THEN 'NaN' END AS err_token
+FROM (SELECT k, {DEFECT_ERR} AS err_pos FROM book) WHERE err_pos IS NOT NULL""",
+        "parse_reject_counts": book_only + f"""
+SELECT CASE err_pos WHEN 11 THEN 'rate' WHEN 19 THEN 'md' ELSE 'notional' END AS err_field, count(*) AS n_rejects
+FROM (SELECT k, {DEFECT_ERR} AS err_pos FROM book) WHERE err_pos IS NOT NULL GROUP BY 1""",
         "cycles": book_only + f"""
 SELECT contract_id,
   CAST(regexp_extract(ip_cycle, '{CYCLE_RE}', 1) AS INTEGER) AS ip_n,
@@ -381,11 +400,15 @@ FROM book""",
 SELECT CAST(CAST(substr(arg_min(token, line_no * 100000 + pos), 1, 10) AS DATE) AS VARCHAR) AS t0
 FROM tokens WHERE trim(token) <> ''""",
         "factor_points": factors_only + """
-SELECT code, rf_type, CAST(row_number() OVER (PARTITION BY code ORDER BY d) - 1 AS INTEGER) AS pos,
-       CAST(d AS VARCHAR) AS obs_date, CAST(NULL AS DOUBLE) AS tenor_years, v AS value FROM series
+SELECT code, rf_type, CAST(row_number() OVER (PARTITION BY code ORDER BY d, place) - 1 AS INTEGER) AS pos,
+       CAST(d AS VARCHAR) AS obs_date, CAST(NULL AS DOUBLE) AS tenor_years, v AS value FROM points
+WHERE rf_type <> 'SomethingElse'
 UNION ALL
 SELECT code, 'TermStructure', CAST(row_number() OVER (PARTITION BY code ORDER BY t) - 1 AS INTEGER),
        NULL, t, v FROM curve""",
+        "factor_rejects": """
+SELECT code, rf_type, CAST(line_no AS BIGINT) AS line_no, reason FROM (VALUES
+  ('BAD_1', 'ReferenceRate', 1006, 'value'), ('UNEVEN_1', 'ReferenceIndex', 1007, 'length')) AS v(code, rf_type, line_no, reason)""",
         "factor_dedup": """
 SELECT 'RATE_' || l_returnflag AS code, CAST(1 + ascii(l_returnflag) AS BIGINT) AS line_no,
        'ReferenceRate' AS rf_type,
@@ -393,19 +416,20 @@ SELECT 'RATE_' || l_returnflag AS code, CAST(1 + ascii(l_returnflag) AS BIGINT)
 FROM lineitem GROUP BY l_returnflag
 UNION ALL
 SELECT code, CAST(line_no AS BIGINT), rf_type, CAST(n_keys AS INTEGER) FROM (VALUES
-  ('CURVE_1', 1000, 'TermStructure', 7), ('IDX_1', 1001, 'ReferenceIndex', 8),
+  ('CURVE_1', 1000, 'TermStructure', 7), ('IDX_1', 1001, 'ReferenceIndex', 9),
   ('FX_EUR', 1002, 'ForeignExchangeRate', 8), ('FX_CHF', 1003, 'ForeignExchangeRate', 8),
-  ('FX_JPY', 1004, 'ForeignExchangeRate', 8), ('ODD_1', 1005, 'SomethingElse', 1))
+  ('FX_JPY', 1004, 'ForeignExchangeRate', 8), ('ODD_1', 1005, 'SomethingElse', 1),
+  ('BAD_1', 1006, 'ReferenceRate', 3), ('UNEVEN_1', 1007, 'ReferenceIndex', 2))
   AS v(code, line_no, rf_type, n_keys)""",
         "contract_factors": with_ctes(book_cte(), FACTOR_CTES, CF_CTE) + f"""
-SELECT contract_id, rr_moc, rr_found, rr_type, sc_moc, sc_found, {r4('rr_curve_rate')} AS rr_curve_rate FROM cf""",
+SELECT contract_id, rr_moc, rr_found, rr_ok, rr_type, sc_moc, sc_found, sc_ok, {r4('rr_curve_rate')} AS rr_curve_rate FROM cf""",
         "lookup_errors": with_ctes(book_cte(), FACTOR_CTES, CF_CTE) + """
-SELECT contract_id, rr_moc AS code, 'reset' AS usage, 'missing' AS status
-FROM cf WHERE rr_moc IS NOT NULL AND NOT rr_found
+SELECT contract_id, rr_moc AS code, 'reset' AS usage, CASE WHEN rr_found THEN 'unreadable' ELSE 'missing' END AS status
+FROM cf WHERE rr_moc IS NOT NULL AND NOT rr_ok
 UNION ALL
 SELECT contract_id, sc_moc, 'scaling',
-       CASE WHEN rr_moc IS NOT NULL AND NOT rr_found THEN 'skipped' ELSE 'missing' END
-FROM cf WHERE sc_moc IS NOT NULL AND ((rr_moc IS NOT NULL AND NOT rr_found) OR NOT sc_found)""",
+       CASE WHEN rr_moc IS NOT NULL AND NOT rr_ok THEN 'skipped' WHEN sc_found THEN 'unreadable' ELSE 'missing' END
+FROM cf WHERE sc_moc IS NOT NULL AND NOT sc_ok""",
         "curve_rate": factors_only + f"""
 SELECT contract_id, {r4('tt')} AS term_years, {r4(curve_at('tt'))} AS curve_rate
 FROM (SELECT b.contract_id, CAST(b.md - {T0} AS DOUBLE) / 365.0 AS tt
@@ -413,7 +437,7 @@ FROM (SELECT b.contract_id, CAST(b.md - {T0} AS DOUBLE) / 365.0 AS tt
         "asof_rate": _full("""
 SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, CAST(obs AS VARCHAR) AS obs_date,
        rr_moc AS code, obs_value
-FROM events WHERE type = 'RR'"""),
+FROM ev2 WHERE type = 'RR'"""),
         "asof_index": _full("""
 SELECT e.contract_id, CAST(e.event_date AS VARCHAR) AS event_date, e.seq, e.type, s.v AS index_value
 FROM (SELECT * FROM events WHERE reported AND sc_found) e
@@ -424,14 +448,14 @@ SELECT e.contract_id, CAST(e.event_date AS VARCHAR) AS event_date, e.seq, e.type
        {r4("e.value * (CASE WHEN e.currency = 'USD' THEN 1.0 ELSE s.v END)")} AS value_usd
 FROM (SELECT *, 'FX_' || currency AS fx_code FROM events WHERE reported) e
 ASOF LEFT JOIN series s ON s.code = e.fx_code AND e.event_date >= s.d"""),
-        "schedule": _full("""
+        "schedule": _dates("""
 SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, seq, type, CAST(obs AS VARCHAR) AS obs_date
-FROM events"""),
-        "ip_schedule": _full("""
-SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date FROM events WHERE type = 'IP'"""),
-        "rr_schedule": _full("""
+FROM ev1"""),
+        "ip_schedule": _dates("""
+SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date FROM ev1 WHERE type = 'IP'"""),
+        "rr_schedule": _dates("""
 SELECT contract_id, CAST(event_date AS VARCHAR) AS event_date, type, CAST(obs AS VARCHAR) AS obs_date
-FROM events WHERE type IN ('RR', 'RRF')"""),
+FROM ev1 WHERE type IN ('RR', 'RRF')"""),
         "year_fraction": book_only + f"""
 SELECT contract_id, dcc, {yf('ied', 'md', 'dcc')} AS yf,
        {yf('ied', 'md', "'A/360'")} AS yf_a360, {yf('ied', 'md', "'A/365'")} AS yf_a365,

@@ -33,20 +33,20 @@ def _t0_col(t0) -> Column:
 def with_factors(contracts: DataFrame, factors: FX.FactorTables | None) -> DataFrame:
     """J2, J3, J5, F1-F3, F5, J8 on typed contracts.
 
-    Adds ``rr_found, rr_type, rr_first, rr_last, rr_last_value, rr_curve_rate``
-    and the gated scaling lookup ``sc_found, sc_type, sc_first, sc_last,
-    sc_last_value``.
+    Adds ``rr_found, rr_ok, rr_type, rr_first, rr_last, rr_last_value,
+    rr_curve_rate`` and the gated scaling lookup ``sc_found, sc_ok, sc_type,
+    sc_first, sc_last, sc_last_value``.
     """
     if factors is None:
         empty = []
         for p in ("rr", "sc"):
             empty += [F.lit(False).alias(f"{p}_found"), F.lit(None).cast("string").alias(f"{p}_type"),
                       F.lit(None).cast("date").alias(f"{p}_first"), F.lit(None).cast("date").alias(f"{p}_last"),
-                      F.lit(None).cast("double").alias(f"{p}_last_value")]
+                      F.lit(None).cast("double").alias(f"{p}_last_value"), F.lit(False).alias(f"{p}_ok")]
         return contracts.select("*", *empty, F.lit(None).cast("double").alias("rr_curve_rate"))
     out = FX.lookup_code(contracts, factors, "rr_moc", "rr")
-    gate = F.col("rr_moc").isNull() | F.col("rr_found")
-    out = FX.lookup_code(out, factors, "sc_moc", "sc", gate=gate).drop("sc_curve")
+    gate = F.col("rr_moc").isNull() | F.col("rr_ok")
+    out = FX.lookup_code(out, factors, "sc_moc", "sc", gate=gate, ok="scaling_ok").drop("sc_curve")
     curve = F.when(F.col("rr_type") == FX.TERM_STRUCTURE,
                    FX.curve_rate(F.col("rr_curve"), P.period_years(F.col("rr_term"))))
     return out.select(*[c for c in out.columns if c != "rr_curve"], curve.alias("rr_curve_rate"))
@@ -111,8 +111,8 @@ def to_base_currency(events: DataFrame, factors: FX.FactorTables, base: str = "U
     The base currency converts at 1."""
     m = factors.meta.select(F.col("code").alias("_fx_code"), F.col("first_date").alias("_fx_first"),
                             F.col("last_date").alias("_fx_last"), F.col("last_value").alias("_fx_lv"))
-    code = F.concat(F.lit(prefix), F.col("currency"))
-    ev = events.join(m, code == F.col("_fx_code"), "left")
+    code = F.when(F.col("currency") != base, F.concat(F.lit(prefix), F.col("currency")))  # base rows look nothing up
+    ev = FX.join_meta(events, factors, m, code, "_fx_code")
     ev = FX.asof_value(ev, factors, F.col("_fx_code"), F.col("event_date"), F.col("_fx_first"),
                        F.col("_fx_last"), F.col("_fx_lv"), "_fx", spread_key=F.col("contract_id"))
     rate = F.when(F.col("currency") == base, F.lit(1.0)).otherwise(F.col("_fx"))

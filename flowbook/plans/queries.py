@@ -167,6 +167,11 @@ def q_factor_points(spark, sf):
     return _text(FX.factor_points(_factor_lines(spark, sf)))
 
 
+def q_factor_rejects(spark, sf):
+    """Factor lines that do not read as a whole."""
+    return FX.factor_rejects(_factor_lines(spark, sf))
+
+
 def q_factor_dedup(spark, sf):
     """One record per code, the later line wins."""
     d = FX.dedup(FX.factor_records(_factor_lines(spark, sf)))
@@ -180,7 +185,7 @@ def _with_factors(spark, sf):
 def q_contract_factors(spark, sf):
     """Each contract's reset and scaling lookups."""
     return _with_factors(spark, sf).select(
-        "contract_id", "rr_moc", "rr_found", "rr_type", "sc_moc", "sc_found",
+        "contract_id", "rr_moc", "rr_found", "rr_ok", "rr_type", "sc_moc", "sc_found", "sc_ok",
         r4(F.col("rr_curve_rate")).alias("rr_curve_rate"))
 
 
@@ -318,6 +323,7 @@ QUERIES = {
     "t0_tokens": q_t0_tokens,
     "analysis_date": q_analysis_date,
     "factor_points": q_factor_points,
+    "factor_rejects": q_factor_rejects,
     "factor_dedup": q_factor_dedup,
     "contract_factors": q_contract_factors,
     "lookup_errors": q_lookup_errors,

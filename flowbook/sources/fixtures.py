@@ -29,7 +29,7 @@ RESET_CODES = {1: "RATE_A", 3: "RATE_N", 5: "CURVE_1"}  # by k % 6
 FIXED_FACTOR_LINES = [
     "CURVE_1;x;TermStructure;1M!3M!6M!1Y!2Y!5Y!10Y;0.01!0.012!0.015!0.02!0.024!0.03!0.035",
     "IDX_1;x;ReferenceIndex;1995-01-01T00!1996-01-01T00!1997-01-01T00!1998-01-01T00!"
-    "1999-01-01T00!2000-01-01T00!2001-01-01T00!2002-01-01T00;100!102!104!107!109!111!115!118",
+    "1999-01-01T00!2000-01-01T00!2001-01-01T00!1999-01-01T00!2002-01-01T00;100!102!104!107!109!111!115!108!118",
     "FX_EUR;x;ForeignExchangeRate;1995-01-01T00!1996-01-01T00!1997-01-01T00!1998-01-01T00!"
     "1999-01-01T00!2000-01-01T00!2001-01-01T00!2002-01-01T00;1.25!1.26!1.13!1.1!1.17!1!0.94!0.89",
     "FX_CHF;x;ForeignExchangeRate;1995-01-01T00!1996-01-01T00!1997-01-01T00!1998-01-01T00!"
@@ -37,6 +37,8 @@ FIXED_FACTOR_LINES = [
     "FX_JPY;x;ForeignExchangeRate;1995-01-01T00!1996-01-01T00!1997-01-01T00!1998-01-01T00!"
     "1999-01-01T00!2000-01-01T00!2001-01-01T00!2002-01-01T00;0.01!0.0097!0.0086!0.0077!0.0088!0.0098!0.0088!0.0076",
     "ODD_1;x;SomethingElse;1995-01-01T00;1.0",
+    "BAD_1;x;ReferenceRate;1995-01-01T00!oops!1997-01-01T00;0.01!0.02!0.03",
+    "UNEVEN_1;x;ReferenceIndex;1995-01-01T00!1996-01-01T00;100",
 ]
 # An earlier line for RATE_A that the derived series must override.
 SHADOWED_FACTOR_LINE = "RATE_A;x;ReferenceRate;1995-01-01T00!2002-01-01T00;0.99!0.99"
@@ -92,16 +94,21 @@ def _tokens(orders: DataFrame, defects: bool) -> tuple[DataFrame, list[Column]]:
     t[18] = _dtext(d0)
     t[19] = _dtext(F.add_months(d0, (12 * (1 + k % 5)).cast("int")))
     t[20] = _num(F.col("o_totalprice"))
+    if defects:
+        t[19] = F.when((k > 0) & (k % 971 == 0), "NULL").otherwise(t[19])
+        t[20] = F.when((k > 0) & (k % 977 == 0), "NaN").otherwise(t[20])
     t[21] = F.when(k % 11 == 0, _dtext(F.date_add(d0, 45))).otherwise("NULL")
     t[22] = F.when(k % 11 == 0, _num(F.col("o_totalprice"))).otherwise("NaN")
     t[23] = F.when(k % 13 == 0, _dtext(F.date_add(d0, 200))).otherwise("NULL")
     t[24] = F.when(k % 13 == 0, _num(F.col("o_totalprice"))).otherwise("NaN")
-    t[25] = F.when(k % 10 == 0, "IDX_1").otherwise("NULL")
+    t[25] = (F.when(k % 70 == 0, "UNEVEN_1").when(k % 30 == 0, "ODD_1").when(k % 10 == 0, "IDX_1")
+             .otherwise("NULL"))
     t[26] = F.lit("100.0")
     t[30] = F.when(k % 2 == 1, _dtext(F.add_months(d0, 6))).otherwise("NULL")
     t[31] = F.when(k % 2 == 1, "6M-").otherwise("NULL")
     t[32] = _num((k % 3).cast("double") / F.lit(1000).cast("double"))
-    t[33] = F.when(k % 101 == 0, "MISSING").otherwise(_pick(k % 6, RESET_CODES, "NULL"))
+    t[33] = (F.when(k % 101 == 0, "MISSING").when(k % 103 == 0, "BAD_1").when(k % 107 == 0, "ODD_1")
+             .otherwise(_pick(k % 6, RESET_CODES, "NULL")))
     t[34] = F.when(k % 4 == 1, "E").otherwise("B")
     t[35] = F.lit("2D")
     t[36] = F.when(k % 7 == 0, "0.03").otherwise("NaN")
@@ -115,7 +122,8 @@ def contract_lines(orders: DataFrame, layout: str = "full", defects: bool = Fals
     """The fixture book as text lines ``(line_no, value)``, one per order.
 
     ``defects=True`` adds the parser test rows: ``k%997=0`` rate ``abc``,
-    ``k%991=0`` line cut after 20 tokens, ``k%983=0`` trailing ``;;;``.
+    ``k%991=0`` line cut after 20 tokens, ``k%983=0`` trailing ``;;;``,
+    ``k%977=0`` notional ``NaN``, ``k%971=0`` maturity ``NULL``.
     """
     _, t = _tokens(orders, defects)
     if layout == "short":
@@ -134,8 +142,8 @@ def contract_lines(orders: DataFrame, layout: str = "full", defects: bool = Fals
 def factor_lines(spark: SparkSession, lineitem: DataFrame) -> DataFrame:
     """Risk-factor lines ``(line_no, value)``: three reference-rate series from
     ``lineitem`` (mean discount per return flag and ship month), a shadowed
-    earlier ``RATE_A`` line, a curve, an index, three FX series and one line of
-    an unknown type."""
+    earlier ``RATE_A`` line, a curve, an index (one date twice), three FX series,
+    a line of an unknown type and two lines that do not read."""
     month = F.trunc(F.to_date("l_shipdate"), "month")
     pts = (lineitem.groupBy("l_returnflag", month.alias("m"))
            .agg((F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).cast("double")

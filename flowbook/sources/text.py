@@ -1,8 +1,8 @@
 """Text sources.
 
 Any Hadoop-compatible path works (``hdfs://``, ``s3a://``, local); the readers
-only add a ``line_no`` that rises in file order, which the factor dedup (J1)
-and the analysis-date rule (S3) need.
+only add a ``line_no`` that rises in file order (by path, then by place in the
+file), which the factor dedup (J1) and the analysis-date rule (S3) need.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from flowbook.functions import parsing as P
 
 
 def read_lines(spark: SparkSession, path: str | list[str], min_partitions: int | None = None) -> DataFrame:
-    """One row per text line: ``line_no BIGINT, value STRING``.
+    """One row per text line: ``line_no, value STRING``.
 
-    ``min_partitions`` (H1) lowers the split size so the scan has at least that
-    many tasks; Spark's file splitting is used, no shuffle.
+    ``line_no`` is a struct (path, start of the split, counter) whose order is the
+    order of files by path and of lines in them, whatever tasks read them: a task
+    reads a split from its start, and splits are packed into tasks by size.
+    ``min_partitions`` (H1) spreads the lines round-robin if the scan has fewer.
     """
-    reader = spark.read
-    if min_partitions:
-        reader = reader.option("minPartitions", str(min_partitions))
-    df = reader.text(path)
-    return df.select(F.monotonically_increasing_id().alias("line_no"), "value")
+    df = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("n"))
+    lines = df.select(place.alias("line_no"), "value")
+    return ensure_min_partitions(lines, min_partitions) if min_partitions else lines
 
 
 def ensure_min_partitions(df: DataFrame, n: int | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ broadcast to every batch.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def start_contract_stream(spark: SparkSession, contracts_dir: str, output: str,
         nested = assemble.nest(events)
         nested.write.mode("overwrite").parquet(f"{output.rstrip('/')}/epoch={epoch}")
 
-    ckpt = checkpoint or f"{sinks.shared_dir(spark)}/flowbook-stream-{abs(hash((contracts_dir, output)))}"
+    name = hashlib.sha256(f"{contracts_dir}\n{output}".encode()).hexdigest()[:24]  # the same after a restart
+    ckpt = checkpoint or f"{sinks.shared_dir(spark)}/flowbook-stream-{name}"
     writer = lines.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

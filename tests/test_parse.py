@@ -57,3 +57,21 @@ def test_cycle_parts(spark):
         P.cycle_is_long(F.lit("5M+")).alias("l"), P.cycle_is_long(F.lit("6M-")).alias("s"),
         P.period_years(F.lit("10Y")).alias("y"), P.cycle_n(F.lit("junk")).alias("bad")).first()
     assert (r.n, r.u, r.l, r.s, r.y, r.bad) == (3, "Q", True, False, 10.0, None)
+
+
+def test_required_terms_reject_null_and_nan(spark, lines_df):
+    for name, tok, pos in (("rate", "NaN", 11), ("ied", "NULL", 18), ("md", "", 19), ("notional", "NaN", 20)):
+        r = C.parse_contracts(lines_df([line(**dict(BASE_TERMS, **{name: tok}))])).first()
+        assert (r.err_pos, r.err_field, r.err_token) == (pos, name, tok) and r[name] is None
+
+
+def test_dates_are_whole(spark):
+    texts = ["2015-04-01T00", "2015-04-01", "2015-04-01T23:59:59", "2015", "2015-04", "2015-04-01Tx", "2015-04-01T24", "2015-02-30T00", "NULL", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.d for r in df.select("i", P.parse_date(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert [d is not None for d in got] == [True] * 3 + [False] * 7
+
+
+def test_separators_only(spark):
+    r = spark.range(1).select(P.java_split(F.lit(";;;")).alias("a"), P.java_split(F.lit("")).alias("b")).first()
+    assert r.a == [] and r.b == [""]

@@ -54,13 +54,20 @@ def test_invariants(spark):
     ev = Q.pam(spark, SF_SMALL)
     bad_md = ev.filter((F.col("type") == "MD") & (F.col("nominal") != 0)).count()
     assert bad_md == 0
-    # interest paid = accrual generated, per contract (no PRD/TD in the book slice)
-    b = Q.without_terms(Q.book(spark, SF_SMALL), prd_td=False)
-    ev2 = b.transform(PL.cashflow_events(Q.EARLY_T0, Q.factors(spark, SF_SMALL), keep=()))
+    # at a fixed rate and by days, the interest payments add up to that of the whole term
+    b = Q.without_terms(Q.book(spark, SF_SMALL), rr=False, prd_td=False)
+    ev2 = b.transform(PL.cashflow_events(Q.EARLY_T0))
     s = ev2.groupBy("contract_id").agg(
         F.sum(F.when(F.col("type").isin("IP"), F.col("value")).otherwise(0.0)).alias("paid"),
-        F.sum(F.when(F.col("type") == "MD", F.col("value") - F.col("nominal")).otherwise(0.0)).alias("md"))
+        F.sum(F.when(F.col("type") == "MD", F.col("value") - F.col("nominal")).otherwise(0.0)).alias("md_value")).join(b.drop("md_value"), "contract_id")
     assert s.count() == b.count()
+    sign = F.when(F.col("role") == "RPL", -1.0).otherwise(1.0)
+    days = F.datediff("md", "ied") / F.when(F.col("dcc") == "A/360", 360.0).otherwise(365.0)
+    off = lambda x, y: F.abs(x - y) > 1e-6 * (1 + F.abs(y))
+    assert s.filter(off(F.col("md_value"), sign * F.col("notional"))).count() == 0
+    by_days = s.filter(F.col("dcc").isin("A/360", "A/365"))
+    assert by_days.count() > 100
+    assert by_days.filter(off(F.col("paid"), sign * F.col("notional") * F.col("rate") * days)).count() == 0
     # contracts = clean + rejects
     bd = Q.book(spark, SF_SMALL, defects=True)
     assert C.clean(bd).count() + C.rejects(bd).count() == bd.count()

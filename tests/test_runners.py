@@ -64,6 +64,6 @@ def test_l4_load_factors(spark, files):
     f = PL.load_factors(spark, files + "/factors")
     codes = {r.code: r.rf_type for r in f.meta.collect()}
     assert codes["RATE_A"] == "ReferenceRate" and codes["CURVE_1"] == "TermStructure"
-    assert "ODD_1" not in codes and f.broadcast
+    assert codes["ODD_1"] == "SomethingElse" and f.broadcast
     assert f.meta.filter("code = 'RATE_A'").first().first_date.year == 1995
     assert os.path.isdir(files + "/factors")
