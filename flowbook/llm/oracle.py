@@ -34,4 +34,92 @@ SELECT e.conv_id, count(*) AS n_turns,
 FROM e JOIN c USING (conv_id) GROUP BY e.conv_id
 """
 
-ORACLES = {"op7_warc": _WARC, "op9_chat_format": _CHAT}
+# Dated entries to intervals, and every capture against the intervals at its time.
+_URLS = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, url, TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST(page_id * 7919 % 1051200 AS BIGINT)) AS fetched,
+         lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment
+  FROM pages),
+labels_of AS (SELECT rid, string_split(host, '.') AS l FROM p WHERE host <> ''),
+asked AS (
+  SELECT rid, array_to_string(l[i:], '.') AS key FROM (SELECT rid, l, unnest(range(1, greatest(1, len(l) - 1) + 1)) AS i FROM labels_of)
+  UNION SELECT rid, host || '/' || segment FROM p WHERE host <> '' AND segment <> ''),
+keys AS (SELECT key, length(key) * 31 + ascii(key) * 17 + ascii(substring(key, length(key) - 1, 1)) * 7 AS s FROM (SELECT DISTINCT key FROM asked)),
+entries AS (
+  SELECT CASE WHEN s % 2 = 0 THEN 'adult' ELSE 'malware' END AS category, key, CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
+         TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST((s * 613 + k * 175200) % 1051200 AS BIGINT)) AS listed_at
+  FROM (SELECT key, s, unnest(range(0, 6)) AS k FROM keys WHERE s % 3 = 0)),
+once AS (SELECT category, key, listed_at, max(action) AS action FROM entries GROUP BY ALL),
+changes AS (
+  SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY category, key ORDER BY listed_at) AS was FROM once) WHERE was IS NULL OR was <> action),
+spans AS (SELECT *, lead(listed_at) OVER (PARTITION BY category, key ORDER BY listed_at) AS until FROM changes),
+hits AS (
+  SELECT rid, string_agg(DISTINCT category, ',' ORDER BY category) AS categories
+  FROM asked JOIN p USING (rid) JOIN spans USING (key)
+  WHERE spans.action = 'add' AND fetched >= listed_at AND (until IS NULL OR fetched < until) GROUP BY rid)
+SELECT page_id, url, strftime(fetched, '%Y-%m-%d %H:%M:%S') AS fetched_at, coalesce(categories, '') AS categories, categories IS NOT NULL AS blocked
+FROM p LEFT JOIN hits USING (rid)
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _decontaminate(size: int = 13) -> str:
+    """Windows of an item by length (a short item has one), against the runs of as many words of each document."""
+    words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    run = lambda n: " || ' ' || ".join(["word", *[f"w{k}" for k in range(1, n)]])
+    leads = ", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, size))
+    found = " UNION ".join(f"SELECT rid, p, {n} AS n, item_id FROM runs JOIN windows ON windows.n = {n} AND key = {run(n)}" for n in range(1, size + 1))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS l FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words} AS l FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(l[s:s + n - 1], ' ') AS key
+  FROM (SELECT item_id, l, least({size}, len(l)) AS n, unnest(range(1, len(l) - least({size}, len(l)) + 2)) AS s FROM b WHERE len(l) > 0)),
+words AS (SELECT rid, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM d),
+runs AS MATERIALIZED (SELECT rid, p, word, {leads} FROM words WINDOW o AS (PARTITION BY rid ORDER BY p)),
+found AS MATERIALIZED ({found}),
+hit AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, p, n FROM found)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def _quality(window: int = 8) -> str:
+    """The base counts, and lines in more than 10 and 5 % of a host's distinct texts, removed but at their first holder."""
+    blank = r"[^\x20\x09-\x0D]+"
+    run = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, window)]])
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{blank}') AS l FROM documents),
+words AS (SELECT rid, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM d),
+runs AS (SELECT rid, p, {run} AS key FROM words WINDOW o AS (PARTITION BY rid ORDER BY p)),
+twice AS (SELECT rid, p, CASE WHEN key IS NOT NULL AND count(*) OVER (PARTITION BY rid, key) > 1 THEN 1 ELSE 0 END AS r FROM runs),
+covered AS (SELECT rid, max(r) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS c FROM twice),
+repeats AS (SELECT rid, sum(c) AS n FROM covered GROUP BY rid),
+chars AS (SELECT rid, sum(length(word)) AS n FROM words GROUP BY rid),
+lines AS (
+  SELECT rid, line, array_to_string(ws, ' ') AS norm, len(ws) AS n
+  FROM (SELECT rid, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{blank}') AS ws
+        FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(ws) > 0),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+hosts AS (SELECT source, count(DISTINCT text) + CAST(max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS size FROM d GROUP BY source),
+held AS (SELECT source, norm, count(DISTINCT t) AS n, min(doc_id) AS first_id FROM lines JOIN d USING (rid) GROUP BY source, norm),
+frequent AS (SELECT h.source, norm, first_id FROM held h JOIN hosts s ON h.source IS NOT DISTINCT FROM s.source WHERE n > 10 AND n * 100 > size * 5),
+gone AS (
+  SELECT rid, sum(lines.n) AS n FROM lines JOIN d USING (rid) JOIN frequent f ON f.norm = lines.norm AND f.source IS NOT DISTINCT FROM d.source
+  WHERE d.doc_id IS DISTINCT FROM first_id GROUP BY rid),
+s AS (
+  SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(chars.n, 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed
+  FROM d LEFT JOIN repeats USING (rid) LEFT JOIN chars USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN gone USING (rid))
+SELECT * EXCLUDE (removed), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT 100 * (n_words - removed) < 30 * n_words AS kept
+FROM s
+"""
+
+
+ORACLES = {"op3_url_filter": _URLS, "op4_decontaminate": _decontaminate(), "op7_warc": _WARC, "op9_chat_format": _CHAT, "op10_quality_rules": _quality()}
