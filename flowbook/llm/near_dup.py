@@ -22,6 +22,11 @@ square, and no pair that could join two components stays untested.  Buckets are
 dealt in blocks of ``BLOCK`` members, and in the second pass in pairs of blocks;
 a hot bucket spreads over many tasks.
 
+Only the banded registers of a class are shuffled to find buckets.  Whole
+sketches and texts are then read for the classes that share a bucket.  Lists of
+ids (bucket members, documents to drop) are broadcast up to ``BROADCAST_IDS``
+ids; longer ones are joined by shuffle, with the same rows.
+
 Texts without words and null texts have an empty set and are linked with nothing.
 Rows with one doc_id are one document: it is linked with whatever one of its
 texts is linked with.  Rows without doc_id are not linked and are kept.
@@ -47,6 +52,7 @@ SURE = 4.75  # standard deviations
 FIRST = 3  # the first pass looks at one bucket in three
 BASE, RATE, TOP = 1.12, 10.0, 254
 BLOCK = 512
+BROADCAST_IDS = 2_000_000  # 8 bytes each, about 100 MB as a hash table
 _rng = np.random.default_rng(20240311)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -224,15 +230,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(own.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
     classes = stored(sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+        F.min("doc_id").alias("cls"), F.first(F.substring("registers", 1, BANDS * BAND)).alias("banded")), "classes")
 
     # buckets of two classes or more
-    buckets = classes.select("cls", F.posexplode(_bands(F.col("registers"))).alias("band", "bucket"))  # 64-bit keys; a clash only adds candidates
+    buckets = classes.select("cls", F.posexplode(_bands(F.col("banded"))).alias("band", "bucket"))  # 64-bit keys; a clash only adds candidates
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(buckets.join(full, "bucket"), "members")
-    texts = stored(own.join(members.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("text IS NOT NULL").select(
-        F.col("doc_id").alias("cls"), "text"), "texts")
-    sketches = classes.select("cls", "n", "registers")
+    ids = _ids(members.select(F.col("cls").alias("doc_id")))
+    texts = stored(own.join(ids, "doc_id", "left_semi").filter("text IS NOT NULL").select(F.col("doc_id").alias("cls"), "text"), "texts")
+    # one sketch for each text of a member; rows that repeat count once
+    sketches = stored(sketch.join(ids, "doc_id", "left_semi").filter("digest IS NOT NULL").groupBy("doc_id", "digest").agg(
+        F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).select(F.col("doc_id").alias("cls"), "n", "registers"), "member-sketches")
     blocks = F.ceil(F.col("size") / BLOCK)
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
@@ -269,5 +277,11 @@ def _bands(regs: Column) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` without the documents that are not their component's smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("flowbook_gone")).distinct()
+    gone = _ids(near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("flowbook_gone")))
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("flowbook_gone"), "left_anti")
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    """The distinct ids in ``rows``, marked for broadcast if there are at most ``BROADCAST_IDS``."""
+    ids = stored(rows.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

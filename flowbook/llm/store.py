@@ -27,7 +27,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     is cut, a lost executor re-reads files, and a second use costs a scan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import pyarrow.dataset as ds
 import pytest
 
 import corpus_pipeline
+from flowbook.llm import near_dup
 from flowbook.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -57,6 +58,13 @@ def test_near_duplicates(spark):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in have.items())
 
 
+def test_near_duplicates_with_shuffled_id_lists(spark, monkeypatch):
+    docs = Q.table(spark, SF, "documents")
+    want = sorted(map(str, near_dup.keep_one(docs).collect()))
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
+    assert sorted(map(str, near_dup.keep_one(docs).collect())) == want
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t):
