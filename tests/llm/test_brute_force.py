@@ -62,7 +62,17 @@ def test_near_duplicates_with_shuffled_id_lists(spark, monkeypatch):
     docs = Q.table(spark, SF, "documents")
     want = sorted(map(str, near_dup.keep_one(docs).collect()))
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
-    assert sorted(map(str, near_dup.keep_one(docs).collect())) == want
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        out = near_dup.keep_one(docs)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == want
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
 
 
 def base_spans(t):
