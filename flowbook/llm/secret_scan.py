@@ -5,9 +5,10 @@ method looks at candidate strings: maximal runs of ``[A-Za-z0-9+/_=-]`` of at
 least ``Entropy.window`` characters.  A window slides over each candidate, the
 counts of its characters are kept incrementally, and the Shannon entropy is held
 against the limit of the narrowest character class that the window fits (digits,
-hex, letters and digits, base64).  Windows above the limit merge to spans.  A
-candidate on the allow list (uuids, dates and numbers, paths and words joined by
-signs, strings with a run of one character) is suppressed; base spans are not.
+hex of either case, letters and digits, base64).  A candidate with a window above
+the limit is one span, the whole of it.  The allow list (uuids, dates and numbers,
+paths and words joined by signs) holds for parts of a candidate, between signs: a
+window over allowed parts alone is none; base spans are not suppressed.
 
 Spans are in code points, end exclusive, and are the whole matches.  Null text is
 empty and has no span; repeated rows are scanned one by one; other columns pass
@@ -29,18 +30,24 @@ from pyspark.sql import functions as F
 from flowbook.llm.store import columns
 
 KINDS = ["assign", "access", "hex", "entropy"]
+_DIGITS, _HEXA = frozenset("0123456789"), frozenset("0123456789abcdefABCDEF")
 
 _ANY = lambda s: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s)
 ASSIGN = re.compile(f"({'|'.join(map(_ANY, ('password', 'passwd', 'secret', 'token')))}|{_ANY('api')}_?{_ANY('key')})"
                     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # as maximal runs: those of ``[0-9a-f]+`` with 16 or more
-ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # uuid
-    r"|[0-9+/_=-]+"                                       # numbers and dates
-    r"|[/_=+-]*([A-Za-z]+[0-9]{0,4}[/_=+-]+)*[A-Za-z]+[0-9]{0,4}[/_=+-]*"  # words, paths, names with a short number
-)
-_RUN = re.compile(r"(.)\1{5}")
+UUID = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
+#: Parts between signs: numbers, also with a unit (3d, 10th), and words of any case (camelCase, iPhone, HTTPServer), also with a short number.
+PLAIN = re.compile(r"[0-9]+|[0-9]{1,4}[a-z]{1,2}|[a-z]*(?:[A-Z]+[a-z]{2,})*[A-Z]*[0-9]{0,4}")
+_PART = re.compile(r"[A-Za-z0-9]+")
+
+
+def odd_parts(text: str) -> list[tuple[int, int]]:
+    """The parts of a candidate that are not on the allow list."""
+    if "-" in text:
+        text = UUID.sub(lambda m: "-" * len(m[0]), text)
+    return [m.span() for m in _PART.finditer(text) if not PLAIN.fullmatch(m[0])]
 
 
 @dataclass(frozen=True)
@@ -54,36 +61,35 @@ class Entropy:
     base64: float = 3.8
 
 
-def windows_above(text: str, e: Entropy) -> list[tuple[int, int]]:
-    """Merged spans of the windows whose entropy is over their class's limit."""
-    w, n = e.window, len(text)
+def is_secret(text: str, e: Entropy) -> bool:
+    """Whether a window that touches an odd part has an entropy over its class's limit."""
+    odd = odd_parts(text)
+    if not odd:
+        return False
+    w = e.window
     counts: dict[str, int] = {}
-    part = [0.0] + [k * math.log2(k) for k in range(1, w + 1)]
-    digit = [c.isdigit() for c in text]
-    hexa = [c in "0123456789abcdef" for c in text]
-    alnum = [c.isalnum() for c in text]
-    total, d, h, a, upper, lower = 0.0, 0, 0, 0, 0, 0  # sum of k log2 k; characters by class
-    spans: list[tuple[int, int]] = []
+    part = [0.0] + [k * math.log2(k) for k in range(1, w + 2)]  # a window and the next character
+    total, d, h, a, at = 0.0, 0, 0, 0, 0  # sum of k log2 k; characters by class; the first odd part that ends in or after the window
     for i, c in enumerate(text):
         k = counts.get(c, 0)
         counts[c] = k + 1
         total += part[k + 1] - part[k]
-        d, h, a, upper, lower = d + digit[i], h + hexa[i], a + alnum[i], upper + c.isupper(), lower + c.islower()
+        d, h, a = d + (c in _DIGITS), h + (c in _HEXA), a + c.isalnum()
         if i >= w:
-            old = text[i - w]
-            k = counts[old]
-            counts[old] = k - 1
+            c = text[i - w]
+            k = counts[c]
+            counts[c] = k - 1
             total += part[k - 1] - part[k]
-            d, h, a, upper, lower = d - digit[i - w], h - hexa[i - w], a - alnum[i - w], upper - old.isupper(), lower - old.islower()
+            d, h, a = d - (c in _DIGITS), h - (c in _HEXA), a - c.isalnum()
         if i >= w - 1:
-            bits = math.log2(w) - total / w
+            while at < len(odd) and odd[at][1] <= i - w + 1:
+                at += 1
+            if at == len(odd):
+                return False
             limit = e.digits if d == w else e.hexadecimal if h == w else e.alnum if a == w else e.base64
-            if bits >= limit and d >= 2 and upper + lower >= 2:
-                if spans and i - w + 1 <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], i + 1)
-                else:
-                    spans.append((i - w + 1, i + 1))
-    return spans
+            if odd[at][0] <= i and math.log2(w) - total / w >= limit - 1e-9:
+                return True
+    return False
 
 
 def find_spans(text: str | None, e: Entropy = Entropy()) -> list[tuple[int, int, int]]:
@@ -97,9 +103,8 @@ def find_spans(text: str | None, e: Entropy = Entropy()) -> list[tuple[int, int,
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in _candidates(e.window).finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and not ALLOWED.fullmatch(s) and not _RUN.search(s):
-            out += [(m.start() + a, 3, m.start() + b) for a, b in windows_above(s, e)]
+        if is_secret(m[0], e):
+            out.append((m.start(), 3, m.end()))
     return sorted(out)
 
 
