@@ -39,8 +39,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequence and offset."""
-    return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
+    """Pieces of at most 1024 tokens with their sequence and offset.  Lines above the
+    limits of the quality rules are cut first, but at the first holder of a source that
+    is still here."""
+    clean = stored(quality_rules.without_frequent_lines(docs.select("doc_id", "source", "text")), "clean")
+    return packing.pack(clean.select("doc_id", "text"), tokenizer_path())
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontaminate", benchmark), ("secret_scan", secrets), ("packing", pack)]

@@ -7,7 +7,8 @@ distinct texts that hold a line are counted.  A line held by more than
 ``max(min_docs, share of the host's distinct texts)`` is above the limit and is
 removed from every document but the host's first (smallest id) that holds it, so
 that text never disappears from all its holders.  A document whose words are
-mostly removed is depleted and rejected.
+mostly removed is depleted and rejected.  ``clean_col`` names a column for the text
+without the removed lines; the other lines stay byte for byte.
 
 Null text has no words.  A null host is a host of its own.  Rows with one id are
 judged each by its own text; exact copies count as one text; ties for the first
@@ -97,11 +98,27 @@ def text_stats(chunk: Chunk, words: Words, rules: Rules) -> dict[str, np.ndarray
     }
 
 
-def _line_hashes(chunk: Chunk, words: Words, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key of host and normalised line, words) of each line with a word."""
+def _line_hashes(chunk: Chunk, words: Words, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key of host and normalised line, words, first byte) of each line with a word."""
     s, _, lo, hi = _lines(chunk, words)
     doc = np.searchsorted(chunk.off, s, side="right") - 1
-    return doc, mix(between(words.sums, lo, hi) ^ mix(host[doc])), hi - lo
+    return doc, mix(between(words.sums, lo, hi) ^ mix(host[doc])), hi - lo, s
+
+
+def _cut(chunk: Chunk, texts: pa.Array, doc: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The chunk's ``texts`` without the lines of text ``doc`` that begin at byte ``start``; null stays null."""
+    if not len(doc):
+        return texts
+    out = texts.to_pylist()
+    for d in np.unique(doc).tolist():
+        gone = set((start[doc == d] - chunk.off[d]).tolist())
+        at, kept = 0, []
+        for line in chunk.raw[chunk.off[d]:chunk.off[d + 1]].tobytes().split(b"\n"):
+            if at not in gone:
+                kept.append(line)
+            at += len(line) + 1
+        out[d] = b"\n".join(kept).decode()
+    return pa.array(out, texts.type)
 
 
 def _hosts(batch: pa.RecordBatch, chunk: Chunk) -> np.ndarray:
@@ -118,7 +135,7 @@ def line_holders(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             hosts = b.column(_KEY).to_numpy(zero_copy_only=False)
             for c in chunks(b.column("text")):
                 w = c.words(BLANKS)
-                d, key, _ = _line_hashes(c, w, _hosts(b, c))
+                d, key, _, _ = _line_hashes(c, w, _hosts(b, c))
                 own = between(raw_prefix(c), c.off[:-1], c.off[1:])
                 pairs = np.unique(np.rec.fromarrays([d, key]))
                 d, key = pairs.f0 + c.first, pairs.f1
@@ -153,8 +170,9 @@ def _verdict(stats: dict[str, np.ndarray], removed: np.ndarray, rules: Rules) ->
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text",
-                  keep_text: bool = True) -> DataFrame:
-    """``docs`` (with ``keep_text`` false, without the text) with the stats, ``n_removed_words``, ``base_failed`` and ``kept``.
+                  keep_text: bool = True, clean_col: str | None = None) -> DataFrame:
+    """``docs`` (with ``keep_text`` false, without the text) with the stats, ``n_removed_words``, ``base_failed``, ``kept`` and,
+    if ``clean_col`` names it, the text without the removed lines.
 
     Two scans of the texts; only hashes of lines are shuffled.  The lines above
     the limit are broadcast if there are at most ``rules.max_broadcast_lines``;
@@ -162,8 +180,16 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     spark = docs.sparkSession
     lines = stored(frequent_lines(docs, rules, id_col, text_col), "frequent-lines")
     if lines.count() <= rules.max_broadcast_lines:
-        return _narrow(spark, docs, lines, rules, id_col, text_col, keep_text)
-    return _joined(docs, lines, rules, id_col, text_col, keep_text)
+        return _narrow(spark, docs, lines, rules, id_col, text_col, keep_text, clean_col)
+    return _joined(docs, lines, rules, id_col, text_col, keep_text, clean_col)
+
+
+def without_frequent_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines above the limit cut from the text of all but their
+    first holders; no document goes, and texts without such a line are as they were."""
+    clean = "flowbook_clean"
+    out = quality_rules(docs, rules, id_col, text_col, keep_text=False, clean_col=clean)
+    return out.select(*[F.col(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _with(docs: DataFrame, scan, id_col: str, text_col: str, extra: str, keep_text: bool) -> DataFrame:
@@ -186,8 +212,9 @@ def _with(docs: DataFrame, scan, id_col: str, text_col: str, extra: str, keep_te
 _STAT_SCHEMA = ", ".join(f"{c} long" for c in STATS)
 
 
-def _narrow(spark: SparkSession, docs: DataFrame, lines: DataFrame, rules: Rules, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+def _narrow(spark: SparkSession, docs: DataFrame, lines: DataFrame, rules: Rules, id_col: str, text_col: str, keep_text: bool, clean_col: str | None) -> DataFrame:
     got = lines.toPandas().sort_values("line")
+    k = docs.columns.index(text_col)
     sent = spark.sparkContext.broadcast((got["line"].to_numpy(np.int64).view(np.uint64).copy(), got["first"].to_numpy(np.int64)))
 
     def scan(b: pa.RecordBatch, c: Chunk) -> dict[str, np.ndarray]:
@@ -196,35 +223,56 @@ def _narrow(spark: SparkSession, docs: DataFrame, lines: DataFrame, rules: Rules
         keys, first = keys[order], first[order]
         w = c.words(BLANKS)
         stats = text_stats(c, w, rules)
-        doc, key, n = _line_hashes(c, w, _hosts(b, c))
+        doc, key, n, start = _line_hashes(c, w, _hosts(b, c))
         at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
         ids = b.column("flowbook_doc")[c.first:c.first + c.n].fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         gone = (keys[at] == key) & (first[at] != ids[doc]) if len(keys) else np.zeros(len(key), bool)
         removed = np.bincount(doc[gone], weights=n[gone], minlength=c.n).astype(np.int64)
         failed, kept = _verdict(stats, removed, rules)
-        return stats | {"n_removed_words": removed, "base_failed": failed, "kept": kept}
+        clean = {clean_col: _cut(c, b.column(k).slice(c.first, c.n), doc[gone], start[gone])} if clean_col else {}
+        return stats | {"n_removed_words": removed, "base_failed": failed, "kept": kept} | clean
 
-    return _with(docs, scan, id_col, text_col, f"{_STAT_SCHEMA}, n_removed_words long, base_failed boolean, kept boolean", keep_text)
+    extra = f", `{clean_col}` string" if clean_col else ""
+    return _with(docs, scan, id_col, text_col, f"{_STAT_SCHEMA}, n_removed_words long, base_failed boolean, kept boolean{extra}", keep_text)
 
 
-def _joined(docs: DataFrame, lines: DataFrame, rules: Rules, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+def _joined(docs: DataFrame, lines: DataFrame, rules: Rules, id_col: str, text_col: str, keep_text: bool, clean_col: str | None) -> DataFrame:
     """The same rows where the lines above the limit are too many to broadcast."""
 
     def scan(b: pa.RecordBatch, c: Chunk) -> dict[str, np.ndarray]:
         w = c.words(BLANKS)
-        doc, key, n = _line_hashes(c, w, _hosts(b, c))
+        doc, key, n, _ = _line_hashes(c, w, _hosts(b, c))
         cut = np.searchsorted(doc, np.arange(1, c.n))
         return text_stats(c, w, rules) | {
             "flowbook_lines": [x.view(np.int64) for x in np.split(key, cut)], "flowbook_counts": [x.astype(np.int64) for x in np.split(n, cut)]}
 
-    base = stored(_with(docs, scan, id_col, text_col, f"{_STAT_SCHEMA}, flowbook_lines array<long>, flowbook_counts array<long>", keep_text).withColumn(
+    base = stored(_with(docs, scan, id_col, text_col, f"{_STAT_SCHEMA}, flowbook_lines array<long>, flowbook_counts array<long>", keep_text or clean_col is not None).withColumn(
         "flowbook_row", F.monotonically_increasing_id()), "line-stats")
     at = base.select("flowbook_row", F.col(id_col).cast("long").alias("doc"), F.explode(F.arrays_zip("flowbook_lines", "flowbook_counts")).alias("l"))
     removed = (at.select("flowbook_row", "doc", F.col("l.flowbook_lines").alias("line"), F.col("l.flowbook_counts").alias("k"))
                .join(lines, "line").filter(~F.col("doc").eqNullSafe(F.col("first")))
-               .groupBy("flowbook_row").agg(F.sum("k").alias("n_removed_words")))
+               .groupBy("flowbook_row").agg(F.sum("k").alias("n_removed_words"), F.collect_set("line").alias("flowbook_gone")))
     n, gone = F.col("n_words"), F.coalesce("n_removed_words", F.lit(0))
     failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
-    return base.join(removed, "flowbook_row", "left").select(
-        *[base[f"`{c}`"] for c in docs.columns if keep_text or c != text_col], *STATS, gone.alias("n_removed_words"), failed.alias("base_failed"),
-        (~failed & ~(100 * (n - gone) < rules.depleted_percent * n)).alias("kept"))
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    made = [*STATS, "n_removed_words", "base_failed", "kept"]
+    out = base.join(removed, "flowbook_row", "left").select(
+        *[base[f"`{c}`"] for c in kept], *STATS, gone.alias("n_removed_words"), failed.alias("base_failed"),
+        (~failed & ~(100 * (n - gone) < rules.depleted_percent * n)).alias("kept"),
+        *([base[f"`{text_col}`"].alias("flowbook_text"), "flowbook_gone", _host(docs)] if clean_col else ()))
+    if not clean_col:
+        return out
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column("flowbook_text")):
+                part = b.slice(c.first, c.n)
+                doc, key, _, start = _line_hashes(c, c.words(BLANKS), _hosts(b, c))
+                above = part.column("flowbook_gone").to_pylist()
+                hit = np.zeros(len(key), bool)
+                for d in (i for i, x in enumerate(above) if x):
+                    lo, hi = np.searchsorted(doc, [d, d + 1])
+                    hit[lo:hi] = np.isin(key[lo:hi], np.array(above[d], np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept) + len(made)], _cut(c, part.column("flowbook_text"), doc[hit], start[hit])], names=[*kept, *made, clean_col])
+
+    return out.mapInArrow(clean, f"{columns(out.select(*[F.col(f'`{c}`') for c in [*kept, *made]]))}`{clean_col}` string")
