@@ -122,4 +122,81 @@ FROM s
 """
 
 
-ORACLES = {"op3_url_filter": _URLS, "op4_decontaminate": _decontaminate(), "op7_warc": _WARC, "op9_chat_format": _CHAT, "op10_quality_rules": _quality()}
+# CRC-32 of UTF-8 bytes: the table of 256 steps, and one step a byte.
+_CRC_TABLE = """
+steps(i, v, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    code = lambda at: f"(strpos('0123456789ABCDEF', substr(h, {at}, 1)) - 1)"
+    read = f"list_transform(range(1, length(h), 2), lambda i: CAST({code('CAST(i AS INTEGER)')} * 16 + {code('CAST(i AS INTEGER) + 1')} AS BIGINT))"
+    return (f"(SELECT xor(list_reduce(list_concat([4294967295], {read}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) "
+            f"FROM (SELECT hex(encode({text})) AS h) x, tab)")
+
+
+def _trie(family: int = 5, most: int = 9) -> str:
+    """Conversations rebuilt, prefixes as joined turns, and the sums of a subtree over the ancestors of its nodes."""
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS place, octet_length(encode(text)) AS bytes,
+         md5(length(role) || ':' || role || text) AS turn_key FROM t),
+convs AS (SELECT c, c - (c % {family} + {family}) % {family} AS base, {_crc("CAST(c AS VARCHAR)")} % {most} AS h FROM (SELECT DISTINCT c FROM own)),
+made AS (
+  SELECT convs.c, 1 AS part, place, bytes, turn_key FROM convs JOIN own ON own.c = base AND place <= h
+  UNION ALL SELECT c, 2, place, bytes, turn_key FROM own JOIN convs USING (c) WHERE place > h),
+steps_of AS (
+  SELECT c, row_number() OVER o AS d, bytes, string_agg(turn_key, ',') OVER (PARTITION BY c ORDER BY part, place ROWS UNBOUNDED PRECEDING) AS key
+  FROM made WINDOW o AS (PARTITION BY c ORDER BY part, place)
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+ends AS (SELECT c, max(d) AS d FROM steps_of GROUP BY c),
+nodes AS (
+  SELECT steps_of.d, key, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends.d = steps_of.d) AS ids,
+         count(*) FILTER (WHERE ends.d = steps_of.d) AS n_ends
+  FROM steps_of JOIN ends USING (c) GROUP BY steps_of.d, key),
+paths AS (
+  SELECT a.d AS d, a.key AS key, n.d AS under, n.n_convs, n.bytes, n.n_ends FROM nodes n JOIN steps_of a ON a.c = n.conv_id AND a.d <= n.d),
+sums AS (
+  SELECT d, key, count(*) FILTER (WHERE under = d + 1) AS n_children, count(*) FILTER (WHERE n_ends = n_convs) AS n_leaves,
+         sum(CASE WHEN under > 0 THEN (n_convs - 1) * bytes ELSE 0 END) AS saved
+  FROM paths GROUP BY d, key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.key = n.key
+LEFT JOIN steps_of u ON u.c = n.conv_id AND u.d = n.d - 1 LEFT JOIN nodes p ON p.d = u.d AND p.key = u.key
+"""
+
+
+def _resample(buckets: int = 10_000, seed: int = 2024, percent: int = 10, least: int = 20) -> str:
+    words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS l FROM documents),
+raw AS (SELECT rid, unnest(l) AS w FROM d),
+target AS (SELECT unnest({words}) AS w FROM benchmark),
+codes AS MATERIALIZED (SELECT w, {_crc("w")} % {buckets} AS b FROM (SELECT w FROM raw UNION SELECT w FROM target)),
+s AS (SELECT b, count(*) AS n FROM raw JOIN codes USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM target JOIN codes USING (w) GROUP BY b),
+sizes AS (SELECT (SELECT count(*) FROM raw) AS s_all, (SELECT count(*) FROM target) AS t_all),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(s_all + {buckets} AS DOUBLE)) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST(t_all + {buckets} AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (b) CROSS JOIN sizes),
+weights AS (SELECT rid, sum(gain) AS weight FROM raw JOIN codes USING (w) JOIN gains USING (b) GROUP BY rid),
+noise AS (
+  SELECT rid, list_reduce(list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef', substr(hash, CAST(i AS INTEGER), 1)) - 1 AS BIGINT)), lambda a, x: a * 16 + x) AS h
+  FROM (SELECT rid, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM d)),
+scored AS (
+  SELECT rid, doc_id, CAST(len(l) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (rid) JOIN noise USING (rid)),
+ranks AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE n_features >= {least})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {percent} * (SELECT count(*) FROM ranks) // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranks USING (rid)
+"""
+
+
+ORACLES = {"op3_url_filter": _URLS, "op4_decontaminate": _decontaminate(), "op7_warc": _WARC, "op9_chat_format": _CHAT, "op10_quality_rules": _quality(),
+           "op11_prefix_trie": _trie(), "op13_resample": _resample()}

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin digests of their results over
+"""The registered queries of the operators: thin digests of their results over
 whole tables.  ``pipeline`` is registered by ``__spark_entry__``."""
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbook.llm import chat, decontaminate, html_extract, near_dup, packing, quality_model, quality_rules, secret_scan, url_filter, warc
+from flowbook.llm import chat, decontaminate, html_extract, near_dup, packing, pitman_yor, prefix_trie, quality_model, quality_rules, resampling, secret_scan, url_filter, warc
 
 
 #: The folder that holds the package.
@@ -117,6 +117,19 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_lm_score(spark, sf_dir):
+    return pitman_yor.score_all(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_resample(spark, sf_dir):
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_secret_scan, op3_url_filter, op4_decontaminate, op5_quality_model, op6_html_extract, op7_warc, op8_packing,
-    op9_chat_format, op10_quality_rules)}
+    op9_chat_format, op10_quality_rules, op11_prefix_trie, op12_lm_score, op13_resample)}

@@ -22,11 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table of ours that nothing reads again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as parquet to the shared folder and read again: its lineage
     is cut, a lost executor re-reads files, and a second use costs a scan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
