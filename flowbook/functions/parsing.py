@@ -20,20 +20,21 @@ ARRAY_SEP = "!"
 NULL_TOKEN = "NULL"
 DATE_TEXT_FORMAT = "yyyy-MM-dd'T'HH"
 CYCLE_PATTERN = r"^P?(\d+)([DWMQHY])(L?[-+01]?)$"
-PERIOD_PATTERN = r"^P?(\d+)([DWMQHY])$"
+PERIOD_PATTERN = r"^P?(\d+)([DWMQHY])()$"
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}(T([01]\d|2[0-3])(:[0-5]\d){0,2})?$"
 LONG_STUBS = ("+", "L0")
+#: Stands between the parts of a cycle text once it is cut; no token of a line holds it.
+_CUT = "\u0001"
 
 
 def java_split(text: Column, sep: str = FIELD_SEP) -> Column:
     """Split like ``String.split``: trailing empty tokens are dropped, so a line of
     separators only has no token, and an empty line has one empty token.
 
-    Spark's ``split`` keeps them, so strip a run of separators at the end first.
+    Spark's ``split`` keeps them, so separators at the end are trimmed first.
     """
-    s = re.escape(sep)
-    parts = F.split(F.regexp_replace(text, s + "+$", ""), s)
-    return F.when(text.rlike(f"^{s}+$"), F.array().cast("array<string>")).otherwise(parts)
+    trimmed = F.rtrim(text, F.lit(sep))
+    return F.when((trimmed == "") & (text != ""), F.array().cast("array<string>")).otherwise(F.split(trimmed, re.escape(sep)))
 
 
 def token(tokens: Column, i: int) -> Column:
@@ -68,35 +69,63 @@ def parse_date(x: Column) -> Column:
     return F.when(x.rlike(DATE_PATTERN), x.try_cast("date"))
 
 
-def _group(x: Column, pattern: str, i: int) -> Column:
-    """Group ``i`` of ``pattern`` or NULL: ``regexp_extract`` yields '' on no
-    match, so one regex call per part (no separate ``rlike`` guard)."""
-    return F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
+def cycle_parts(x: Column, pattern: str = CYCLE_PATTERN) -> Column:
+    """A cycle text cut into its parts by one regular expression: an array of four,
+    read with ``n_of``, ``unit_of``, ``stub_of``, and of one (the text) when it is no cycle.
+
+    Kept as a column, it is computed once a row, whatever is read from it."""
+    return F.split(F.regexp_replace(x, pattern, f"{_CUT}$1{_CUT}$2{_CUT}$3"), _CUT)
+
+
+def period_parts(x: Column) -> Column:
+    """The same for a period text, a cycle text without stub."""
+    return cycle_parts(x, PERIOD_PATTERN)
+
+
+def n_of(parts: Column) -> Column:
+    return F.get(parts, F.lit(1)).try_cast("int")
+
+
+def unit_of(parts: Column) -> Column:
+    return F.get(parts, F.lit(2))
+
+
+def stub_of(parts: Column) -> Column:
+    return F.get(parts, F.lit(3))
+
+
+def is_cut(parts: Column) -> Column:
+    """The text was a cycle (a period)."""
+    return F.size(parts) == 4
 
 
 def cycle_n(x: Column) -> Column:
-    return _group(x, CYCLE_PATTERN, 1).try_cast("int")
+    return n_of(cycle_parts(x))
 
 
 def cycle_unit(x: Column) -> Column:
-    return _group(x, CYCLE_PATTERN, 2)
+    return unit_of(cycle_parts(x))
 
 
 def cycle_stub(x: Column) -> Column:
     """The stub text ('' when the cycle has none); NULL when the text is no cycle."""
-    return F.when(cycle_n(x).isNotNull(), F.regexp_extract(x, CYCLE_PATTERN, 3))
+    return stub_of(cycle_parts(x))
+
+
+def is_long(parts: Column) -> Column:
+    return F.coalesce(stub_of(parts).isin(*LONG_STUBS), F.lit(False))
 
 
 def cycle_is_long(x: Column) -> Column:
-    return F.coalesce(F.regexp_extract(x, CYCLE_PATTERN, 3).isin(*LONG_STUBS), F.lit(False))
+    return is_long(cycle_parts(x))
 
 
 def period_n(x: Column) -> Column:
-    return _group(x, PERIOD_PATTERN, 1).try_cast("int")
+    return n_of(period_parts(x))
 
 
 def period_unit(x: Column) -> Column:
-    return _group(x, PERIOD_PATTERN, 2)
+    return unit_of(period_parts(x))
 
 
 def unit_months(unit: Column) -> Column:
@@ -112,7 +141,11 @@ def unit_days(unit: Column) -> Column:
 
 def period_years(text: Column) -> Column:
     """Period text (curve tenor, rate term) as a year fraction: n months / 12, n days / 365."""
-    n = period_n(text).cast("double")
-    unit = period_unit(text)
+    return years_of(period_parts(text))
+
+
+def years_of(parts: Column) -> Column:
+    n = n_of(parts).cast("double")
+    unit = unit_of(parts)
     return F.coalesce(n * unit_months(unit).cast("double") / F.lit(12.0),
                       n * unit_days(unit).cast("double") / F.lit(365.0))

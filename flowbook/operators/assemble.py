@@ -23,22 +23,15 @@ def nest(events: DataFrame) -> DataFrame:
     Takes all events of every contract (with ``reported``), so a contract with
     nothing to report still gets a row with empty arrays, without a join.
     One row per input line: lines that share an id stay apart, and a rejected
-    line has empty arrays.  Grouping reuses the partitioning of the windows.
+    line has empty arrays.  Grouping reuses the partitioning of the windows; ids and
+    dates are rendered before it, and a field of the gathered events is an array as
+    it stands.  Events arrive in order, so the sort of a contract's list only checks.
     """
     e = F.when(F.col("reported"), F.struct(
-        F.col("event_date").alias("d"), F.col("seq").alias("seq"), F.col("type").alias("type"),
-        F.col("currency").alias("currency"), F.col("value").alias("value"),
-        F.col("nominal").alias("nominal"), F.col("accrued").alias("accrued")))
+        F.col("event_date").alias("d"), F.col("seq").alias("seq"), F.col("contract_id").alias("id"),
+        date_text(F.col("event_date")).alias("date"), *NESTED_FIELDS[2:]))
     g = events.groupBy(*contract_key(events)).agg(F.sort_array(F.collect_list(e)).alias("ev"))
-    ev = F.col("ev")
-    return g.select(
-        F.transform(ev, lambda x: F.col("contract_id")).alias("id"),
-        F.transform(ev, lambda x: date_text(x["d"])).alias("date"),
-        F.transform(ev, lambda x: x["type"]).alias("type"),
-        F.transform(ev, lambda x: x["currency"]).alias("currency"),
-        F.transform(ev, lambda x: x["value"]).alias("value"),
-        F.transform(ev, lambda x: x["nominal"]).alias("nominal"),
-        F.transform(ev, lambda x: x["accrued"]).alias("accrued"))
+    return g.select(*[F.col(f"ev.{f}").alias(f) for f in NESTED_FIELDS])
 
 
 def flatten(nested: DataFrame) -> DataFrame:

@@ -95,9 +95,9 @@ def _term(raw: Column, kind: str, required: bool = False) -> tuple[Column, Colum
             return v, present & v.isNotNull()
         return v, present & (P.is_null_token(raw) | v.isNotNull())
     if kind == "cycle":
-        return P.null_if_token(raw), present & (P.is_null_token(raw) | raw.rlike(P.CYCLE_PATTERN))
+        return P.null_if_token(raw), present & (P.is_null_token(raw) | P.is_cut(P.cycle_parts(raw)))
     if kind == "period":
-        return P.null_if_token(raw), present & (P.is_null_token(raw) | raw.rlike(P.PERIOD_PATTERN))
+        return P.null_if_token(raw), present & (P.is_null_token(raw) | P.is_cut(P.period_parts(raw)))
     if kind == "point":
         return P.null_if_token(raw), present & (P.is_null_token(raw) | raw.isin(*CYCLE_POINTS))
     if kind == "role":
@@ -115,7 +115,8 @@ def parse_contracts(lines: DataFrame, layout: str = "full", value_col: str = "va
 
     Output: every column of ``ALL_TERMS`` (NULL where the layout has no such
     term), ``err_pos`` (first bad position in setter order), ``err_field``,
-    ``err_token``, plus the columns named in ``keep``.
+    ``err_token``, plus the columns named in ``keep``.  The result is fenced: what
+    is selected or filtered from it never inlines the parser.
     """
     spec = LAYOUTS[layout]
     tokens = P.java_split(F.col(value_col))
@@ -138,32 +139,32 @@ def parse_contracts(lines: DataFrame, layout: str = "full", value_col: str = "va
                                F.col(f"_v{pos}")).cast(typ).alias(name))
         else:
             cols.append(F.lit(None).cast(typ).alias(name))
-    return staged.select(
+    return fence(staged.select(
         *keep, *cols, F.col("err_pos"),
         F.try_element_at(field_of, F.col("err_pos")).alias("err_field"),
         F.get(F.col("_tok"), F.col("err_pos")).alias("err_token"),
-    )
+    ))
 
 
 def fence(df: DataFrame) -> DataFrame:
     """A one-row-in, one-row-out generate that filters are not pushed through.
 
-    Without it the optimizer rewrites a filter on ``err_pos`` in terms of the
+    Without it the optimizer rewrites a filter on a parsed column in terms of the
     text: the split and all term parsers are inlined into the filter once per
-    reference, which doubles the parse work and overflows generated code.
+    reference, which multiplies the parse work and overflows generated code.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
 def clean(contracts: DataFrame) -> DataFrame:
     """Contracts whose every term parsed."""
-    return (fence(contracts).filter(F.col("err_pos").isNull())
+    return (contracts.filter(F.col("err_pos").isNull())
             .drop("err_pos", "err_field", "err_token"))
 
 
 def rejects(contracts: DataFrame) -> DataFrame:
     """One row per contract with a bad term: id (if read), position, field, raw token."""
-    return fence(contracts).filter(F.col("err_pos").isNotNull()).select(
+    return contracts.filter(F.col("err_pos").isNotNull()).select(
         "contract_id", "err_pos", "err_field", "err_token")
 
 

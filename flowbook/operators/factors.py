@@ -9,7 +9,10 @@ own row (no window, no shuffle), and each interval is listed once per calendar
 month it touches.  A lookup joins on ``(code, month)`` plus the range test, so a
 probe scans only the few intervals of one month, and a hot code spreads over
 many join keys.  Dates at or after the last observation take the last value
-from the per-code metadata row, so no interval is open-ended.
+from the per-code metadata row, so no interval is open-ended.  Curves are cut the
+same way, into segments between tenors, and read by one range join on the code.
+Where the factor side is too large to broadcast, hot codes are measured and
+salted (``operators.skew``).
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from flowbook.functions import parsing as P
 from flowbook.functions.dates import month_index
 from flowbook.operators import broadcast as B
+from flowbook.operators import skew
 from flowbook.operators.state import LINE_KEY
 
 # Risk-factor types.
@@ -30,12 +34,6 @@ FX_RATE = "ForeignExchangeRate"
 KNOWN_TYPES = (TERM_STRUCTURE, REFERENCE_RATE, REFERENCE_INDEX, FX_RATE)
 DATED_TYPES = (REFERENCE_RATE, REFERENCE_INDEX, FX_RATE)
 
-#: Beyond the broadcast bound, a hot code's rows are dealt to so many keys and the
-#: factor side is replicated as often.
-SALTS_CONF = "flowbook.lookup.salts"
-DEFAULT_SALTS = 16
-
-
 def factor_records(lines: DataFrame) -> DataFrame:
     """``(line_no, code, rf_type, keys ARRAY<STRING>, vals ARRAY<STRING>)``."""
     tok = P.java_split(F.col("value"))
@@ -117,80 +115,89 @@ def meta(series_df: DataFrame) -> DataFrame:
         "curve", read.alias("reset_ok"), pts.isNotNull().alias("scaling_ok"))
 
 
+def _neighbours(series_df: DataFrame, points: str) -> DataFrame:
+    """``code``, ``here`` and ``after``: each point and the next one (NULL after the last)."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    pairs = series_df.filter(F.size(points) > 0).select("code", F.col(points).alias("here"), F.slice(points, F.lit(2), n).alias("after"))
+    return pairs.select("code", F.explode(F.arrays_zip("here", "after")).alias("p")).select("code", "p.here", "p.after")
+
+
 def intervals(series_df: DataFrame) -> DataFrame:
     """Bounded as-of intervals ``[d_from, d_to)`` listed per month they touch:
     ``code, bucket, d_from, d_to, value``."""
-    pts = F.col("pts")
-    iv = F.filter(
-        F.transform(pts, lambda p, i: F.struct(
-            p["d"].alias("d_from"),
-            F.try_element_at(pts, i + 2)["d"].alias("d_to"),
-            p["v"].alias("value"))),
-        lambda x: x["d_to"].isNotNull() & (x["d_to"] > x["d_from"]))
-    rows = (series_df.filter(pts.isNotNull())
-            .select("code", F.explode(iv).alias("iv")).select("code", "iv.*"))
+    rows = _neighbours(series_df, "pts").select("code", F.col("here.d").alias("d_from"), F.col("after.d").alias("d_to"), F.col("here.v").alias("value"))
+    rows = rows.filter(F.col("d_to") > F.col("d_from"))
     buckets = F.sequence(month_index(F.col("d_from")), month_index(F.date_sub("d_to", 1)))
     return rows.select("code", F.explode(buckets).alias("bucket"), "d_from", "d_to", "value")
 
 
+def segments(series_df: DataFrame) -> DataFrame:
+    """A curve as segments ``[t_from, t_to)`` that cover every term: ``code, t_from,
+    t_to, t, width, value, rise``; the rate is ``value + rise * ((term - t) / width)``,
+    linear between tenors and flat outside.  Of equal tenors the last one holds at it."""
+    flat = [F.lit(0.0).alias("t"), F.lit(1.0).alias("width")]
+    ends = [F.lit(float(x)) for x in ("-inf", "inf")]
+    before = series_df.filter(F.size("curve") > 0).select(
+        "code", ends[0].alias("t_from"), F.col("curve")[0]["t"].alias("t_to"), *flat, F.col("curve")[0]["v"].alias("value"), F.lit(0.0).alias("rise"))
+    near = _neighbours(series_df, "curve")
+    last = F.col("after").isNull()
+    from_here = near.filter(last | (F.col("after.t") > F.col("here.t"))).select(
+        "code", F.col("here.t").alias("t_from"), F.coalesce("after.t", ends[1]).alias("t_to"), F.when(last, 0.0).otherwise(F.col("here.t")).alias("t"),
+        F.when(last, 1.0).otherwise(F.col("after.t") - F.col("here.t")).alias("width"), F.col("here.v").alias("value"),
+        F.when(last, 0.0).otherwise(F.col("after.v") - F.col("here.v")).alias("rise"))
+    return before.unionByName(from_here)
+
+
 class FactorTables:
     """The per-code metadata and the as-of intervals of one factor file, each
     hinted for broadcast when its size check passes."""
 
     def __init__(self, lines: DataFrame):
-        # The typed series (one row per code) is checkpointed to the shared
-        # checkpoint folder: the two size checks and the joins read the factor
-        # text once, and a lost executor re-reads the files, not the lineage.
-        from flowbook.plans.sinks import shared_dir
-        shared_dir(lines.sparkSession)  # sets the folder only where it is unset (tests)
-        self.series = series(lines).checkpoint(eager=True)
+        # The typed series (one row per code) is written to the shared folder:
+        # the size checks and the joins read the factor text once, and a lost
+        # executor re-reads the files, not the lineage.
+        from flowbook.plans.sinks import materialise
+        self.series = materialise(series(lines), "factors")
         self.meta, self.meta_broadcast = B.bounded(meta(self.series))
         self.intervals, self.intervals_broadcast = B.bounded(intervals(self.series))
+        self.segments, self.segments_broadcast = B.bounded(segments(self.series))
 
     @property
     def broadcast(self) -> bool:
-        return self.meta_broadcast and self.intervals_broadcast
-
+        return self.meta_broadcast and self.intervals_broadcast and self.segments_broadcast
 
-def _salts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
-
-
-def _salt(spread: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(spread), F.lit(n)).cast("int")
 
+def _spread_of(df: DataFrame, other: Column | None = None) -> Column:
+    """What tells contracts apart, never NULL: the line, whatever its id."""
+    key = F.col(LINE_KEY) if LINE_KEY in df.columns else other if other is not None else F.col("contract_id")
+    return F.coalesce(key.cast("string"), F.lit(""))
 
-def _salted(df: DataFrame, n: int) -> DataFrame:
-    """``df`` once per salt."""
-    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_m_salt"))
 
+def _apart(key: Column, spread: Column) -> Column:
+    """``key``, or where it is NULL one that no factor has and that spreads over the shuffle."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), spread))
 
-def _spread_of(df: DataFrame) -> Column:
-    """What tells contracts apart, never NULL."""
-    key = F.col(LINE_KEY) if LINE_KEY in df.columns else F.col("contract_id")
-    return F.coalesce(key.cast("string"), F.lit(""))
 
-
-def join_meta(df: DataFrame, factors: FactorTables, m: DataFrame, key: Column, code: str) -> DataFrame:
+def join_meta(df: DataFrame, factors: FactorTables, m: DataFrame, key: Column, code: str, hot: skew.HotKeys | None = None) -> DataFrame:
     """Left join of ``df`` to metadata ``m`` on ``key`` = ``code``.
 
-    In the shuffle path a code's rows are dealt to several keys (the metadata is
-    replicated as often), and rows without a key get one that no factor has.
+    In the shuffle path a hot code's rows are dealt to several keys (its metadata is
+    repeated as often; ``hot`` is measured on ``df`` where it isn't given), and rows
+    without a key get one that no factor has.
     """
     if factors.meta_broadcast:
         return df.join(m, key == F.col(code), "left")
-    n, spread = _salts(df), _spread_of(df)
-    key = F.coalesce(key, F.concat(F.lit("\u0000"), spread))
-    return df.join(_salted(m, n), (key == F.col(code)) & (_salt(spread, n) == F.col("_m_salt")), "left").drop("_m_salt")
+    hot, spread = hot or skew.measure(df, key=key)["key"], _spread_of(df)
+    cond = (_apart(key, spread) == F.col(code)) & (hot.draw(key, spread) == F.col(skew.SALT))
+    return df.join(hot.repeated(m, code), cond, "left").drop(skew.SALT)
 
 
 def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, prefix: str,
-                gate: Column | None = None, ok: str = "reset_ok") -> DataFrame:
+                gate: Column | None = None, ok: str = "reset_ok", hot: skew.HotKeys | None = None) -> DataFrame:
     """Left join of each contract to the metadata of ``code_col``.
 
     Adds ``{prefix}_found`` (there is a line), ``_ok`` (and it reads for this use,
-    the metadata's ``ok``), ``_type``, ``_first``, ``_last``, ``_last_value``,
-    ``_curve``.  With ``gate`` false the lookup is skipped (J5: a failed reset
+    the metadata's ``ok``), ``_type``, ``_first``, ``_last``, ``_last_value``.  With ``gate`` false the lookup is skipped (J5: a failed reset
     lookup skips the scaling lookup).
     """
     m = factors.meta.select(
@@ -199,17 +206,17 @@ def lookup_code(contracts: DataFrame, factors: FactorTables, code_col: str, pref
         F.col("first_date").alias(f"{prefix}_first"),
         F.col("last_date").alias(f"{prefix}_last"),
         F.col("last_value").alias(f"{prefix}_last_value"),
-        F.col("curve").alias(f"{prefix}_curve"),
         F.col(ok).alias(f"{prefix}_ok"))
     key = F.col(code_col) if gate is None else F.when(gate, F.col(code_col))
-    joined = join_meta(contracts, factors, m, key, f"{prefix}_code")
+    joined = join_meta(contracts, factors, m, key, f"{prefix}_code", hot)
     rest = [c for c in joined.columns if c not in (f"{prefix}_code", f"{prefix}_ok")]
     return joined.select(*rest, F.col(f"{prefix}_code").isNotNull().alias(f"{prefix}_found"),
                          F.coalesce(f"{prefix}_ok", F.lit(False)).alias(f"{prefix}_ok"))
 
 
 def curve_rate(curve: Column, term_years: Column) -> Column:
-    """The curve's rate at ``term_years``: linear between tenors, flat outside."""
+    """J8 on one row's curve array: linear between tenors, flat outside.  For a table
+    of contracts ``with_curve_rate`` joins the segments instead."""
     lo = F.try_element_at(F.filter(curve, lambda p: p["t"] <= term_years), F.lit(-1))
     hi = F.try_element_at(F.filter(curve, lambda p: p["t"] >= term_years), F.lit(1))
     return (F.when(lo.isNull(), hi["v"])
@@ -218,35 +225,49 @@ def curve_rate(curve: Column, term_years: Column) -> Column:
             .otherwise(lo["v"] + (hi["v"] - lo["v"]) * ((term_years - lo["t"]) / (hi["t"] - lo["t"]))))
 
 
+def with_curve_rate(df: DataFrame, factors: FactorTables, code: Column, term_years: Column, out: str,
+                    hot: skew.HotKeys | None = None) -> DataFrame:
+    """``out`` = the rate of curve ``code`` at ``term_years``; NULL without a curve or term."""
+    seg = factors.segments.select(*[F.col(c).alias(f"_s_{c}") for c in ("code", "t_from", "t_to", "t", "width", "value", "rise")])
+    staged = df.select("*", F.when(term_years.isNotNull(), code).alias("_s_key"), term_years.alias("_s_term"))
+    inside = (F.col("_s_term") >= F.col("_s_t_from")) & (F.col("_s_term") < F.col("_s_t_to"))
+    if factors.segments_broadcast:
+        joined = staged.join(seg, (F.col("_s_key") == F.col("_s_code")) & inside, "left")
+    else:
+        hot, spread = hot or skew.measure(staged, key=F.col("_s_key"))["key"], _spread_of(df)
+        cond = (_apart(F.col("_s_key"), spread) == F.col("_s_code")) & (hot.draw(F.col("_s_key"), spread) == F.col(skew.SALT)) & inside
+        joined = staged.join(hot.repeated(seg, "_s_code"), cond, "left")
+    rate = F.col("_s_value") + F.col("_s_rise") * ((F.col("_s_term") - F.col("_s_t")) / F.col("_s_width"))
+    return joined.select(*df.columns, rate.alias(out))
+
+
 def asof_value(df: DataFrame, factors: FactorTables, code: Column, at: Column,
                first: Column, last: Column, last_value: Column, out: str,
-               spread_key: Column | None = None) -> DataFrame:
+               spread_key: Column | None = None, hot: skew.HotKeys | None = None) -> DataFrame:
     """``out`` = value of the series ``code`` at date ``at`` (last
     observation at or before it; NULL before the first or for an unknown code).
 
     Rows inside ``[first, last)`` probe the month intervals; later ones take
     ``last_value``.  Without a broadcast, rows that do not probe get a key no
-    interval has (from ``spread_key``), so they spread over the shuffle instead
-    of piling up on the NULL key, and a busy month of a hot code is salted.
+    interval has (by their line, else ``spread_key``), so they spread over the
+    shuffle instead of piling up on the NULL key, and hot codes are salted (``hot``
+    is measured on ``df`` where it isn't given).
     """
     probe = at.isNotNull() & (at >= first) & (at < last)
-    key_code = F.when(probe, code)
-    if not factors.intervals_broadcast and spread_key is not None:
-        key_code = F.coalesce(key_code, F.concat(F.lit("\u0000"), spread_key.cast("string")))
     iv = factors.intervals.select(
         F.col("code").alias("_iv_code"), F.col("bucket").alias("_iv_bucket"),
         F.col("d_from").alias("_iv_from"), F.col("d_to").alias("_iv_to"),
         F.col("value").alias("_iv_value"))
-    salted = not factors.intervals_broadcast and spread_key is not None
-    n = _salts(df) if salted else 1
-    iv = _salted(iv, n) if salted else iv
-    salt = _salt(F.coalesce(spread_key.cast("string"), F.lit("")), n) if salted else F.lit(0)
-    staged = df.select("*", key_code.alias("_k_code"), at.alias("_k_at"), salt.alias("_k_salt"))
+    key, salt = F.when(probe, code), F.lit(0)
+    if not factors.intervals_broadcast:
+        hot, spread = hot or skew.measure(df, key=key)["key"], _spread_of(df, spread_key)
+        iv, key, salt = hot.repeated(iv, "_iv_code"), _apart(key, spread), hot.draw(key, spread)
+    staged = df.select("*", key.alias("_k_code"), at.alias("_k_at"), salt.alias("_k_salt"))
     cond = ((F.col("_k_code") == F.col("_iv_code"))
             & (month_index(F.col("_k_at")) == F.col("_iv_bucket"))
             & (F.col("_k_at") >= F.col("_iv_from")) & (F.col("_k_at") < F.col("_iv_to")))
-    if salted:
-        cond = cond & (F.col("_k_salt") == F.col("_m_salt"))
+    if not factors.intervals_broadcast:
+        cond = cond & (F.col("_k_salt") == F.col(skew.SALT))
     joined = staged.join(iv, cond, "left")
     value = F.when(at >= last, last_value).when(probe, F.col("_iv_value"))
     return joined.select(*df.columns, value.alias(out))

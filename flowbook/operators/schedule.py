@@ -100,15 +100,15 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
     exploded rows need no filter.
     """
     c = F.col
-    s1 = contracts.select(
-        "*",
-        P.cycle_n(c("ip_cycle")).alias("_ip_n"), P.cycle_unit(c("ip_cycle")).alias("_ip_u"),
-        P.cycle_is_long(c("ip_cycle")).alias("_ip_long"),
-        P.cycle_n(c("rr_cycle")).alias("_rr_n"), P.cycle_unit(c("rr_cycle")).alias("_rr_u"),
-        P.cycle_is_long(c("rr_cycle")).alias("_rr_long"),
+    parsed = contracts.select("*", P.cycle_parts(c("ip_cycle")).alias("_ip"), P.cycle_parts(c("rr_cycle")).alias("_rr"),
+                              P.period_parts(c("rr_fixing")).alias("_fx"))
+    s1 = parsed.select(
+        *contracts.columns,
+        P.n_of(c("_ip")).alias("_ip_n"), P.unit_of(c("_ip")).alias("_ip_u"), P.is_long(c("_ip")).alias("_ip_long"),
+        P.n_of(c("_rr")).alias("_rr_n"), P.unit_of(c("_rr")).alias("_rr_u"), P.is_long(c("_rr")).alias("_rr_long"),
         (c("rr_anchor").isNotNull() | c("rr_cycle").isNotNull()).alias("_has_rr"),
         F.date_add(c("td"), 1).alias("_td_next"),
-        P.period_n(c("rr_fixing")).alias("_fx_n"), P.period_unit(c("rr_fixing")).alias("_fx_u"))
+        P.n_of(c("_fx")).alias("_fx_n"), P.unit_of(c("_fx")).alias("_fx_u"))
     s2 = s1.select(
         "*",
         *_steps(c("_ip_n"), c("_ip_u"), "_ip"), *_steps(c("_rr_n"), c("_rr_u"), "_rr"),

@@ -16,7 +16,7 @@ def r4(x: str) -> str:
     return f"floor(({x}) * 10000 + 0.5) / 10000.0"
 
 
-def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False) -> str:
+def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False, premium: bool = True) -> str:
     """Typed clean book (FIXTURES.md section 3); terms switched off are NULL."""
     d0 = "CAST(o_orderdate AS DATE)"
     k = "o_orderkey"
@@ -67,7 +67,7 @@ def book_cte(rr: bool = True, prd_td: bool = True, defects: bool = False) -> str
       CASE WHEN {k} % 7 = 0 THEN CAST('0.03' AS DOUBLE) END AS rr_next,
       CAST(1 AS DOUBLE) AS rr_mult,
       '6M' AS rr_term,
-      CAST(-10 * ({k} % 5) AS DOUBLE) AS pdied
+      {f'CAST(-10 * ({k} % 5) AS DOUBLE)' if premium else 'CAST(0 AS DOUBLE)'} AS pdied
     FROM pri)"""
 
 
@@ -482,5 +482,34 @@ SELECT currency, substr(date, 1, 7) AS month, count(*) AS n_events,
        floor(sum(value) * 10000 + 0.5) / 10000.0 AS total_value,
        floor(sum(CASE WHEN type = 'IP' THEN value ELSE 0.0 END) * 10000 + 0.5) / 10000.0 AS interest
 FROM flat GROUP BY currency, substr(date, 1, 7)""",
+        "run_text": _full(FLAT_BODY),
+        "run_parquet": _full(FLAT_BODY),
+        "run_short": with_ctes(book_cte(rr=False, prd_td=False, premium=False), events_ctes("DATE '1993-06-01'", factors=False)) + FLAT_BODY,
+        "load_factors": factors_only + """
+SELECT code, rf_type, CAST(first_d AS VARCHAR) AS first_date, CAST(last_d AS VARCHAR) AS last_date, last_value,
+       n_tenors, reset_ok, scaling_ok
+FROM fmeta LEFT JOIN (SELECT code, min(d) AS first_d, max(d) AS last_d, arg_max(v, d) AS last_value FROM series GROUP BY code) s USING (code)
+LEFT JOIN (SELECT code, CAST(count(*) AS INTEGER) AS n_tenors FROM curve GROUP BY code) c USING (code)""",
+        "parse_files": book_defects + _terms_sql(FULL_COLUMNS, DEFECT_ERR),
+        "time_spec_file": with_ctes(TIME_SPEC_CTES) + """
+SELECT CAST(CAST(substr(arg_min(token, line_no * 100000 + pos), 1, 10) AS DATE) AS VARCHAR) AS t0
+FROM tokens WHERE trim(token) <> ''""",
+        "parse_filtered": f"""
+SELECT * FROM ({book_defects + _terms_sql(FULL_COLUMNS, DEFECT_ERR)})
+WHERE dcc = 'A/360' AND (rr_moc = 'RATE_A' OR err_pos IS NOT NULL)""",
+        "observed_counts": with_ctes(book_cte(), FACTOR_CTES, CF_CTE) + f""",
+  bad AS (SELECT contract_id, {DEFECT_ERR} AS err_pos FROM book)
+SELECT 'reject:' || CASE err_pos WHEN 11 THEN 'rate' WHEN 19 THEN 'md' ELSE 'notional' END AS metric, count(*) AS n
+FROM bad WHERE err_pos IS NOT NULL GROUP BY 1
+UNION ALL
+SELECT 'reset:' || CASE WHEN rr_found THEN 'unreadable' ELSE 'missing' END, count(*)
+FROM cf JOIN bad USING (contract_id) WHERE err_pos IS NULL AND rr_moc IS NOT NULL AND NOT rr_ok GROUP BY 1
+UNION ALL
+SELECT 'scaling:' || CASE WHEN rr_moc IS NOT NULL AND NOT rr_ok THEN 'skipped' WHEN sc_found THEN 'unreadable' ELSE 'missing' END, count(*)
+FROM cf JOIN bad USING (contract_id) WHERE err_pos IS NULL AND sc_moc IS NOT NULL AND NOT sc_ok GROUP BY 1""",
+        "sql_functions": book_only + f"""
+SELECT contract_id, {yf('ied', 'md', 'dcc')} AS yf, {yf('ied', 'md', "'A/AISDA'")} AS yf_aisda,
+       CAST(CAST(ied + to_months(CAST(2 * ip_m AS INTEGER)) AS DATE) AS VARCHAR) AS second_date, CAST(sgn AS INTEGER) AS sign
+FROM book""",
     }
     return out

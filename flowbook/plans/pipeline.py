@@ -15,11 +15,11 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowbook.functions import parsing as P
-from flowbook.operators import assemble, contracts as C, factors as FX, schedule, state
+from flowbook.operators import assemble, contracts as C, factors as FX, schedule, skew, state
 from flowbook.sources import text
 
 EVENT_OUTPUT = ["contract_id", "event_date", "seq", "type", "currency", "value", "nominal",
@@ -30,7 +30,29 @@ def _t0_col(t0) -> Column:
     return F.lit(text.to_date_value(t0))
 
 
-def with_factors(contracts: DataFrame, factors: FX.FactorTables | None) -> DataFrame:
+def hot_codes(contracts: DataFrame, factors: FX.FactorTables | None) -> dict[str, skew.HotKeys | None]:
+    """Frequent reset and scaling codes of the book; measured only where lookups shuffle."""
+    if factors is None or factors.broadcast:
+        return {"rr": None, "sc": None}
+    return skew.measure(contracts, rr=F.col("rr_moc"), sc=F.col("sc_moc"))
+
+
+def counters(layout: str = "full") -> dict[str, Column]:
+    """P11, J5 as metrics of a valuation's contracts (after ``with_factors``): rejected
+    lines by field, failed lookups of the others by use and status."""
+    c = F.col
+    ok = c("err_pos").isNull()
+    rr, sc = ok & c("rr_moc").isNotNull(), ok & c("sc_moc").isNotNull()
+    bad = rr & ~c("rr_ok")
+    lookups = {
+        "reset:missing": bad & ~c("rr_found"), "reset:unreadable": bad & c("rr_found"),
+        "scaling:skipped": sc & bad, "scaling:missing": sc & ~bad & ~c("sc_found"),
+        "scaling:unreadable": sc & ~bad & c("sc_found") & ~c("sc_ok")}
+    out = {f"reject:{name}": c("err_field") == name for _, name, _ in C.LAYOUTS[layout]} | lookups
+    return {k: F.count_if(F.coalesce(v, F.lit(False))) for k, v in out.items()}
+
+
+def with_factors(contracts: DataFrame, factors: FX.FactorTables | None, hot: dict[str, skew.HotKeys | None] | None = None) -> DataFrame:
     """J2, J3, J5, F1-F3, F5, J8 on typed contracts.
 
     Adds ``rr_found, rr_ok, rr_type, rr_first, rr_last, rr_last_value,
@@ -44,16 +66,18 @@ def with_factors(contracts: DataFrame, factors: FX.FactorTables | None) -> DataF
                       F.lit(None).cast("date").alias(f"{p}_first"), F.lit(None).cast("date").alias(f"{p}_last"),
                       F.lit(None).cast("double").alias(f"{p}_last_value"), F.lit(False).alias(f"{p}_ok")]
         return contracts.select("*", *empty, F.lit(None).cast("double").alias("rr_curve_rate"))
-    out = FX.lookup_code(contracts, factors, "rr_moc", "rr")
+    hot = hot or hot_codes(contracts, factors)
+    out = FX.lookup_code(contracts, factors, "rr_moc", "rr", hot=hot["rr"])
     gate = F.col("rr_moc").isNull() | F.col("rr_ok")
-    out = FX.lookup_code(out, factors, "sc_moc", "sc", gate=gate, ok="scaling_ok").drop("sc_curve")
-    curve = F.when(F.col("rr_type") == FX.TERM_STRUCTURE,
-                   FX.curve_rate(F.col("rr_curve"), P.period_years(F.col("rr_term"))))
-    return out.select(*[c for c in out.columns if c != "rr_curve"], curve.alias("rr_curve_rate"))
+    out = FX.lookup_code(out, factors, "sc_moc", "sc", gate=gate, ok="scaling_ok", hot=hot["sc"])
+    curve = F.when(F.col("rr_type") == FX.TERM_STRUCTURE, F.col("rr_moc"))
+    names = out.columns
+    cut = out.select("*", P.period_parts(F.col("rr_term")).alias("_term"))
+    return FX.with_curve_rate(cut, factors, curve, P.years_of(F.col("_term")), "rr_curve_rate", hot=hot["rr"]).select(*names, "rr_curve_rate")
 
 
 def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int | None = None,
-                    repartition: bool = True, keep: tuple[str, ...] = ()) -> Callable[[DataFrame], DataFrame]:
+                    repartition: bool = True, keep: tuple[str, ...] = (), observe: Observation | None = None) -> Callable[[DataFrame], DataFrame]:
     """``contracts.transform(cashflow_events(t0, factors))`` -> flat events.
 
     ``contracts`` are typed terms (``parse_contracts`` output or a table); rows
@@ -65,6 +89,7 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
 
     ``repartition=False`` when the contracts are already hash partitioned by
     ``contract_id`` (a bucketed table): then the plan has no exchange at all.
+    ``observe`` gets the ``counters`` when an action runs the valuation.
     """
     t0c = _t0_col(t0)
 
@@ -83,16 +108,19 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
         # Broadcast lookups are narrow, so run them after the exchange (in
         # parallel, whatever the input split count).  Shuffle lookups re-key
         # the contracts by code first; then the exchange by id comes last.
+        hot = hot_codes(contracts, factors)
         if factors is None or factors.broadcast:
-            df = with_factors(spread(contracts), factors)
+            df = with_factors(spread(contracts), factors, hot)
         else:
-            df = spread(with_factors(contracts, factors))
+            df = spread(with_factors(contracts, factors, hot))
+        if observe is not None:
+            df = df.observe(observe, *[v.alias(k) for k, v in counters().items()])
         ev = schedule.explode_events(df, t0c)
         is_series_reset = (F.col("type") == "RR") & (F.col("rr_type") == FX.REFERENCE_RATE)
         if factors is not None:
             ev = FX.asof_value(ev, factors, F.when(is_series_reset, F.col("rr_moc")), F.col("obs_date"),
                                F.col("rr_first"), F.col("rr_last"), F.col("rr_last_value"),
-                               "_series_value", spread_key=F.col("contract_id"))
+                               "_series_value", hot=hot["rr"])
         else:
             ev = ev.select("*", F.lit(None).cast("double").alias("_series_value"))
         obs = (F.when(F.col("rr_type") == FX.TERM_STRUCTURE, F.col("rr_curve_rate"))
@@ -109,12 +137,13 @@ def to_base_currency(events: DataFrame, factors: FX.FactorTables, base: str = "U
     """``fx_rate`` (units of ``base`` per unit of the event currency, as of
     the event date, from the series ``prefix || currency``) and ``value_usd``.
     The base currency converts at 1."""
+    hot = None if factors.broadcast else skew.measure(events, key=F.when(F.col("currency") != base, F.concat(F.lit(prefix), F.col("currency"))))["key"]
     m = factors.meta.select(F.col("code").alias("_fx_code"), F.col("first_date").alias("_fx_first"),
                             F.col("last_date").alias("_fx_last"), F.col("last_value").alias("_fx_lv"))
     code = F.when(F.col("currency") != base, F.concat(F.lit(prefix), F.col("currency")))  # base rows look nothing up
-    ev = FX.join_meta(events, factors, m, code, "_fx_code")
+    ev = FX.join_meta(events, factors, m, code, "_fx_code", hot)
     ev = FX.asof_value(ev, factors, F.col("_fx_code"), F.col("event_date"), F.col("_fx_first"),
-                       F.col("_fx_last"), F.col("_fx_lv"), "_fx", spread_key=F.col("contract_id"))
+                       F.col("_fx_last"), F.col("_fx_lv"), "_fx", hot=hot)
     rate = F.when(F.col("currency") == base, F.lit(1.0)).otherwise(F.col("_fx"))
     keep = [c for c in ev.columns if c not in ("_fx_code", "_fx_first", "_fx_last", "_fx_lv", "_fx")]
     return ev.select(*keep, rate.alias("fx_rate"), (F.col("value") * rate).alias("value_usd"))
@@ -150,23 +179,42 @@ def load_factors(spark: SparkSession, path: str | list[str]) -> FX.FactorTables:
     return FX.FactorTables(text.read_lines(spark, path))
 
 
+#: Bytes of event rows made from a byte of contract text (about 14 events of 120 bytes
+#: from a line of 280), and the bytes a partition should hold.
+EVENT_BYTES_PER_LINE_BYTE, PARTITION_BYTES = 6, 64 << 20
+
+
+def partitions_for(spark: SparkSession, path: str | list[str]) -> int:
+    """H2: partitions for the events of the contract files at ``path``, by their size;
+    the session's parallelism at least."""
+    need = -(-text.input_bytes(spark, path) * EVENT_BYTES_PER_LINE_BYTE // PARTITION_BYTES)
+    return max(need, spark.sparkContext.defaultParallelism)
+
+
 def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
         lines: DataFrame | None = None, factors_path: str | list[str] | None = None,
         factor_lines: DataFrame | None = None, t0=None, time_spec_path: str | None = None,
         layout: str = "full", partitions: int | str | None = None, min_partitions: int | None = None,
         sink: str | None = None, output: str | None = None, view: str | None = None,
-        cache: bool = False) -> DataFrame:
+        cache: bool = False, release: bool | None = None) -> DataFrame:
     """L1-L3 in one function; returns the nested result (one row per contract).
 
     L1: ``run(spark, c, factors_path=f, time_spec_path=t, sink='text', output=o)``
     L2: ``run(spark, c, factors_path=f, time_spec_path=t, partitions=n, sink='parquet',
         output=o, view='events', cache=True)``
     L3: ``run(spark, c, layout='short', t0='2015-04-01T00', sink='text', output=o)``
+
+    ``partitions`` defaults to ``partitions_for`` the contract files.  ``release``
+    (default: with the parquet sink) removes the intermediate tables once the sink is
+    written and returns, caches and registers what was written.
     """
     from flowbook.plans import sinks
 
+    since = sinks.mark()
     if partitions is not None:  # H2: also given as text such as "32" or "32.0", truncated
         partitions = int(float(partitions))
+    elif contracts_path is not None:
+        partitions = partitions_for(spark, contracts_path)
     if lines is None:
         lines = text.read_lines(spark, contracts_path, min_partitions=min_partitions)
     if t0 is None:
@@ -175,15 +223,21 @@ def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
     if factor_lines is None and factors_path is not None:
         factor_lines = text.read_lines(spark, factors_path)
     factors = FX.FactorTables(factor_lines) if factor_lines is not None else None
-    book = parse_book(lines, layout)
-    events = book.transform(cashflow_events(t0, factors, partitions=partitions))
-    nested = assemble.nest(events)
-    if cache:
+    nested = assemble.nest(parse_book(lines, layout).transform(cashflow_events(t0, factors, partitions=partitions)))
+    release = sink == "parquet" if release is None else release and sink is not None
+    if cache and not release:
         nested = nested.persist()
+    try:
+        if sink == "text":
+            sinks.write_text(nested, output)
+        elif sink == "parquet":
+            sinks.write_parquet(nested, output)
+    finally:
+        if release:
+            sinks.release(spark, since)
+    if release:
+        nested = spark.read.schema(nested.schema).parquet(output) if sink == "parquet" else sinks.read_text(spark, output)
+        nested = nested.persist() if cache else nested
     if view:
         nested.createOrReplaceTempView(view)
-    if sink == "text":
-        sinks.write_text(nested, output)
-    elif sink == "parquet":
-        sinks.write_parquet(nested, output)
     return nested

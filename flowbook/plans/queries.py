@@ -5,11 +5,13 @@ oracle for each (``flowbook.plans.oracle``)."""
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowbook.functions import parsing as P
+from flowbook.functions import sql as SF
 from flowbook.functions.daycount import year_fraction
 from flowbook.operators import assemble as A
 from flowbook.operators import contracts as C
@@ -200,8 +202,8 @@ def q_curve_rate(spark, sf):
     b = FX.lookup_code(C.clean(book(spark, sf)), f, "rr_moc", "rr").filter(
         F.col("rr_type") == FX.TERM_STRUCTURE)
     term = F.datediff(F.col("md"), F.lit(FXT.FIXTURE_T0)).cast("double") / F.lit(365.0)
-    return b.select("contract_id", r4(term).alias("term_years"),
-                    r4(FX.curve_rate(F.col("rr_curve"), term)).alias("curve_rate"))
+    out = FX.with_curve_rate(b, f, F.col("rr_moc"), term, "curve_rate")
+    return out.select("contract_id", r4(term).alias("term_years"), r4(F.col("curve_rate")).alias("curve_rate"))
 
 
 def q_asof_rate(spark, sf):
@@ -288,7 +290,7 @@ def q_events_ids(spark, sf):
 
 
 def q_events_parquet_roundtrip(spark, sf):
-    """K2 H2 H3: nested result written as parquet to the shared folder and read back."""
+    """K2: nested result written as parquet to the shared folder and read back."""
     n = A.nest(pam(spark, sf))
     back = K.materialise(n, "events")
     flat = A.flatten(back)
@@ -303,14 +305,85 @@ def q_events_count(spark, sf):
 
 
 def q_cash_by_currency_month(spark, sf):
-    """K5: open SQL over the flattened view: cash per currency and month."""
-    A.flatten(nested(spark, sf)).createOrReplaceTempView("events_flat")
+    """K5: open SQL over a view of the flat events: cash per currency and month."""
+    present(pam(spark, sf)).createOrReplaceTempView("events_flat")
     return spark.sql("""
-        SELECT currency, substr(date, 1, 7) AS month, count(*) AS n_events,
+        SELECT currency, substr(event_date, 1, 7) AS month, count(*) AS n_events,
                floor(sum(value) * 10000 + 0.5) / CAST(10000 AS DOUBLE) AS total_value,
                floor(sum(CASE WHEN type = 'IP' THEN value ELSE CAST(0 AS DOUBLE) END) * 10000 + 0.5)
                      / CAST(10000 AS DOUBLE) AS interest
-        FROM events_flat GROUP BY currency, substr(date, 1, 7)""")
+        FROM events_flat GROUP BY currency, substr(event_date, 1, 7)""")
+
+
+def files(spark, sf, defects: bool = False) -> dict[str, str]:
+    """The fixture as text files in a new place of the shared folder."""
+    return FXT.write_files(spark, sf, f"{K.shared_dir(spark)}/flowbook-files-{uuid.uuid4().hex}", defects)
+
+
+def _flat(n: DataFrame) -> DataFrame:
+    return A.flatten(n).select("idx", "id", "date", "type", "currency", *[r4(F.col(c)).alias(c) for c in ("value", "nominal", "accrued")])
+
+
+def q_run_text(spark, sf):
+    """Contract, factor and time-spec files to a text sink; the
+    sink's lines read back, one row per event."""
+    f = files(spark, sf)
+    out = f["contracts"] + "-out"
+    PL.run(spark, f["contracts"], factors_path=f["factors"], time_spec_path=f["time"], min_partitions=16, sink="text", output=out)
+    return _flat(K.read_text(spark, out))
+
+
+def q_run_parquet(spark, sf):
+    """L2 H2 H3 K2 K3: the files to a parquet sink with the partition count as text, a
+    cached view of the result, read through SQL."""
+    f = files(spark, sf)
+    PL.run(spark, f["contracts"], factors_path=f["factors"], time_spec_path=f["time"], partitions="32.0", sink="parquet",
+           output=f["contracts"] + "-out", view="events_run", cache=True)
+    return _flat(spark.sql("SELECT * FROM events_run"))
+
+
+def q_run_short(spark, sf):
+    """Files of the short layout valued at an analysis date given as text."""
+    return _flat(PL.run(spark, files(spark, sf)["short"], layout="short", t0="1993-06-01T00"))
+
+
+def q_load_factors(spark, sf):
+    """The factor file loaded by type, one row per code."""
+    m = PL.load_factors(spark, files(spark, sf)["factors"]).meta
+    return _text(m.select("code", "rf_type", "first_date", "last_date", "last_value", F.size("curve").alias("n_tenors"), "reset_ok", "scaling_ok"))
+
+
+def q_parse_files(spark, sf):
+    """Text files with bad lines read by splits and parsed."""
+    return _terms(C.parse_contracts(TX.read_lines(spark, files(spark, sf, defects=True)["contracts"])))
+
+
+def q_time_spec_file(spark, sf):
+    """S3: the analysis date of the time-spec files, in the order of their lines."""
+    return _text(TX.analysis_date(TX.read_lines(spark, files(spark, sf)["time"])))
+
+
+def q_parse_filtered(spark, sf):
+    """Parsed terms of a filtered book; the filter does not enter the parser."""
+    return _terms(book(spark, sf, defects=True).filter("dcc = 'A/360' AND (rr_moc = 'RATE_A' OR err_pos IS NOT NULL)"))
+
+
+def q_observed_counts(spark, sf):
+    """Rejects and failed lookups counted by the valuation itself, without another scan."""
+    seen = Observation("valuation")
+    b = book(spark, sf, defects=True)
+    b.transform(PL.cashflow_events(FXT.FIXTURE_T0, factors(spark, sf), observe=seen)).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, n) for k, n in seen.get.items() if n], "metric string, n long")
+
+
+def q_sql_functions(spark, sf):
+    """Day counts and cycle dates as SQL functions over a view of the book."""
+    SF.register(spark)
+    C.clean(book(spark, sf)).createOrReplaceTempView("book")
+    return spark.sql("""
+        SELECT contract_id, fb_year_fraction(ied, md, dcc) AS yf, fb_year_fraction(ied, md, 'A/AISDA') AS yf_aisda,
+               CAST(fb_cycle_date(ied, 2, ip_cycle) AS STRING) AS second_date, fb_role_sign(role) AS sign
+        FROM book""")
 
 
 QUERIES = {
@@ -348,6 +421,15 @@ QUERIES = {
     "events_parquet_roundtrip": q_events_parquet_roundtrip,
     "events_count": q_events_count,
     "cash_by_currency_month": q_cash_by_currency_month,
+    "run_text": q_run_text,
+    "run_parquet": q_run_parquet,
+    "run_short": q_run_short,
+    "load_factors": q_load_factors,
+    "parse_files": q_parse_files,
+    "time_spec_file": q_time_spec_file,
+    "parse_filtered": q_parse_filtered,
+    "observed_counts": q_observed_counts,
+    "sql_functions": q_sql_functions,
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbook.operators.assemble import NESTED_FIELDS
@@ -14,14 +14,11 @@ def row_text(nested: DataFrame, decimals: int | None = None) -> DataFrame:
     """K1: one printable line per contract: the seven arrays as ``[a,b,..]``
     joined by ``;``, doubles in full or with ``decimals``.  Spark's text sink
     takes strings only, so arrays are rendered first."""
-    def number(x: Column) -> Column:
-        return x.cast("string") if decimals is None else F.format_string(f"%.{decimals}f", x)
-
     parts = []
     for f in NESTED_FIELDS:
         col = F.col(f)
         if f in ("value", "nominal", "accrued"):
-            col = F.transform(col, number)
+            col = col.cast("array<string>") if decimals is None else F.transform(col, lambda x: F.format_string(f"%.{decimals}f", x))
         parts.append(F.concat(F.lit("["), F.array_join(col, ",", "null"), F.lit("]")))
     return nested.select(F.concat_ws(";", *parts).alias("line"))
 
@@ -31,6 +28,15 @@ def id_text(nested: DataFrame) -> DataFrame:
     return nested.select(F.array_join("id", ",").alias("line"))
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of ``row_text`` read back to the seven arrays (ids hold no comma or semicolon)."""
+    lines = spark.read.text(path).select(F.split("value", ";").alias("p"))
+    inner = lambda i: F.substring(F.get("p", F.lit(i)), F.lit(2), F.length(F.get("p", F.lit(i))) - 2)
+    items = lambda i: F.when(inner(i) == "", F.array().cast("array<string>")).otherwise(F.split(inner(i), ","))
+    kinds = {f: "array<double>" if f in ("value", "nominal", "accrued") else "array<string>" for f in NESTED_FIELDS}
+    return lines.select(*[items(i).try_cast(kinds[f]).alias(f) for i, f in enumerate(NESTED_FIELDS)])
+
+
 def write_text(nested: DataFrame, path: str) -> None:
     row_text(nested).write.mode("errorifexists").text(path)
 
@@ -55,13 +61,34 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Places of the tables that ``materialise`` wrote, in order, and have not been released.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "events") -> DataFrame:
     """Write ``df`` as parquet under the shared folder and read it back: cuts
-    the lineage so a lost executor recomputes from the files, not the plan."""
+    the lineage so a lost executor recomputes from the files, not the plan.
+    ``release`` removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowbook-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     write_parquet(df, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A moment for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables materialised after the moment ``since`` (``mark``); what is
+    derived from them can't be computed any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _MADE[since:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _MADE[since:]
 
 
 def count_events_view(spark: SparkSession, view: str = "events") -> DataFrame:

@@ -170,3 +170,16 @@ def time_spec_lines(spark: SparkSession, orders: DataFrame) -> DataFrame:
         F.concat_ws(";", _dtext(F.to_date("o_orderdate")), F.col("o_orderpriority"), F.col("o_orderstatus")))
     first = spark.createDataFrame([(-1, TIME_SPEC_FIRST_LINE)], "line_no bigint, value string")
     return first.unionByName(orders.select(k.alias("line_no"), body.alias("value")))
+
+
+def write_files(spark: SparkSession, sf_dir: str, folder: str, defects: bool = False) -> dict[str, str]:
+    """The fixture as text files under ``folder``: contracts in both layouts, factor lines
+    and time spec, the latter two in the order of their lines over their files."""
+    orders = load_book_source(spark, sf_dir)
+    ordered = {"factors": factor_lines(spark, load(spark, sf_dir, "lineitem")), "time": time_spec_lines(spark, load(spark, sf_dir, "orders"))}
+    paths = {name: f"{folder}/{name}" for name in ("contracts", "short", *ordered)}
+    contract_lines(orders, defects=defects).select("value").write.text(paths["contracts"])
+    contract_lines(orders, layout="short").select("value").write.text(paths["short"])
+    for name, lines in ordered.items():
+        lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(paths[name])
+    return paths

@@ -30,6 +30,16 @@ def read_lines(spark: SparkSession, path: str | list[str], min_partitions: int |
     return ensure_min_partitions(lines, min_partitions) if min_partitions else lines
 
 
+def input_bytes(spark: SparkSession, path: str | list[str]) -> int:
+    """Bytes of the files at ``path`` (patterns allowed), from their file system's metadata."""
+    conf, total = spark._jsc.hadoopConfiguration(), 0
+    for p in [path] if isinstance(path, str) else path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(conf)
+        total += sum(fs.getContentSummary(x.getPath()).getLength() for x in fs.globStatus(where) or [])
+    return total
+
+
 def ensure_min_partitions(df: DataFrame, n: int | None = None) -> DataFrame:
     """H1: at least ``n`` partitions (default: the session's default parallelism).
 
