@@ -3,12 +3,11 @@
 A turn is rendered as ``<s> role [INST] text </s>``, with one space on the inner
 side of every mark.  The parser is deterministic: a turn runs to its first
 `` </s>``, its role to the first `` [INST] ``; then one escape sign is taken from
-each control string that has some in front.  Every conversation is rendered
-plainly, reparsed and compared with its source.  Where they differ, each control
-string inside its roles and texts gets one escape sign more than it had, and the
-result is reparsed and compared again; a content never holds a control string
-with a space in front then, so it comes back.  ``format_chats`` fails on a
-difference rather than hand out changed text.
+each control string that has some in front.  Every control string inside a role or
+text gets one escape sign more than it had, so a content never holds a control
+string with a space in front and comes back.  The rendered text is reparsed and
+compared with its source; ``format_chats`` fails on a difference rather than hand
+out changed text.
 
 Null text and null role are empty.  Turns are ordered by turn, null first; rows of
 one conversation with equal turns are ordered by role and text; repeated rows are
@@ -69,10 +68,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chats = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     source = chats.select("conv", F.col("t.role").alias("r0"), F.col("t.text").alias("x0"))
-    plain = source.select("*", F.array_join(F.zip_with("r0", "x0", render), "").alias("plain"))
-    tried = _read(plain, "plain").select("conv", "r0", "x0", "plain", _same("plain").alias("clean"))
-    fixed = F.array_join(F.zip_with("r0", "x0", lambda r, x: render(escape(r), escape(x))), "")
-    out = tried.select("conv", "r0", "x0", (~F.col("clean")).alias("escaped"), F.when(F.col("clean"), F.col("plain")).otherwise(fixed).alias("rendered"))
+    text = F.array_join(F.zip_with("r0", "x0", lambda r, x: render(escape(r), escape(x))), "")
+    made = source.select("*", text.alias("rendered"))
+    out = made.select("*", (F.length("rendered") != F.length(F.array_join(F.zip_with("r0", "x0", render), ""))).alias("escaped"))
     error = F.raise_error(F.concat(F.lit("no exact round trip: conversation "), F.coalesce(F.col("conv").cast("string"), F.lit("null")))).cast("string")
     back = _read(out, "rendered").select("conv", "escaped", "raw", "roles", "texts", F.when(_same("rendered"), F.col("rendered")).otherwise(error).alias("rendered"))
 

@@ -226,7 +226,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable
-    over links of at least ``percent`` % similarity) and ``kept``."""
+    over links of at least ``percent`` % similarity) and ``kept``.  The bands are
+    chosen for 85 and more; a lower ``percent`` is refused rather than lose links."""
+    if percent < 85:
+        raise ValueError("the bands find links of 85 % and more only")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(own.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
     classes = stored(sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(

@@ -13,25 +13,21 @@ SELECT d.page_id, payload_bytes, d.payload_digest,
 FROM d JOIN f USING (payload_digest)
 """
 
-# The template is plain where the turns come back as they are; else control strings get a sign in front.
+# Every control string inside a role or text gets a sign in front.
 _CHAT = r"""
 WITH t AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, (role || text) SIMILAR TO '(?s).*(</?s>|\[/?INST\]|<</?SYS>>).*' AS control,
-         length(regexp_replace(role, '(␛*(?:</?s>|\[/?INST\]|<</?SYS>>))', '␛\1', 'g'))
-         + length(regexp_replace(text, '(␛*(?:</?s>|\[/?INST\]|<</?SYS>>))', '␛\1', 'g')) AS escaped_chars,
-         contains(role, ' [INST] ') OR contains(' ' || text || ' ', ' </s>') OR contains(role || '␛' || text, '␛</s>')
-         OR regexp_matches(role || ' ' || text, '␛(</?s>|\[/?INST\]|<</?SYS>>)') OR contains(role, ' </s>') AS conflict
-  FROM t),
-c AS (SELECT conv_id, bool_or(conflict) AS conflict FROM e GROUP BY conv_id)
-SELECT e.conv_id, count(*) AS n_turns,
+  SELECT *, length(regexp_replace(role, '(␛*(?:</?s>|\[/?INST\]|<</?SYS>>))', '␛\1', 'g'))
+            + length(regexp_replace(text, '(␛*(?:</?s>|\[/?INST\]|<</?SYS>>))', '␛\1', 'g')) AS chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(length(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS BIGINT) AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-       CAST(sum(17 + CASE WHEN c.conflict THEN escaped_chars ELSE length(role) + length(text) END) AS BIGINT) AS formatted_chars
-FROM e JOIN c USING (conv_id) GROUP BY e.conv_id
+       CAST(sum(17 + chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """
 
 # Dated entries to intervals, and every capture against the intervals at its time.

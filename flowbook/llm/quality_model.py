@@ -1,26 +1,30 @@
 """Quality classifier by co-training (op5).
 
-Two logistic models see two views of a document: counts of its text, and its
-metadata (language, source, length).  Both start from the labelled sample.  In
-each round, each model labels the unlabelled pool, and its most confident
-pseudo-labels of both classes go to the training set of the other.  Both are then
-calibrated on labelled rows held out from training, and their evidence is added
-to one probability by which all documents are scored.
-
-Only the fit is bounded: at most ``MAX_LABELLED`` labelled rows and ``MAX_POOL``
-others, chosen by a hash of the id.  They are numbers, and no texts, when they
-reach the driver.  Scoring covers every row and the whole of every text.
+Two logistic models see two views of a document: its text (counts, and its words and
+word pairs hashed to ``_WORDS`` places), and its metadata (language, source, length).
+Both start from the labelled sample.  In each round both models label every other
+document, and the confident pseudo-labels of each view train the other: each task
+adds up gradient and Hessian over its documents, and the driver makes a Newton step
+from the sums.  A class's pseudo-labels weigh together at most as much as its labels.
+Both are then calibrated on labelled rows held out from training, and their evidence
+is added to one probability by which all documents are scored.
+
+Texts are read once; the features of each document are numbers in a stored table.
+Only the labelled rows are bounded: at most ``MAX_LABELLED``, those of smallest hash of
+the id; labelled documents beyond them count as unlabelled.  The exchange covers all
+documents, and what reaches the driver is the sums of a fixed number of groups.
 
 Null text is empty; null metadata is a value of its own.  Labels without quality
 or document are left out, of several labels of one id the larger counts.  Without
 labels of both classes, every probability is 0.5 and all is kept.  Rows are scored
-one by one.
+one by one.  Sums are added in the order in which they come, so probabilities repeat to
+about 1e-6.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -30,12 +34,14 @@ from pyspark.sql import functions as F
 
 from flowbook.llm.quality_rules import Rules, text_stats
 from flowbook.llm.scan import BLANKS, Chunk, chunks, per_doc
+from flowbook.llm.store import stored
 
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
-ROUNDS = 4
-PER_ROUND = 500  # pseudo-labels of a class that a view hands on in a round
+ROUNDS, STEPS = 3, 3
 CONFIDENT = 0.95
+_WORDS = 128
+#: Groups in which tasks' sums are added before they reach the driver.
+_GROUPS = 8
 _SOURCES, _LANGS = 32, 16
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
@@ -54,9 +60,15 @@ def text_view(c: Chunk) -> np.ndarray:
     lines = np.maximum(1, per_doc(c.raw == 10, c.off[:-1], c.off[1:]) + 1)
     keys = np.unique(np.rec.fromarrays([w.doc, w.hash]))
     kinds = np.bincount(keys.f0, minlength=c.n) if len(keys) else np.zeros(c.n)
-    return np.stack([np.log1p(s["n_words"]), s["word_chars"] / n, s["n_symbols"] / n, s["n_dup_lines"] / lines, s["n_repeat_words"] / n, count(_UPPER) / chars,
+    shape = np.stack([np.log1p(s["n_words"]), s["word_chars"] / n, s["n_symbols"] / n, s["n_dup_lines"] / lines, s["n_repeat_words"] / n, count(_UPPER) / chars,
                      count(_DIGIT) / chars, count(_PUNCT) / chars, n / lines, kinds / n, (s["n_words"] < 20).astype(float),
                      np.log1p(s["n_symbols"]), np.log1p(s["n_dup_lines"]), np.log1p(s["n_repeat_words"])], 1)
+    at, pair = w.windows(2)
+    hashes, of = np.concatenate([w.hash, pair]), np.concatenate([w.doc, w.doc[at]])
+    sign = np.where(hashes >> np.uint64(63) == 1, 1.0, -1.0)
+    place = of * _WORDS + (hashes % np.uint64(_WORDS)).astype(np.int64)
+    words = np.bincount(place, sign, c.n * _WORDS).reshape(c.n, _WORDS)
+    return np.column_stack([shape, words / np.sqrt(n)[:, None]])
 
 
 def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -84,11 +96,14 @@ class Logistic:
     def fit(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> Logistic:
         mean, scale = x.mean(0), x.std(0)
         scale = np.where(scale > 1e-9, scale, 1.0)
-        z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
-        return Logistic(mean, scale, _newton(z, y, decay))
+        out = Logistic(mean, scale, np.zeros(x.shape[1] + 1))
+        return replace(out, weights=_newton(out.inputs(x), y, decay))
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        return self.inputs(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.raw(x) + self.shift
@@ -129,29 +144,72 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """None without both classes."""
+@dataclass
+class Sums:
+    """Of the pseudo-labelled rows of a class: number, gradient and Hessian."""
+
+    n: float
+    g: np.ndarray
+    h: np.ndarray
+
+
+def exchange(views: list[np.ndarray], free: np.ndarray, now: list[Logistic], teachers: list[Logistic]) -> list[list[Sums]]:
+    """For each view and class the sums over the rows (``free``: unlabelled) that the other view's teacher is sure of."""
+    out = []
+    for v in (0, 1):
+        p = sigmoid(teachers[1 - v].raw(views[1 - v]))
+        z = now[v].inputs(views[v])
+        q = sigmoid(z @ now[v].weights)
+        sums = []
+        for label in (0, 1):
+            at = free & ((p >= CONFIDENT) if label else (p <= 1 - CONFIDENT))
+            zz, qq = z[at], q[at]
+            sums.append(Sums(float(at.sum()), zz.T @ (qq - label), (zz * (qq * (1 - qq))[:, None]).T @ zz))
+        out.append(sums)
+    return out
+
+
+def _flat(sums: list[list[Sums]]) -> np.ndarray:
+    return np.concatenate([np.concatenate([[x.n], x.g, x.h.ravel()]) for view in sums for x in view])
+
+
+def _shaped(flat: np.ndarray, sizes: list[int]) -> list[list[Sums]]:
+    out, at = [], 0
+    for k in sizes:
+        view = []
+        for _ in range(2):
+            n, g, h = flat[at], flat[at + 1:at + 1 + k], flat[at + 1 + k:at + 1 + k + k * k]
+            view.append(Sums(float(n), g, h.reshape(k, k)))
+            at += 1 + k + k * k
+        out.append(view)
+    return out
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, over_all: Callable[[list[Logistic], list[Logistic]], list[list[Sums]]], rounds: int = ROUNDS, steps: int = STEPS,
+             decay: float = 10.0) -> Model | None:
+    """The model of labelled rows and of ``over_all``, the ``exchange`` over all other rows.  None without both classes."""
     if len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(y)) % 5 == 4 if min(np.bincount(y)) >= 10 else np.zeros(len(y), bool)
     own = ~held
-    views, pools = [text, meta], [pool_text, pool_meta]
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view got from the other
-
-    def fit(v: int) -> Logistic:
-        at = np.array(sorted(given[v]), int)
-        extra = np.array([given[v][i] for i in at.tolist()], int)
-        return Logistic.fit(np.concatenate([views[v][own], pools[v][at]]), np.concatenate([y[own], extra]))
-
-    models = [fit(0), fit(1)]
-    for _ in range(rounds if len(pool_text) else 0):
-        for v in (0, 1):
-            p = sigmoid(models[v].raw(pools[v]))
-            free = np.array([i not in given[1 - v] for i in range(len(p))])
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[:PER_ROUND]
-                given[1 - v].update((i, label) for i in best[(sure[best] >= CONFIDENT) & free[best]].tolist())
-        models = [fit(0), fit(1)]
+    views = [text, meta]
+    models = [Logistic.fit(views[v][own], y[own], decay) for v in (0, 1)]
+    z = [models[v].inputs(views[v][own]) for v in (0, 1)]
+    have = np.bincount(y[own], minlength=2)
+    for _ in range(rounds):
+        teachers = [replace(m) for m in models]
+        for _ in range(steps):
+            given = over_all(models, teachers)
+            for v in (0, 1):
+                w = models[v].weights
+                q = sigmoid(z[v] @ w)
+                keep = np.full(len(w), decay)
+                keep[-1] = 1e-3
+                g, h = z[v].T @ (q - y[own]) + keep * w, (z[v] * (q * (1 - q))[:, None]).T @ z[v] + np.diag(keep)
+                for label, x in enumerate(given[v]):
+                    weight = min(1.0, have[label] / max(1.0, x.n))
+                    g, h = g + weight * x.g, h + weight * x.h
+                models[v] = replace(models[v], weights=w - np.clip(np.linalg.solve(h, g), -5, 5))
     check = held if held.any() else own
     for v in (0, 1):
         models[v].calibrate(views[v][check], y[check])
@@ -159,7 +217,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     return Model(*models, prior=float(np.log(rate / (1 - rate))))
 
 
-_FEATURES = "doc_id long, y int, text array<double>, meta array<double>"
+_FEATURES = "doc_id long, text binary, meta binary"
 _META = ["lang", "source", "n_chars"]
 
 
@@ -168,49 +226,73 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *have)
 
 
-def _views(b: pa.RecordBatch, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    part = b.slice(c.first, c.n)
-    return text_view(c), meta_view(*[part.column(k).to_pylist() for k in _META])
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = lambda a: pa.array([x.tobytes() for x in a.astype(np.float32)], pa.binary())
     for b in batches:
         for c in chunks(b.column("text")):
-            text, meta = _views(b, c)
             part = b.slice(c.first, c.n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
-                                             names=["doc_id", "y", "text", "meta"])
+            meta = meta_view(*[part.column(k).to_pylist() for k in _META])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pack(text_view(c)), pack(meta)], names=["doc_id", "text", "meta"])
+
+
+def _matrix(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
 
 
-def _some(df: DataFrame, n: int, most: int) -> DataFrame:
-    """About ``most`` of ``n`` rows and no more than that, by a hash of the id."""
-    return df if n <= most else df.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(most)
+def _over(table: DataFrame) -> Callable[[list[Logistic], list[Logistic]], list[list[Sums]]]:
+    """``exchange`` over all rows of the features: sums of each task, then of each group of tasks."""
+    def over_all(now: list[Logistic], teachers: list[Logistic]) -> list[list[Sums]]:
+        sizes = [len(m.weights) for m in now]
+        length = sum(2 * (1 + k + k * k) for k in sizes)
 
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(length)
+            for b in batches:
+                if b.num_rows:
+                    views = [_matrix(b.column(k).to_pylist()) for k in ("text", "meta")]
+                    total += _flat(exchange(views, b.column("y").to_numpy(zero_copy_only=False) < 0, now, teachers))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | None:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(length)
+            for b in batches:
+                for x in b.column(0):
+                    total += np.frombuffer(x.as_py(), np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = table.select("y", "text", "meta").mapInArrow(own, "sums binary").repartition(_GROUPS).mapInArrow(add, "sums binary").collect()
+        return _shaped(sum((np.frombuffer(r[0], np.float64) for r in parts), np.zeros(length)), sizes)
+
+    return over_all
+
+
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored: ``doc_id, text, meta`` (32-bit numbers) and ``y``, the label of at most ``MAX_LABELLED`` ids, else -1."""
     marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
-    own = _own(docs).filter("doc_id IS NOT NULL")
-    chosen = _some(marks, marks.count(), MAX_LABELLED)
-    labelled = own.join(F.broadcast(chosen), "doc_id")  # at most MAX_LABELLED rows
-    pool = _some(own.join(marks, "doc_id", "left_anti"), max(1, own.count()), MAX_POOL).withColumn("y", F.lit(-1))
-    rows = sorted(((r[0], r[1], r[2], r[3]) for r in labelled.unionByName(pool).select("doc_id", "y", "text", *_META).mapInArrow(_features, _FEATURES).collect()), key=lambda r: r[:2])
-    text, meta, y = (np.array([r[k] for r in rows], float if k > 1 else int) for k in (2, 3, 1))
-    if not len(rows):
+    chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(MAX_LABELLED)  # the documented bound
+    numbers = _own(docs).mapInArrow(_features, _FEATURES)
+    return stored(numbers.join(F.broadcast(chosen), "doc_id", "left").withColumn("y", F.coalesce("y", F.lit(-1))), "quality")
+
+
+def train(table: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    rows = sorted(tuple(r) for r in table.filter("y >= 0").select("doc_id", "y", "text", "meta").collect())
+    if not rows:
         return None
-    known = y >= 0
-    return co_train(text[known], meta[known], y[known], text[~known], meta[~known], rounds)
+    y = np.array([r[1] for r in rows])
+    return co_train(_matrix([r[2] for r in rows]), _matrix([r[3] for r in rows]), y, _over(table), rounds)
 
 
 def score_all(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """``doc_id``, ``p_text``, ``p_meta``, ``p_quality`` and ``kept`` of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    table = features(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(train(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b.column("text")):
+            if b.num_rows:
                 model = sent.value
-                scores = model.score(*_views(b, c)) if model else (np.full(c.n, 0.5),) * 3
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.first, c.n), *map(pa.array, scores), pa.array(scores[2] >= keep_from)],
+                scores = model.score(*[_matrix(b.column(k).to_pylist()) for k in ("text", "meta")]) if model else (np.full(b.num_rows, 0.5),) * 3
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, scores), pa.array(scores[2] >= keep_from)],
                                                  names=["doc_id", "p_text", "p_meta", "p_quality", "kept"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, p_quality double, kept boolean")
+    return table.select("doc_id", "text", "meta").mapInArrow(run, "doc_id long, p_text double, p_meta double, p_quality double, kept boolean")

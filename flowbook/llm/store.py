@@ -22,9 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new place in the shared folder; with ``keep`` it is known to ``release``."""
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    if keep:
+        _MADE.append(path)
+    return path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -33,12 +36,29 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Places of the stored tables that have not been released, in order.
+_MADE: list[str] = []
+
+
+def mark() -> int:
+    """A moment for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, until: int) -> None:
+    """Removes what was stored between two moments; nothing may read it any more."""
+    for path in _MADE[since:until]:
+        dropped(spark, path)
+    del _MADE[since:until]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as parquet to the shared folder and read again: its lineage
     is cut, a lost executor re-reads files, and a second use costs a scan."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
