@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowbook.llm import decontaminate, near_dup, packing, quality_rules, secret_scan
 from flowbook.llm.queries import table, tokenizer_path
-from flowbook.llm.store import stored
+from flowbook.llm.store import mark, release, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  Once a stage is written, what it was made from goes."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, mark() - 1)
     return docs
