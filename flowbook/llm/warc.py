@@ -6,8 +6,9 @@ of smaller id) and a metadata record.  Request and metadata name the response in
 ``WARC-Concurrent-To``.  The archives are gzip files in the shared folder, written
 by Spark's text sink: a record is one row, and the sink's line separator is the
 record's last line feed.  Reading goes by ``Content-Length``, so a payload may hold
-anything; the records are joined through their concurrent-to identifiers to one
-nested row a capture.
+anything, and unzips record by record; each archive is read once, its records are
+stored and then joined through their concurrent-to identifiers to one nested row a
+capture.
 
 Null html is an empty payload.  A null or odd url stands as it is in the metadata
 record's JSON block; the target header holds it with blanks and control signs
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 
 from flowbook.llm.store import shared_dir, stored
 
-RECORDS_PER_FILE = 30_000
+#: Bounds of a file: its records, and their bytes by the mean of all pages, before they are zipped.
+RECORDS_PER_FILE, BYTES_PER_FILE = 30_000, 256 << 20
+#: Payload bytes that a task hands on at once.
+BATCH_BYTES = 16 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -80,53 +86,61 @@ def records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
-    records(pages, min_bytes).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression="gzip")
+    size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0  # one value
+    at_most = max(3, min(RECORDS_PER_FILE, int(3 * BYTES_PER_FILE / (size + 2000))))  # a page is three records of some 700 bytes beside it
+    records(pages, min_bytes).write.option("lineSep", "\n").option("maxRecordsPerFile", at_most).text(path, compression="gzip")
 
 
 _FIELDS = [("record_id", pa.string()), ("concurrent_to", pa.string()), ("type", pa.string()), ("target", pa.string()), ("refers_to", pa.string()),
-           ("stated_digest", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.string())]
+           ("stated_digest", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.string()), ("block", pa.string())]
 _SCHEMA = ("record_id string, concurrent_to string, type string, target string, refers_to string, stated_digest string, digest string, "
-           "payload_bytes long, block string")
-
-
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, in order."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        h = dict(x.split(": ", 1) for x in lines)
-        at = end + 4 + int(h["Content-Length"])
-        block = data[end + 4:at]
-        if data[at:at + 4] != b"\r\n\r\n":
+           "payload_bytes long, payload string, block string")
+
+
+def _headers(file: BinaryIO) -> dict[str, str]:
+    out = {}
+    while (line := file.readline()) not in (b"\r\n", b""):
+        name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+        out[name] = value
+    return out
+
+
+def parse(file: BinaryIO) -> Iterator[tuple]:
+    """The records of an unzipped archive, in order; one is held at a time."""
+    while version := file.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {version[:40]!r}")
+        h = _headers(file)
+        block = file.read(int(h["Content-Length"]))
+        if len(block) < int(h["Content-Length"]) or file.read(4) != b"\r\n\r\n":
             raise ValueError(f"record {h['WARC-Record-ID']} is cut off")
-        at += 4
-        digest = size = None
+        digest = size = payload = None
         if h["WARC-Type"] in ("response", "revisit"):
-            head, _, block = block.partition(b"\r\n\r\n")
+            head, _, data = block.partition(b"\r\n\r\n")
             size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
             if h["WARC-Type"] == "response":
-                digest = hashlib.sha256(block).hexdigest()
-                if len(block) != size or f"sha256:{digest}" != h["WARC-Payload-Digest"]:
+                digest = hashlib.sha256(data).hexdigest()
+                if len(data) != size or f"sha256:{digest}" != h["WARC-Payload-Digest"]:
                     raise ValueError(f"record {h['WARC-Record-ID']}: payload and digest differ")
+            payload, block = data.decode(), None
         yield (h["WARC-Record-ID"], h.get("WARC-Concurrent-To"), h["WARC-Type"], h.get("WARC-Target-URI"), h.get("WARC-Refers-To-Page"),
-               h.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, digest, size, block.decode())
+               h.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, digest, size, payload, None if block is None else block.decode())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record; files are bounded by ``RECORDS_PER_FILE``."""
+    """One row a record: ``payload`` of a response or revisit, ``block`` of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
                 rows: list[tuple] = []
-                for r in parse(gzip.decompress(content.as_py())):
+                held = 0
+                for r in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     rows.append(r)
-                    if len(rows) == 2000:
+                    held += len(r[8] or "")
+                    if len(rows) == 2000 or held > BATCH_BYTES:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
@@ -141,7 +155,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def captures(rows: DataFrame) -> DataFrame:
     """One nested row a capture: ``page_id``, ``url`` and the structs ``request``,
     ``response`` (payload in ``block``; none in a revisit) and ``metadata``."""
-    main = rows.filter(F.col("type").isin("response", "revisit")).select("record_id", F.struct(*[c for c, _ in _FIELDS if c != "concurrent_to"]).alias("response"))
+    main = rows.filter(F.col("type").isin("response", "revisit")).select("record_id", F.struct(
+        *[c for c, _ in _FIELDS if c not in ("concurrent_to", "payload", "block")], F.col("payload").alias("block")).alias("response"))
     side = lambda kind: rows.filter(F.col("type") == kind).select(
         F.col("concurrent_to").alias("record_id"), F.struct("record_id", "target", "block").alias(kind))
     page = F.from_json("metadata.block", "page_id long, url string")
@@ -154,4 +169,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes)
-    return captures(read(spark, path))
+    return captures(stored(read(spark, path), "warc-records"))
