@@ -5,8 +5,10 @@ A block list has dated entries: at ``listed_at`` an action adds or removes a key
 Consecutive entries of one (category, key) become validity intervals
 ``[valid_from, valid_to)``.  A capture has a fetch time and a few keys (its host,
 the host's parent domains, host/segment); an as-of join over (key, month) finds
-the entries that were active when it was fetched.  A month of one key holds few
-intervals, and a hot host is spread over as many join keys as months.
+the entries that were active when it was fetched.  The list's months are broadcast
+within the bounds of ``broadcast``; beyond them the join is a shuffle in which the
+frequent (key, month) pairs of the captures are measured and salted, so a host that
+holds most captures of a month is spread over many tasks.
 
 Null or odd urls have no key and match nothing.  Repeated entries count once; of
 entries of one key at one time, a removal wins.  An entry without a time, key or
@@ -18,6 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowbook.llm.store import stored
+from flowbook.operators import skew
+from flowbook.operators.broadcast import bounded
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -57,8 +63,18 @@ def active(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     begin = month(F.col("valid_from"))
     end = F.least(F.coalesce(month(F.col("valid_to")), F.lit(horizon)), F.lit(horizon))
     months = intervals(entries).filter(begin <= horizon).withColumn("m", F.explode(F.sequence(begin, F.greatest(begin, end))))
-    hits = (asked.join(months.select("category", "key", "valid_from", "valid_to", "m"), ["key", "m"])
+    small, fits = bounded(stored(months.select("category", "key", "valid_from", "valid_to", "m"), "list-months"))
+    hits = ((asked.join(small, ["key", "m"]) if fits else _salted(asked, small))
             .filter((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
             .groupBy("flowbook_row").agg(F.array_sort(F.collect_set("category")).alias("found")))
     return rows.join(hits, "flowbook_row", "left").select(
         *[rows[f"`{c}`"] for c in captures.columns], F.coalesce("found", F.array().cast("array<string>")).alias("categories"))
+
+
+def _salted(asked: DataFrame, months: DataFrame) -> DataFrame:
+    """The join on (key, m) with as many salts for a pair as its share of the captures asks for."""
+    pair = F.concat_ws(" ", "key", F.col("m").cast("string"))
+    asked = asked.filter("m IS NOT NULL").withColumn("pair", pair)
+    hot = skew.measure(asked, pair=F.col("pair"))["pair"]
+    drawn = asked.withColumn(skew.SALT, hot.draw(F.col("pair"), F.col("flowbook_row")))
+    return drawn.join(hot.repeated(months.withColumn("pair", pair), "pair").drop("pair"), ["key", "m", skew.SALT])
