@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,52 +36,82 @@ _FILTER_BITS = 22
 
 
 @dataclass
+class Grouped:
+    """Windows of one length: the hash and first word of each distinct one, by hash,
+    and its items, ``items[lo[i]:lo[i + 1]]``; ``seen`` is a filter by the low bits."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    lo: np.ndarray
+    items: np.ndarray
+    seen: np.ndarray
+
+
 class Windows:
-    """Windows of a block of items by length: sorted hashes, and for each hash the
-    word text and the items."""
-
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
-    texts: dict[int, dict[int, list[tuple[bytes, list[str]]]]] = field(default_factory=dict)
-    filters: dict[int, np.ndarray] = field(default_factory=dict)
-
-    @staticmethod
-    def of(rows: list[tuple[str, str]], window: int = WINDOW) -> Windows:
-        out = Windows()
-        for item, text in rows:
-            for c in chunks(pa.array([text], pa.large_string())):
-                w = c.words(NOT_ALNUM)
-                n = min(window, len(w.start))
-                if n:
-                    at, h = w.windows(n)
-                    for i, x in zip(at.tolist(), h.tolist(), strict=True):
-                        known = out.texts.setdefault(n, {}).setdefault(x, [])
-                        words = w.text(i, i + n)
-                        items = next((k for t, k in known if t == words), None)
-                        if items is None:
-                            known.append((words, items := []))
-                        if item not in items:
-                            items.append(item)
-        for n, known in out.texts.items():
-            h = out.hashes[n] = np.array(sorted(known), np.uint64)
-            f = out.filters[n] = np.zeros(1 << _FILTER_BITS, bool)
-            f[h & np.uint64((1 << _FILTER_BITS) - 1)] = True
-        return out
+    """Windows of a block of items, in arrays: the items' bytes and words stand once,
+    a window is a hash, a word number and its items' numbers."""
+
+    def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW):
+        self.names = [item for item, _ in rows]
+        low, start, end = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        n_bytes = n_words = 0
+        for c in chunks(pa.array([text for _, text in rows], pa.large_string())):
+            w = c.words(NOT_ALNUM)
+            for n in {window, *np.unique(w.count[(w.count > 0) & (w.count < window)]).tolist()}:
+                at, h = w.windows(n)
+                doc = w.doc[at]
+                if n < window:
+                    whole = w.count[doc] == n
+                    at, h, doc = at[whole], h[whole], doc[whole]
+                if len(at):
+                    parts.setdefault(n, []).append((h, at + n_words, (doc + c.first).astype(np.int32)))
+            low.append(w.low)
+            start.append(w.start + n_bytes)
+            end.append(w.end + n_bytes)
+            n_bytes, n_words = n_bytes + len(w.low), n_words + len(w.start)
+        self.low, self.start, self.end = np.concatenate(low), np.concatenate(start), np.concatenate(end)
+        self.by_length = {n: self._grouped(n, *map(np.concatenate, zip(*p, strict=True))) for n, p in sorted(parts.items())}
+
+    def text(self, i: int, n: int) -> bytes:
+        return b" ".join(self.low[s:e].tobytes() for s, e in zip(self.start[i:i + n], self.end[i:i + n], strict=True))
+
+    def _grouped(self, n: int, h: np.ndarray, at: np.ndarray, item: np.ndarray) -> Grouped:
+        order = np.lexsort((item, h))
+        h, at, item = h[order], at[order], item[order]
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        text_no = np.zeros(len(h), np.int32)  # among the texts of one hash
+        for k in np.flatnonzero(np.diff(edge) > 1).tolist():
+            texts: dict[bytes, int] = {}
+            for i in range(int(edge[k]), int(edge[k + 1])):
+                text_no[i] = texts.setdefault(self.text(int(at[i]), n), len(texts))
+        order = np.lexsort((item, text_no, h))
+        h, at, item, text_no = h[order], at[order], item[order], text_no[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (text_no[1:] != text_no[:-1])])
+        kept = new | np.concatenate([[True], item[1:] != item[:-1]])  # an item once a window
+        lo = np.concatenate([(np.cumsum(kept) - 1)[new], [kept.sum()]])
+        seen = np.zeros(1 << _FILTER_BITS, bool)
+        seen[h & np.uint64((1 << _FILTER_BITS) - 1)] = True
+        return Grouped(h[new], at[new], lo, item[kept], seen)
 
     def find(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
         """First word and length of each verified occurrence, and (text number, item) pairs."""
         first, length, items = [], [], set()
-        for n, hashes in self.hashes.items():
+        for n, of in self.by_length.items():
             at, h = w.windows(n)
-            maybe = np.flatnonzero(self.filters[n][h & np.uint64((1 << _FILTER_BITS) - 1)])
+            maybe = np.flatnonzero(of.seen[h & np.uint64((1 << _FILTER_BITS) - 1)])
             at, h = at[maybe], h[maybe]
-            sure = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-            for i, x in zip(at[sure].tolist(), h[sure].tolist(), strict=True):
+            begin, stop = np.searchsorted(of.hashes, h), np.searchsorted(of.hashes, h, side="right")
+            sure = begin < stop
+            for i, g, last in zip(at[sure].tolist(), begin[sure].tolist(), stop[sure].tolist(), strict=True):
                 words = w.text(i, i + n)
-                for known, of in self.texts[n][x]:
-                    if known == words:
-                        first.append(i)
-                        length.append(n)
-                        items.update((int(w.doc[i]), k) for k in of)
+                while g < last and self.text(int(of.at[g]), n) != words:
+                    g += 1
+                if g < last:
+                    first.append(i)
+                    length.append(n)
+                    doc = int(w.doc[i])
+                    items.update((doc, self.names[k]) for k in of.items[of.lo[g]:of.lo[g + 1]].tolist())
         return np.array(first, np.int64), np.array(length, np.int64), sorted(items)
 
 
@@ -116,7 +146,7 @@ def _scanner(sent, window: int, own: list[int], text_at: int, before_at: int | N
     """``before_at``: where the columns of the blocks before begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Windows.of(sent.value, window)
+        known = Windows(sent.value, window)
         for b in batches:
             for c in chunks(b.column(text_at)):
                 part = b.slice(c.first, c.n)
