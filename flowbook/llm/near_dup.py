@@ -20,7 +20,14 @@ with the components known, every pair left that lies in different components, at
 its first common band.  So a group of copies costs about its size and not its
 square, and no pair that could join two components stays untested.  Buckets are
 dealt in blocks of ``BLOCK`` members, and in the second pass in pairs of blocks;
-a hot bucket spreads over many tasks.
+a hot bucket spreads over many tasks.  A bucket that holds more than ``HOT`` classes
+in the second pass (a family of texts just under the limit, say) isn't compared
+pair by pair: its classes are dealt anew by the shingles of their prefixes.  With
+the shingles that many of these texts have put last, and t the limit, two linked
+texts share a shingle that is among the first ``n - ceil(2 t n / (1 + t)) + 1`` of
+the one with fewer shingles, its short prefix, and among the first ``n - ceil(t n)
++ 1`` of the other.  Texts meet where one of them has the shingle in its short
+prefix, so what a family has in common makes no pairs, and no link is lost.
 
 Only the banded registers of a class are shuffled to find buckets.  Whole
 sketches and texts are then read for the classes that share a bucket.  Lists of
@@ -39,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbook.llm.components import components
@@ -52,6 +59,8 @@ SURE = 4.75  # standard deviations
 FIRST = 3  # the first pass looks at one bucket in three
 BASE, RATE, TOP = 1.12, 10.0, 254
 BLOCK = 512
+HOT = 2048
+COMMON = 64  # a shingle of more texts of hot buckets than this is put last
 BROADCAST_IDS = 2_000_000  # 8 bytes each, about 100 MB as a hash table
 _rng = np.random.default_rng(20240311)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -244,12 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one sketch for each text of a member; rows that repeat count once
     sketches = stored(sketch.join(ids, "doc_id", "left_semi").filter("digest IS NOT NULL").groupBy("doc_id", "digest").agg(
         F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).select(F.col("doc_id").alias("cls"), "n", "registers"), "member-sketches")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
 
     # first pass: a spanning forest of each block
     some = members.filter(F.pmod("bucket", F.lit(FIRST)) == 0)
-    rows = some.join(sketches, "cls").select(F.xxhash64("bucket", block).alias("key"), "cls", "n", "registers",
+    rows = some.join(sketches, "cls").select(F.xxhash64("bucket", _block()).alias("key"), "cls", "n", "registers",
                                              F.lit(0).cast("long").alias("comp"), F.lit(0).alias("part"), "band")
     tested = stored(_grouped(rows, lambda regs, n, comp, part, band: _tree(regs, n, percent)), "pairs")
     links = stored(_linked(tested, texts, percent), "links")
@@ -257,10 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # second pass: buckets that hold different components
     known = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    left = known.join(mixed, "bucket").join(sketches, "cls").withColumn("block", block)
-    pair = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    rows = left.withColumn("p", F.explode(pair)).select(F.xxhash64("bucket", "p.i", "p.j").alias("key"), "cls", "n", "registers", "comp", F.col("block").alias("part"), "band")
+    left = stored(known.join(_mixed(known), "bucket"), "mixed")
+    rows = _block_pairs(left.filter(F.col("size") <= HOT).join(sketches, "cls"))
+    hot = left.filter(F.col("size") > HOT).select("cls", "comp").distinct()
+    if not hot.isEmpty():
+        rows = rows.union(_prefix_pairs(stored(_prefix_buckets(hot, texts, percent), "prefix-buckets").join(sketches, "cls")))
     found = _grouped(rows, lambda regs, n, comp, part, band: _cross(regs, n, comp, part, band, percent))
     more = stored(_linked(found.join(tested, ["a", "b"], "left_anti"), texts, percent), "links")
     comp = stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
@@ -273,6 +281,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _blocks() -> Column:
+    return F.ceil(F.col("size") / BLOCK).cast("int")
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("cls"), _blocks()).cast("int")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets that hold different components, of rows (bucket, comp, ..)."""
+    return members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+
+
+def _block_pairs(left: DataFrame) -> DataFrame:
+    """Each member of a bucket once for each pair of blocks that its own is part of."""
+    pair = F.transform(F.sequence(F.lit(0), _blocks() - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    return left.withColumn("block", _block()).withColumn("p", F.explode(pair)).select(
+        F.xxhash64("bucket", "p.i", "p.j").alias("key"), "cls", "n", "registers", "comp", F.col("block").alias("part"), "band")
+
+
+def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in chunks(b.column("text")):
+            part = b.slice(c.first, c.n)
+            sets = shingles(c)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("cls"), part.column("comp"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([mix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["cls", "comp", "digest", "n", "shingles"])
+
+
+def _prefix_buckets(hot: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(bucket, cls, comp, short, shorts, size): the classes ``hot`` (cls, comp) by the
+    shingles of their prefixes, where such a shingle stands in different components
+    and in a ``short`` prefix (of ``shorts`` members).  Any one order of all shingles is
+    exact; common ones come last here.  Shingles are counted from partial counts, and
+    a text's own are all that is sorted together."""
+    own = stored(texts.join(hot, "cls").select("cls", "comp", "text").mapInArrow(_shingle_lists, "cls long, comp long, digest binary, n long, shingles array<long>"), "hot-shingles")
+    each = own.select("cls", "comp", "digest", "n", F.explode("shingles").alias("bucket")).distinct()
+    common = _ids(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > COMMON).select("bucket")).withColumn("common", F.lit(1))
+    place = F.row_number().over(Window.partitionBy("cls", "digest").orderBy(F.coalesce("common", F.lit(0)), "bucket"))
+    upto = lambda times, of: F.col("n") - F.expr(f"(n * {times} + {of - 1}) div {of}") + 1
+    prefixes = stored(each.join(common, "bucket", "left").withColumn("place", place).filter(F.col("place") <= upto(percent, 100)).groupBy("bucket", "cls").agg(
+        F.first("comp").alias("comp"), F.max(F.col("place") <= upto(2 * percent, 100 + percent)).alias("short")), "prefixes")
+    met = prefixes.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("short").alias("shorts"), F.count(F.lit(1)).alias("size"))
+    return prefixes.join(met.filter("lo < hi AND shorts > 0").select("bucket", "shorts", "size"), "bucket")
+
+
+def _prefix_pairs(met: DataFrame) -> DataFrame:
+    """Members with a bucket's shingle in their short prefix (part 0) against all (part 1), in pairs of blocks."""
+    shorts = F.ceil(F.col("shorts") / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    until = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = lambda part: [F.xxhash64("bucket", "i", "j").alias("key"), "cls", "n", "registers", "comp", F.lit(part).alias("part"), F.lit(0).alias("band")]
+    return met.filter("short").withColumn("i", deal(shorts)).withColumn("j", until(_blocks())).select(*columns(0)).union(
+        met.withColumn("i", until(shorts)).withColumn("j", _block()).select(*columns(1)))
+
+
 def _bands(regs: Column) -> Column:
     """A key for each band's number and registers."""
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(regs, k * BAND + 1, F.lit(BAND))))
