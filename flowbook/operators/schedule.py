@@ -20,7 +20,8 @@ then one ``add_months`` check in the end month), so the stub rule, the first
 reset after t0 and the event count are integer columns.  One ``explode`` over
 ``0 .. count-1`` then gives each event row its index, and the date, type and
 observation date follow from the index with ``add_months`` / ``CASE``: all
-code-generated, one generate per contract.
+code-generated, one generate per contract.  The projections are steps of their own
+(``functions.steps``), so the code of each is short enough to be compiled.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from flowbook.functions import parsing as P
 from flowbook.functions.dates import shift
+from flowbook.functions.steps import but, own_step
 
 # Fixed values [D]: event type rank within one date.
 EVENT_RANK = {"IED": 10, "IP": 20, "RRF": 30, "RR": 40, "PRD": 50, "TD": 60, "MD": 70}
@@ -103,14 +105,14 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
     parsed = contracts.select("*", P.cycle_parts(c("ip_cycle")).alias("_ip"), P.cycle_parts(c("rr_cycle")).alias("_rr"),
                               P.period_parts(c("rr_fixing")).alias("_fx"))
     s1 = parsed.select(
-        *contracts.columns,
+        *but(contracts.columns, "md"), own_step("md"),
         P.n_of(c("_ip")).alias("_ip_n"), P.unit_of(c("_ip")).alias("_ip_u"), P.is_long(c("_ip")).alias("_ip_long"),
         P.n_of(c("_rr")).alias("_rr_n"), P.unit_of(c("_rr")).alias("_rr_u"), P.is_long(c("_rr")).alias("_rr_long"),
         (c("rr_anchor").isNotNull() | c("rr_cycle").isNotNull()).alias("_has_rr"),
         F.date_add(c("td"), 1).alias("_td_next"),
         P.n_of(c("_fx")).alias("_fx_n"), P.unit_of(c("_fx")).alias("_fx_u"))
     s2 = s1.select(
-        "*",
+        *but(s1.columns, "md"), own_step("md"),
         *_steps(c("_ip_n"), c("_ip_u"), "_ip"), *_steps(c("_rr_n"), c("_rr_u"), "_rr"),
         *_steps(c("_fx_n"), c("_fx_u"), "_fx"),
         F.when(c("ip_cycle").isNull(), c("ip_anchor")).otherwise(
@@ -120,7 +122,7 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
     ip = (c("_ip_start"), c("_ip_n"), c("_ip_u"))
     rr = (c("_rr_start"), c("_rr_n"), c("_rr_u"))
     s3 = s2.select(
-        "*",
+        *but(s2.columns, "md"), own_step("md"),
         count_before(ip[0], c("md"), ip[1], ip[2]).alias("_ip_gen"),
         F.when(c("_has_rr"), count_before(rr[0], c("md"), rr[1], rr[2])).otherwise(F.lit(0)).alias("_rr_gen"),
         F.when(c("_has_rr"), count_before(rr[0], F.date_add(t0, 1), rr[1], rr[2]))
@@ -128,14 +130,14 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
         count_before(ip[0], c("_td_next"), ip[1], ip[2]).alias("_ip_td"),
         F.when(c("_has_rr"), count_before(rr[0], c("_td_next"), rr[1], rr[2])).otherwise(F.lit(0)).alias("_rr_td"))
     s4 = s3.select(
-        "*",
+        *but(s3.columns, "md"), own_step("md"),
         _stub_count(c("_ip_gen"), ip[0], c("md"), ip[1], ip[2], c("_ip_long"), c("ip_cycle")).alias("_n_ip"),
         _stub_count(c("_rr_gen"), rr[0], c("md"), rr[1], rr[2], c("_rr_long"), c("rr_cycle")).alias("_n_rr"))
     no_td = c("td").isNull()
     flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     cap = lambda n, at_td: F.when(no_td, n).otherwise(F.least(n, at_td))
     s5 = s4.select(
-        "*",
+        *but(s4.columns, "md"), own_step("md"),
         F.least(c("_rr_past"), c("_n_rr")).alias("_k0"),
         flag(no_td | (c("ied") <= c("td"))).alias("_c_ied"),
         cap(c("_n_ip"), c("_ip_td")).alias("_c_ip"),
@@ -145,7 +147,7 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
         flag(no_td | (c("md") < c("td"))).alias("_c_md"))
     s6 = s5.select("*", F.greatest(cap(c("_n_rr"), c("_rr_td")) - c("_k0"), F.lit(0)).alias("_c_rr"))
     return s6.select(
-        "*",
+        *but(s6.columns, "md"), own_step("md"),
         c("_c_ied").alias("_o_ip"),
         (c("_c_ied") + c("_c_ip")).alias("_o_ipmd"),
         (c("_c_ied") + c("_c_ip") + c("_c_ipmd")).alias("_o_rr"),
@@ -174,14 +176,14 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     seg = (F.when(i.isNull(), F.lit(None)).when(i < c("_o_ip"), F.lit("IED")).when(i < c("_o_ipmd"), F.lit("IP"))
            .when(i < c("_o_rr"), F.lit("IPMD")).when(i < c("_o_prd"), F.lit("RR"))
            .when(i < c("_o_td"), F.lit("PRD")).when(i < c("_o_md"), F.lit("TD")).otherwise(F.lit("MD")))
-    s1 = idx.select(*cols, "_i", "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
+    s1 = idx.select(*cols, own_step("_i"), "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
                     "_fx_sm", "_fx_sd", "_n_rr", "_k0", "_o_ip", "_o_rr", "_c_ip", "_c_ipmd", seg.alias("_seg"),
                     (c("_k0") + (i - c("_o_rr"))).alias("_k_rr"))
     sg, k_rr = c("_seg"), c("_k_rr")
     rr_date = cycle_date(c("_rr_start"), k_rr, c("_rr_sm"), c("_rr_sd"))
     is_rrf = (k_rr == c("_k0")) & c("rr_next").isNotNull()
     s2 = s1.select(
-        "*",
+        *but(s1.columns, "_i"), own_step("_i"),
         (F.when(i.isNull(), F.lit(None)).when(sg == "IED", c("ied"))
          .when(sg == "IP", cycle_date(c("_ip_start"), i - c("_o_ip"), c("_ip_sm"), c("_ip_sd")))
          .when(sg == "RR", rr_date)
@@ -202,7 +204,7 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     base = F.when(c("rr_point") == "E", next_rr).otherwise(c("event_date"))
     obs = F.when(sg == "RR", cycle_date(base, F.lit(-1), c("_fx_sm"), c("_fx_sd")))
     s3 = s2.select(*cols, "event_date", rank.alias("seq"), typ.alias("type"), obs.alias("obs_date"),
-                   "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", "_i", "_o_ip")
+                   "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", own_step("_i"), "_o_ip")
     # Accrual group (X5): interest payments strictly before this event in
     # (date, rank) order -- IP cycle dates before it, and the IP at ``md``.
     d, q = c("event_date"), c("seq")
@@ -217,7 +219,7 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
            .when(seg == "IPMD", c("_c_ip"))
            .when(seg == "MD", c("_c_ip") + c("_c_ipmd"))
            .otherwise(ip_before + md_before))
-    return s4.select(*cols, "event_date", "seq", "type", "obs_date", grp.alias("_grp"))
+    return s4.select(*cols, "event_date", own_step("seq"), "type", "obs_date", grp.alias("_grp"))
 
 
 def schedule_table(contracts: DataFrame, t0: Column) -> DataFrame:

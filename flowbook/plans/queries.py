@@ -55,12 +55,17 @@ def present(events: DataFrame) -> DataFrame:
         r4(F.col("accrued")).alias("accrued"))
 
 
+def event_partitions(spark: SparkSession, sf: str, books: int = 1) -> int:
+    """H2: the session's shuffle partitions, and more for a large book (``books`` of them)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), books * FXT.book_partitions(spark, sf))
+
+
 def pam(spark: SparkSession, sf: str, t0=FXT.FIXTURE_T0, rr: bool = True, prd_td: bool = True,
         keep: tuple[str, ...] = (), f: FX.FactorTables | None = None, defects: bool = False) -> DataFrame:
     b = without_terms(book(spark, sf, defects=defects), rr=rr, prd_td=prd_td)
     if rr and f is None:
         f = factors(spark, sf)
-    return b.transform(PL.cashflow_events(t0, f if rr else None, keep=keep))
+    return b.transform(PL.cashflow_events(t0, f if rr else None, partitions=event_partitions(spark, sf), keep=keep))
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def q_nested_defects(spark, sf):
     """One row per input line, also for rejected lines (empty arrays) and
     for lines that share an id (here every line twice)."""
     b = without_terms(book(spark, sf, defects=True))
-    n = A.nest(b.union(b).transform(PL.cashflow_events(FXT.FIXTURE_T0, factors(spark, sf))))
+    n = A.nest(b.union(b).transform(PL.cashflow_events(FXT.FIXTURE_T0, factors(spark, sf), partitions=event_partitions(spark, sf, 2))))
     return n.select(F.size("id").alias("n_events"), r4(F.array_min("value")).alias("least"), r4(F.array_max("value")).alias("most"))
 
 
@@ -372,7 +377,7 @@ def q_observed_counts(spark, sf):
     """Rejects and failed lookups counted by the valuation itself, without another scan."""
     seen = Observation("valuation")
     b = book(spark, sf, defects=True)
-    b.transform(PL.cashflow_events(FXT.FIXTURE_T0, factors(spark, sf), observe=seen)).write.format("noop").mode("overwrite").save()
+    b.transform(PL.cashflow_events(FXT.FIXTURE_T0, factors(spark, sf), partitions=event_partitions(spark, sf), observe=seen)).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(k, n) for k, n in seen.get.items() if n], "metric string, n long")
 
 

@@ -13,7 +13,11 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowbook.functions.steps import own_step
+
 # Fixed values of the fixture book.
+#: Contracts in a task, at least a task for each core: with their events some 100 MB.
+CONTRACTS_PER_TASK = 1 << 16
 FIXTURE_T0 = _dt.date(1998, 1, 1)
 STATUS_DATE_TEXT = "1998-01-01T00"
 PRIORITY_CYCLE = {  # order priority -> (interest cycle text, cycle in months)
@@ -51,9 +55,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_book_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as the source of the contract book, with at least the
-    session's parallelism in partitions (H1)."""
+    session's parallelism in partitions (H1), and more for a large book."""
     from flowbook.sources.text import ensure_min_partitions
-    return ensure_min_partitions(load(spark, sf_dir, "orders"))
+    return ensure_min_partitions(load(spark, sf_dir, "orders"), book_partitions(spark, sf_dir))
+
+
+def book_partitions(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the book and its events, by its rows."""
+    rows = load(spark, sf_dir, "orders").count()
+    return max(-(-rows // CONTRACTS_PER_TASK), spark.sparkContext.defaultParallelism)
 
 
 def _dtext(d: Column) -> Column:
@@ -129,8 +139,8 @@ def contract_lines(orders: DataFrame, layout: str = "full", defects: bool = Fals
     if layout == "short":
         # 0-12 as in the full layout, 13-16 unread, 17-21 currency .. notional.
         t = t[:13] + [F.lit("x")] * 4 + [t[16], t[17], t[18], t[19], t[20]]
-    k = F.col("o_orderkey")
-    arr = F.array(*t)
+    k, arr = F.col("o_orderkey"), F.col("_t")
+    orders = orders.select(own_step("o_orderkey"), F.array(*t).alias("_t"))
     if defects:
         arr = F.when((k > 0) & (k % 991 == 0), F.slice(arr, 1, 20)).otherwise(arr)
     value = F.array_join(arr, ";")
