@@ -9,16 +9,23 @@ so every merged tree can be found again whole.
 
 In a skeleton, children without elements of their own and of one label (paragraphs,
 list items) are one node; neighbours of one label with elements of their own are one
-repeated record if at least half of the larger one matches.  Children of a node with
-over ``WIDEST`` pairs of them, and all of two trees with over ``LARGEST`` pairs of nodes,
-are aligned from left to right by label, in time in proportion to their number.
+repeated record if at least half of the larger one matches.  Trees of every size are
+aligned in the same way.  Equal subtrees are compared once, a row of the alignment is one
+numpy step, and only some rows are kept; children that all differ from each other and
+have one label still take time by the product of their numbers.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import isqrt
 
-WIDEST, LARGEST = 10_000, 4_000_000
+import numpy as np
+
+#: Scores of pairs that are remembered.
+KEPT = 1 << 20
 
 
 class Node:
@@ -45,95 +52,126 @@ class Node:
         return node
 
 
-def size(a: Node) -> int:
-    return 1 + sum(map(size, a.children))
-
-
-class Pairs(dict):
-    """Of two matched nodes' ids, the places of their children that match."""
+class Pairs:
+    """The nodes of two trees by kind (equal subtrees are of one kind), and how many nodes
+    of two kinds match.  ``KEPT`` scores are remembered, others are computed again."""
 
     def __init__(self, a: Node, b: Node):
-        super().__init__()
-        self.widest = WIDEST if size(a) * size(b) <= LARGEST else 0
-
-
-def same(a: Node, b: Node) -> bool:
-    return a.label == b.label and len(a.children) == len(b.children) and all(map(same, a.children, b.children))
+        self.kind: dict[int, int] = {}  # by a node's id
+        self.label: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self._numbers: dict[tuple, int] = {}
+        self._number(a)
+        self._number(b)
+        self.score = lru_cache(KEPT)(self._score)
+
+    def _number(self, node: Node) -> int:
+        below = tuple(map(self._number, node.children))
+        new = len(self.label)
+        kind = self.kind[id(node)] = self._numbers.setdefault((node.label, below), new)
+        if kind == new:
+            self.label.append(node.label)
+            self.below.append(below)
+            self.size.append(1 + sum(self.size[k] for k in below))
+        return kind
+
+    def _score(self, x: int, y: int) -> int:
+        if self.label[x] != self.label[y]:
+            return 0
+        if x == y:
+            return self.size[x]
+        xs, ys, head, tail = self._middle(x, y)
+        ends = sum(self.size[k] for k in (*self.below[x][:head], *self.below[x][len(self.below[x]) - tail:]))
+        row = None
+        for row in self._rows(xs, ys, self._weights(ys)):
+            pass
+        return 1 + ends + (0 if row is None else int(row[0]))
+
+    def places(self, a: Node, b: Node) -> list[tuple[int, int]]:
+        """Which children of two matched nodes match, in order."""
+        x, y = self.kind[id(a)], self.kind[id(b)]
+        if x == y:
+            return [(i, i) for i in range(len(self.below[x]))]
+        xs, ys, head, tail = self._middle(x, y)
+        n, m = len(self.below[x]), len(self.below[y])
+        return [*((i, i) for i in range(head)), *((i + head, j + head) for i, j in self._path(xs, ys)), *((n - k, m - k) for k in range(tail, 0, -1))]
+
+    def _middle(self, x: int, y: int) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+        """The children without the equal ones at either end, which match in a best alignment."""
+        xs, ys, head, tail = self.below[x], self.below[y], 0, 0
+        most = min(len(xs), len(ys))
+        while head < most and xs[head] == ys[head]:
+            head += 1
+        while tail < most - head and xs[-1 - tail] == ys[-1 - tail]:
+            tail += 1
+        return xs[head:len(xs) - tail], ys[head:len(ys) - tail], head, tail
+
+    def _weights(self, ys: tuple[int, ...]) -> Callable[[int], np.ndarray | None]:
+        """Of a kind, how much of each of ``ys`` matches; None if no label does."""
+        kinds = list(dict.fromkeys(ys))
+        at = {k: i for i, k in enumerate(kinds)}
+        spots = np.array([at[k] for k in ys], np.int64)
+        by_label: dict[str, list[int]] = {}
+        for i, k in enumerate(kinds):
+            by_label.setdefault(self.label[k], []).append(i)
+
+        @lru_cache(1 + KEPT // max(1, len(ys)))
+        def of(x: int) -> np.ndarray | None:
+            alike = by_label.get(self.label[x])
+            if not alike:
+                return None
+            w = np.zeros(len(kinds), np.int64)
+            w[alike] = [self.score(x, kinds[i]) for i in alike]
+            return w[spots]
+
+        return of
+
+    @staticmethod
+    def _rows(xs: tuple[int, ...], ys: tuple[int, ...], weights: Callable, row: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """From the last of ``xs`` on: the best sums of the children from there, and from each of ``ys`` on."""
+        row = np.zeros(len(ys) + 1, np.int64) if row is None else row
+        for x in reversed(xs if len(ys) else ()):
+            w = weights(x)
+            if w is not None:
+                best = np.maximum(row[:-1], w + row[1:])
+                row = np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+            yield row
+
+    def _path(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """A best alignment; of all rows only every so many are kept, those between are computed again."""
+        n, m, weights = len(xs), len(ys), self._weights(ys)
+        if not n or not m:
+            return []
+        step = isqrt(n) + 1
+        kept = {n: np.zeros(m + 1, np.int64)}
+        for i, row in zip(range(n - 1, -1, -1), self._rows(xs, ys, weights), strict=True):
+            if i % step == 0:
+                kept[i] = row
+        found, i, j = [], 0, 0
+        while i < n and j < m:
+            end = min(n, i - i % step + step)
+            rows = [kept[end], *self._rows(xs[i:end], ys, weights, kept[end])]
+            while i < end and j < m:
+                here, below, w = rows[end - i], rows[end - i - 1], weights(xs[i])
+                if w is not None and w[j] and here[j] == w[j] + below[j + 1]:
+                    found.append((i, j))
+                    i, j = i + 1, j + 1
+                elif here[j] == below[j]:
+                    i += 1
+                else:
+                    j += 1
+        return found
 
 
 def match(a: Node, b: Node, pairs: Pairs) -> int:
-    """How many nodes match, and in ``pairs`` which children do, by place.  Equal trees get no entry."""
-    if a.label != b.label:
-        return 0
-    if same(a, b):
-        return size(a)
-    own, score = _aligned(a.children, b.children, pairs)
-    pairs[id(a), id(b)] = own
-    return 1 + score
-
-
-def _aligned(xs: list[Node], ys: list[Node], pairs: Pairs) -> tuple[list[tuple[int, int]], int]:
-    found: list[tuple[int, int]] = []
-    score, head = 0, 0
-    n, m = len(xs), len(ys)
-    while head < min(n, m) and same(xs[head], ys[head]):  # equal trees at either end match in a best alignment
-        found.append((head, head))
-        score += size(xs[head])
-        head += 1
-    tail: list[tuple[int, int]] = []
-    while n > head and m > head and same(xs[n - 1], ys[m - 1]):
-        n, m = n - 1, m - 1
-        tail.append((n, m))
-        score += size(xs[n])
-    if n > head and m > head:
-        some, more = (_in_order if (n - head) * (m - head) > pairs.widest else _best)(xs[head:n], ys[head:m], pairs)
-        found += [(i + head, j + head) for i, j in some]
-        score += more
-    return found + tail[::-1], score
-
-
-def _best(xs: list[Node], ys: list[Node], pairs: Pairs) -> tuple[list[tuple[int, int]], int]:
-    w = [[match(x, y, pairs) for y in ys] for x in xs]
-    n, m = len(xs), len(ys)
-    best = [[0] * (m + 1) for _ in range(n + 1)]  # of the children from i and j on
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = max(below[j], row[j + 1], w[i][j] + below[j + 1] if w[i][j] else 0)
-    found, i, j = [], 0, 0
-    while i < n and j < m:
-        if w[i][j] and best[i][j] == w[i][j] + best[i + 1][j + 1]:
-            found.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return found, best[0][0]
-
-
-def _in_order(xs: list[Node], ys: list[Node], pairs: Pairs) -> tuple[list[tuple[int, int]], int]:
-    places: dict[str, list[int]] = {}
-    for i in range(len(xs) - 1, -1, -1):
-        places.setdefault(xs[i].label, []).append(i)
-    found, score, at = [], 0, 0
-    for j, y in enumerate(ys):
-        free = places.get(y.label, [])
-        while free and free[-1] < at:
-            free.pop()
-        if free:
-            at = free.pop()
-            score += match(xs[at], y, pairs)
-            found.append((at, j))
-            at += 1
-    return found, score
+    """How many nodes match."""
+    return pairs.score(pairs.kind[id(a)], pairs.kind[id(b)])
 
 
 def _absorb(a: Node, b: Node, pairs: Pairs) -> None:
     b.into = a
-    own = pairs.get((id(a), id(b)))
-    if own is None:  # equal trees
-        own = [(i, i) for i in range(len(a.children))]
+    own = pairs.places(a, b)
     children: list[Node] = []
     i = j = 0
     for p, q in [*own, (len(a.children), len(b.children))]:
@@ -147,9 +185,7 @@ def _absorb(a: Node, b: Node, pairs: Pairs) -> None:
 
 def merge(a: Node, b: Node) -> None:
     """Puts ``b`` into ``a``, whose label is the same."""
-    pairs = Pairs(a, b)
-    match(a, b, pairs)
-    _absorb(a, b, pairs)
+    _absorb(a, b, Pairs(a, b))
 
 
 def fold(nodes: list[Node]) -> None:
@@ -167,7 +203,7 @@ def fold(nodes: list[Node]) -> None:
             else:
                 if last is not None and last.label == c.label:
                     pairs = Pairs(last, c)
-                    if 2 * match(last, c, pairs) >= max(size(last), size(c)):
+                    if 2 * match(last, c, pairs) >= max(pairs.size[pairs.kind[id(n)]] for n in (last, c)):
                         _absorb(last, c, pairs)
                         continue
                 last = c
@@ -213,13 +249,12 @@ def places(root: Node, numbers: dict[int, int], skeleton: Node) -> list[int]:
     """For each node of a skeleton, in preorder, the number of the template's node that
     it matches (else its parent's).  ``numbers`` are those of ``root``'s nodes by ``id``."""
     pairs = Pairs(root, skeleton)
-    match(root, skeleton, pairs)
     out: list[int] = []
 
     def walk(a: Node | None, b: Node, above: int) -> None:
         own = above if a is None else numbers[id(a)]
         out.append(own)
-        found = {} if a is None else {j: i for i, j in pairs.get((id(a), id(b)), [(i, i) for i in range(len(a.children))])}
+        found = {} if a is None else {j: i for i, j in pairs.places(a, b)}
         for j, c in enumerate(b.children):
             walk(a.children[found[j]] if a is not None and j in found else None, c, own)
 

@@ -161,3 +161,18 @@ def test_the_result_is_the_same_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "bounded", lambda small: (small, False))
     monkeypatch.setattr(html_extract, "AT_ONCE", 2)
     assert sorted(html_extract.extract(df).collect()) == one
+
+
+def test_large_trees_are_matched_like_small_ones():
+    """Over 10,000 pairs of children, and more than 4 million pairs of nodes: the best alignment still."""
+    rng = random.Random(8)
+    a, b = (["r", *[["a", *[[rng.choice("xyz")] for _ in range(rng.randint(1, 3))]] if rng.random() < 0.5 else ["b", ["c"]] for _ in range(n)]] for n in (130, 140))
+    x, y = load(a), load(b)
+    best = textbook(a, b)
+    assert trees.match(x, y, trees.Pairs(x, y)) == best
+    both = len(trees.preorder(x)) + len(trees.preorder(y)) - best
+    trees.merge(x, y)
+    assert len(trees.preorder(x)) == both  # the places are those of the score
+    wide = [["a", ["x"]] if i % 2 else ["b", ["y"]] for i in range(3000)]
+    x, y = load(["r", *wide]), load(["r", ["a", ["z"]], *wide[:1500], ["c"], *wide[1500:], ["b", ["z"]]])
+    assert trees.match(x, y, trees.Pairs(x, y)) == 6001
