@@ -236,3 +236,25 @@ def test_resample_edges(spark, most):
     assert Counter(map(tuple, out.collect())) == plain_resample(data, ["Word1 É1 other", None], most=most)
     assert resampling.resample(df.limit(0), bench).count() == 0
     assert resampling.resample(df, bench.limit(0)).filter("rank IS NOT NULL").count() == 5
+
+
+def test_lm_tokens_take_bounded_memory():
+    """A chunk is scanned in runs of texts; its tokens are those of the texts one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from flowbook.llm import scan
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, rng.integers(0, 600))) for _ in range(4000)] + ["", None]
+    (whole,) = scan.chunks(pa.array(texts), 8 << 20)
+    scan._powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    tracemalloc.start()
+    words, count, first = pitman_yor._tokens(whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(whole.raw) + (50 << 20)
+    one = [pitman_yor._tokens(c) for c in scan.chunks(pa.array(texts), 1)]
+    assert (words == np.concatenate([w for w, *_ in one])).all() and (count == np.concatenate([n for _, n, _ in one])).all()
+    assert (first == np.cumsum(count) - count).all()
