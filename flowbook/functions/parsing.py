@@ -33,7 +33,7 @@ def java_split(text: Column, sep: str = FIELD_SEP) -> Column:
 
     Spark's ``split`` keeps them, so separators at the end are trimmed first.
     """
-    trimmed = F.rtrim(text, F.lit(sep))
+    trimmed = F.when(F.endswith(text, F.lit(sep)), F.rtrim(text, F.lit(sep))).otherwise(text)
     return F.when((trimmed == "") & (text != ""), F.array().cast("array<string>")).otherwise(F.split(trimmed, re.escape(sep)))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 def own_step(name: str) -> Column:
     """Column ``name`` as it is; the projection that selects it becomes a step of its own.
-    It should be a column that is always needed, and no key that the rows are dealt by."""
-    return F.get(F.transform(F.array(F.col(name)), lambda x: x), F.lit(0)).alias(name)
+    It should be a column that is always needed and can be NULL, and no key that the rows are
+    dealt by.  The higher-order function is run for NULL only."""
+    c = F.col(name)
+    return F.coalesce(c, F.get(F.transform(F.array(c), lambda x: x), F.lit(0))).alias(name)
 
 
 def but(columns: list[str], *names: str) -> list[str]:

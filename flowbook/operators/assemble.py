@@ -30,7 +30,8 @@ def nest(events: DataFrame) -> DataFrame:
     e = F.when(F.col("reported"), F.struct(
         F.col("event_date").alias("d"), F.col("seq").alias("seq"), F.col("contract_id").alias("id"),
         date_text(F.col("event_date")).alias("date"), *NESTED_FIELDS[2:]))
-    g = events.groupBy(*contract_key(events)).agg(F.sort_array(F.collect_list(e)).alias("ev"))
+    key = contract_key(events)
+    g = events.select(*key, e.alias("e")).groupBy(*key).agg(F.sort_array(F.collect_list("e")).alias("ev"))
     return g.select(*[F.col(f"ev.{f}").alias(f) for f in NESTED_FIELDS])
 
 

@@ -35,6 +35,10 @@ from flowbook.functions.steps import but, own_step
 
 # Fixed values [D]: event type rank within one date.
 EVENT_RANK = {"IED": 10, "IP": 20, "RRF": 30, "RR": 40, "PRD": 50, "TD": 60, "MD": 70}
+#: The interest payment at ``md`` among the segments of a contract's events.
+_IP_AT_MD = 21
+#: The rank as a column that is NULL for a rejected contract: what the type follows from.
+KIND = "_kind"
 
 
 def count_before(start: Column, end: Column, n: Column, unit: Column) -> Column:
@@ -157,8 +161,8 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
 
 
 def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
-    """One row per event (``event_date, seq, type, obs_date``, and the
-    accrual group ``_grp`` the state windows order by).
+    """One row per event (``event_date, seq, type, obs_date``, and the rank
+    ``_kind`` and accrual group ``_grp`` that the state windows order by).
 
     One generate over the event index per contract (not a union per type).
     A rejected contract (``err_pos`` set) has no events: it stays as one row
@@ -173,53 +177,57 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
         n_events = F.when(c("err_pos").isNull(), n_events).otherwise(F.lit(0))
     idx = counted.select("*", F.explode_outer(F.when(n_events > 0, F.sequence(F.lit(0), n_events - 1))).alias("_i"))
     i = c("_i")
-    seg = (F.when(i.isNull(), F.lit(None)).when(i < c("_o_ip"), F.lit("IED")).when(i < c("_o_ipmd"), F.lit("IP"))
-           .when(i < c("_o_rr"), F.lit("IPMD")).when(i < c("_o_prd"), F.lit("RR"))
-           .when(i < c("_o_td"), F.lit("PRD")).when(i < c("_o_md"), F.lit("TD")).otherwise(F.lit("MD")))
+    seg = (F.when(i.isNull(), F.lit(None)).when(i < c("_o_ip"), F.lit(EVENT_RANK["IED"])).when(i < c("_o_ipmd"), F.lit(EVENT_RANK["IP"]))
+           .when(i < c("_o_rr"), F.lit(_IP_AT_MD)).when(i < c("_o_prd"), F.lit(EVENT_RANK["RR"]))
+           .when(i < c("_o_td"), F.lit(EVENT_RANK["PRD"])).when(i < c("_o_md"), F.lit(EVENT_RANK["TD"])).otherwise(F.lit(EVENT_RANK["MD"])))
     s1 = idx.select(*cols, own_step("_i"), "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
-                    "_fx_sm", "_fx_sd", "_n_rr", "_k0", "_o_ip", "_o_rr", "_c_ip", "_c_ipmd", seg.alias("_seg"),
+                    "_fx_sm", "_fx_sd", "_n_rr", "_o_ip", "_o_rr", "_c_ip", "_c_ipmd", seg.alias("_seg"),
                     (c("_k0") + (i - c("_o_rr"))).alias("_k_rr"))
     sg, k_rr = c("_seg"), c("_k_rr")
     rr_date = cycle_date(c("_rr_start"), k_rr, c("_rr_sm"), c("_rr_sd"))
-    is_rrf = (k_rr == c("_k0")) & c("rr_next").isNotNull()
+    is_rrf = (i == c("_o_rr")) & c("rr_next").isNotNull()
     s2 = s1.select(
         *but(s1.columns, "_i"), own_step("_i"),
-        (F.when(i.isNull(), F.lit(None)).when(sg == "IED", c("ied"))
-         .when(sg == "IP", cycle_date(c("_ip_start"), i - c("_o_ip"), c("_ip_sm"), c("_ip_sd")))
-         .when(sg == "RR", rr_date)
-         .when(sg == "PRD", c("prd"))
-         .when(sg == "TD", c("td"))
-         .otherwise(c("md"))).alias("event_date"),
-        F.when(sg == "RR", is_rrf).alias("_is_rrf"))
-    rrf = c("_is_rrf")
+        (F.when(sg == EVENT_RANK["IED"], c("ied"))
+         .when(sg == EVENT_RANK["IP"], cycle_date(c("_ip_start"), i - c("_o_ip"), c("_ip_sm"), c("_ip_sd")))
+         .when(sg == EVENT_RANK["RR"], rr_date)
+         .when(sg == EVENT_RANK["PRD"], c("prd"))
+         .when(sg == EVENT_RANK["TD"], c("td"))
+         .when(sg.isNotNull(), c("md"))).alias("event_date"),
+        F.when(sg == _IP_AT_MD, F.lit(EVENT_RANK["IP"]))
+        .when((sg == EVENT_RANK["RR"]) & is_rrf, F.lit(EVENT_RANK["RRF"])).otherwise(sg).alias(KIND))
     next_rr = F.when(k_rr + 1 < c("_n_rr"), cycle_date(c("_rr_start"), k_rr + 1, c("_rr_sm"), c("_rr_sd"))) \
         .otherwise(c("md"))
-    rank = (F.when(sg == "IED", F.lit(EVENT_RANK["IED"])).when(sg.isin("IP", "IPMD"), F.lit(EVENT_RANK["IP"]))
-            .when(sg == "RR", F.when(rrf, F.lit(EVENT_RANK["RRF"])).otherwise(F.lit(EVENT_RANK["RR"])))
-            .when(sg == "PRD", F.lit(EVENT_RANK["PRD"])).when(sg == "TD", F.lit(EVENT_RANK["TD"]))
-            .otherwise(F.lit(EVENT_RANK["MD"])))
-    typ = (F.when(sg == "IPMD", F.lit("IP"))
-           .when(sg == "RR", F.when(rrf, F.lit("RRF")).otherwise(F.lit("RR")))
-           .otherwise(sg))
     base = F.when(c("rr_point") == "E", next_rr).otherwise(c("event_date"))
-    obs = F.when(sg == "RR", cycle_date(base, F.lit(-1), c("_fx_sm"), c("_fx_sd")))
-    s3 = s2.select(*cols, "event_date", rank.alias("seq"), typ.alias("type"), obs.alias("obs_date"),
-                   "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", own_step("_i"), "_o_ip")
+    obs = F.when(sg == EVENT_RANK["RR"], cycle_date(base, F.lit(-1), c("_fx_sm"), c("_fx_sd")))
     # Accrual group (X5): interest payments strictly before this event in
     # (date, rank) order -- IP cycle dates before it, and the IP at ``md``.
-    d, q = c("event_date"), c("seq")
-    s4 = s3.select("*", F.when(q > EVENT_RANK["IP"], F.date_add(d, 1)).otherwise(d).alias("_end"))
+    d, q = c("event_date"), c(KIND)
+    s3 = s2.select(*cols, "event_date", KIND, obs.alias("obs_date"), "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", own_step("_i"), "_o_ip",
+                   F.when(q > EVENT_RANK["IP"], F.date_add(d, 1)).otherwise(d).alias("_end"))
     ip_before = F.least(count_before_steps(c("_ip_start"), c("_end"), c("_ip_sm"), c("_ip_sd")), c("_c_ip"))
     md_before = F.when((c("_c_ipmd") == 1) & ((c("md") < d) | ((c("md") == d) & (q > EVENT_RANK["IP"]))),
                        F.lit(1)).otherwise(F.lit(0))
     # Interest events know their group from their index; only IED, resets,
     # PRD and TD need the date count (a CASE evaluates the taken branch only).
-    seg = c("_seg")
-    grp = (F.when(seg == "IP", c("_i") - c("_o_ip"))
-           .when(seg == "IPMD", c("_c_ip"))
-           .when(seg == "MD", c("_c_ip") + c("_c_ipmd"))
+    grp = (F.when(sg == EVENT_RANK["IP"], i - c("_o_ip"))
+           .when(sg == _IP_AT_MD, c("_c_ip"))
+           .when(sg == EVENT_RANK["MD"], c("_c_ip") + c("_c_ipmd"))
            .otherwise(ip_before + md_before))
-    return s4.select(*cols, "event_date", own_step("seq"), "type", "obs_date", grp.alias("_grp"))
+    return s3.select(*but(cols, "md"), own_step("md"), "event_date", KIND, seq_of(q).alias("seq"), type_of(q).alias("type"), "obs_date", grp.alias("_grp"))
+
+
+def seq_of(kind: Column) -> Column:
+    """The rank of an event from its kind; a rejected contract's row ranks last."""
+    return F.coalesce(kind, F.lit(EVENT_RANK["MD"]))
+
+
+def type_of(kind: Column) -> Column:
+    """The type's name; NULL for a rejected contract's row."""
+    out = F
+    for name, rank in EVENT_RANK.items():
+        out = out.when(kind == rank, F.lit(name))
+    return out
 
 
 def schedule_table(contracts: DataFrame, t0: Column) -> DataFrame:

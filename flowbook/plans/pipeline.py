@@ -115,15 +115,16 @@ def cashflow_events(t0, factors: FX.FactorTables | None = None, partitions: int
             df = spread(with_factors(contracts, factors, hot))
         if observe is not None:
             df = df.observe(observe, *[v.alias(k) for k, v in counters().items()])
+        df = state.with_amounts(df).select("*", (F.col("rr_type") == FX.REFERENCE_RATE).alias("_rr_series"), (F.col("rr_type") == FX.TERM_STRUCTURE).alias("_rr_curve"))
         ev = schedule.explode_events(df, t0c)
-        is_series_reset = (F.col("type") == "RR") & (F.col("rr_type") == FX.REFERENCE_RATE)
+        is_series_reset = (F.col(schedule.KIND) == schedule.EVENT_RANK["RR"]) & F.col("_rr_series")
         if factors is not None:
             ev = FX.asof_value(ev, factors, F.when(is_series_reset, F.col("rr_moc")), F.col("obs_date"),
                                F.col("rr_first"), F.col("rr_last"), F.col("rr_last_value"),
                                "_series_value", hot=hot["rr"])
         else:
             ev = ev.select("*", F.lit(None).cast("double").alias("_series_value"))
-        obs = (F.when(F.col("rr_type") == FX.TERM_STRUCTURE, F.col("rr_curve_rate"))
+        obs = (F.when(F.col("_rr_curve"), F.col("rr_curve_rate"))
                .when(is_series_reset, F.col("_series_value")))
         ev = ev.select("*", obs.alias("obs_value"))
         rolled = state.roll_state(ev, t0c)

@@ -67,7 +67,8 @@ def book_partitions(spark: SparkSession, sf_dir: str) -> int:
 
 
 def _dtext(d: Column) -> Column:
-    return F.date_format(d, "yyyy-MM-dd'T'HH")
+    """A DATE as ``yyyy-MM-ddTHH`` (its hour is 00)."""
+    return F.concat(d.cast("string"), F.lit("T00"))
 
 
 def _num(x: Column) -> Column:
@@ -190,6 +191,7 @@ def write_files(spark: SparkSession, sf_dir: str, folder: str, defects: bool = F
     paths = {name: f"{folder}/{name}" for name in ("contracts", "short", *ordered)}
     contract_lines(orders, defects=defects).select("value").write.text(paths["contracts"])
     contract_lines(orders, layout="short").select("value").write.text(paths["short"])
+    files = {"factors": 4, "time": max(4, book_partitions(spark, sf_dir))}
     for name, lines in ordered.items():
-        lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(paths[name])
+        lines.repartitionByRange(files[name], "line_no").sortWithinPartitions("line_no").select("value").write.text(paths[name])
     return paths
