@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbook.llm.scan import NOT_ALNUM, Chunk, Words, chunks, covered
-from flowbook.llm.store import columns, stored
+from flowbook.llm.store import columns, lean, stored
 
 WINDOW = 13
 MAX_BLOCK_WORDS = 5_000_000
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         last = k + 1 == blocks
         own = [i for i in range(n) if i != text_at or keep_text or not last]
         schema = columns(docs.select(*[F.col(f"`{docs.columns[i]}`") for i in own])) + _ADDED
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(rows), window, own, text_at, n if k else None), schema)
+        out = out.mapInArrow(lean(_scanner(spark.sparkContext.broadcast(rows), window, own, text_at, n if k else None)), schema)
         if not last:
             out = stored(out, "decontaminate")
     return out
@@ -212,7 +212,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 own[k] = pa.array(texts, own[k].type)
                 yield pa.RecordBatch.from_arrays(own, names=b.schema.names[:n])
 
-    return found.mapInArrow(cut, columns(docs)[:-2])
+    return found.mapInArrow(lean(cut), columns(docs)[:-2])
 
 
 def _without(c: Chunk, w: Words, d: int, starts: list[int], ends: list[int]) -> str:

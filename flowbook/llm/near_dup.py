@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from flowbook.llm.components import components
 from flowbook.llm.scan import BLANKS, Chunk, between, chunks, mix
-from flowbook.llm.store import shuffle_parts, stored
+from flowbook.llm.store import lean, shuffle_parts, stored
 
 SHINGLE = 5
 REGISTERS, BANDS, BAND = 600, 30, 6
@@ -209,7 +209,7 @@ def _as_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
 def _grouped(rows: DataFrame, choose) -> DataFrame:
     """Distinct candidate pairs; ``rows`` have key, cls, n, registers, comp, part, band."""
     dealt = rows.repartition(2 * shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(_pairs(choose), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(_pairs(choose)), "a long, b long").distinct()
 
 
 def _confirm(percent: int):
@@ -230,7 +230,7 @@ def _confirm(percent: int):
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     a = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 85:
         raise ValueError("the bands find links of 85 % and more only")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stored(own.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
+    sketch = stored(own.mapInArrow(lean(_sketches), "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
     classes = stored(sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("cls"), F.first(F.substring("registers", 1, BANDS * BAND)).alias("banded")), "classes")
 
@@ -318,7 +318,7 @@ def _prefix_buckets(hot: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     and in a ``short`` prefix (of ``shorts`` members).  Any one order of all shingles is
     exact; common ones come last here.  Shingles are counted from partial counts, and
     a text's own are all that is sorted together."""
-    own = stored(texts.join(hot, "cls").select("cls", "comp", "text").mapInArrow(_shingle_lists, "cls long, comp long, digest binary, n long, shingles array<long>"), "hot-shingles")
+    own = stored(texts.join(hot, "cls").select("cls", "comp", "text").mapInArrow(lean(_shingle_lists), "cls long, comp long, digest binary, n long, shingles array<long>"), "hot-shingles")
     each = own.select("cls", "comp", "digest", "n", F.explode("shingles").alias("bucket")).distinct()
     common = _ids(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > COMMON).select("bucket")).withColumn("common", F.lit(1))
     place = F.row_number().over(Window.partitionBy("cls", "digest").orderBy(F.coalesce("common", F.lit(0)), "bucket"))

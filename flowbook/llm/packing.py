@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowbook.llm.store import columns, shuffle_parts, stored
+from flowbook.llm.store import columns, lean, shuffle_parts, stored
 
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space by any definition other than space and line feed.
 _ODD = [chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 #: White space that is no single sign between two words.
 _UNEVEN = ["  ", " \n", "\n ", "\n\n\n"]
-_CACHE = 400_000
+#: Units in a generation of a worker's cache; two of them take some 40 MB.
+_CACHE = 100_000
 #: Fixed value: the split pattern of the byte-level tokenizer.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -154,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int64()))] if keep_ids else []),
                                                  names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lean(run), schema)
 
 
 Filling = tuple[tuple[int, int], ...]  # (length, times) of a sequence
@@ -309,4 +310,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
             sequence, offset = sent.value.place(length, b.column("flowbook_rank").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:n], "sequence_id", "offset"])
 
-    return ranked.select(*[F.col(f"`{c}`") for c in made.columns], "flowbook_rank").mapInArrow(run, f"{columns(made)}sequence_id long, offset long")
+    return ranked.select(*[F.col(f"`{c}`") for c in made.columns], "flowbook_rank").mapInArrow(lean(run), f"{columns(made)}sequence_id long, offset long")

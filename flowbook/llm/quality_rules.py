@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbook.llm.scan import BLANKS, Chunk, Words, between, chunks, covered, mix, per_doc, prefix, raw_prefix
-from flowbook.llm.store import columns, stored
+from flowbook.llm.store import columns, lean, stored
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
@@ -144,7 +144,7 @@ def line_holders(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["host", "line", "text_hash", "doc"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), _host(docs)).filter(
-        "doc IS NOT NULL").mapInArrow(lines, "host long, line long, text_hash long, doc long")
+        "doc IS NOT NULL").mapInArrow(lean(lines), "host long, line long, text_hash long, doc long")
 
 
 def _host(docs: DataFrame, host_col: str = "source"):
@@ -206,7 +206,7 @@ def _with(docs: DataFrame, scan, id_col: str, text_col: str, extra: str, keep_te
                 made = scan(b, c)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *[pa.array(v) for v in made.values()]], names=[*names, *made])
 
-    return own.mapInArrow(add, f"{columns(docs.select(*[F.col(f'`{c}`') for c in names]))}{extra}")
+    return own.mapInArrow(lean(add), f"{columns(docs.select(*[F.col(f'`{c}`') for c in names]))}{extra}")
 
 
 _STAT_SCHEMA = ", ".join(f"{c} long" for c in STATS)
@@ -275,4 +275,4 @@ def _joined(docs: DataFrame, lines: DataFrame, rules: Rules, id_col: str, text_c
                     hit[lo:hi] = np.isin(key[lo:hi], np.array(above[d], np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(kept) + len(made)], _cut(c, part.column("flowbook_text"), doc[hit], start[hit])], names=[*kept, *made, clean_col])
 
-    return out.mapInArrow(clean, f"{columns(out.select(*[F.col(f'`{c}`') for c in [*kept, *made]]))}`{clean_col}` string")
+    return out.mapInArrow(lean(clean), f"{columns(out.select(*[F.col(f'`{c}`') for c in [*kept, *made]]))}`{clean_col}` string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowbook.llm.store import columns
+from flowbook.llm.store import columns, lean
 
 KINDS = ["assign", "access", "hex", "entropy"]
 _DIGITS, _HEXA = frozenset("0123456789"), frozenset("0123456789abcdefABCDEF")
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, text_col: str = "text", entropy: Entropy = Entropy(),
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(own))], spans], names=[*own, "secret_spans"])
 
     return docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").alias("flowbook_text")).mapInArrow(
-        run, f"{schema}secret_spans array<struct<kind: string, start: long, end: long>>")
+        lean(run), f"{schema}secret_spans array<struct<kind: string, start: long, end: long>>")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", entropy: Entropy = Entropy()) -> DataFrame:
@@ -177,7 +177,7 @@ def redacted(docs: DataFrame, text_col: str = "text", entropy: Entropy = Entropy
                 cols[k] = pa.array([redact(t, find_spans(t, entropy)) for t in cols[k].to_pylist()], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    return docs.mapInArrow(run, columns(docs)[:-2])
+    return docs.mapInArrow(lean(run), columns(docs)[:-2])
 
 
 def sha256_of(spans: list[tuple[int, int, int]]) -> str:
