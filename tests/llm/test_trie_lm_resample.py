@@ -258,3 +258,38 @@ def test_lm_tokens_take_bounded_memory():
     one = [pitman_yor._tokens(c) for c in scan.chunks(pa.array(texts), 1)]
     assert (words == np.concatenate([w for w, *_ in one])).all() and (count == np.concatenate([n for _, n, _ in one])).all()
     assert (first == np.cumsum(count) - count).all()
+
+
+def test_lm_rare_words_have_restaurants(spark):
+    """Of 300 words none makes up 1 in 20 tokens; each has customers of its own, whose totals all its buckets get."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 300, 40)) for _ in range(50)]
+    known, buckets, model = model_of(spark, texts, bucket_tokens=300)
+    assert known.contexts == 2 and known.buckets > 5
+    follows = Counter(a for t in texts for a in t.split())  # a word's customers: what comes after it, the end too
+    every = Counter()
+    totals = {}
+    for row in buckets.collect():
+        word, context, count = pitman_yor._bucket_arrays(row.asDict())
+        rare = np.cumsum(pitman_yor.unpacked(row["rare"], row["n_rare"], np.uint64))
+        history = model.totals(row["bucket"])
+        *_, (tables, *_) = pitman_yor.replay(model, row["bucket"], word, context, count, len(history) - 1)
+        assert (context > 0).all() and len(history[-1].tables) == known.contexts + len(rare)
+        for i, h in enumerate(rare.tolist()):
+            every[h] += int(tables[context == known.contexts + i].sum())
+            totals.setdefault(h, set()).add((int(history[-1].customers[known.contexts + i]), int(history[-1].tables[known.contexts + i])))
+    assert sorted(n for x in totals.values() for n, _ in x) == sorted(follows.values()) and len(totals) == 300
+    assert {h: {(n, every[h]) for n, _ in x} for h, x in totals.items()} == totals
+
+
+def test_lm_learns_what_follows_rare_words(spark):
+    """A rare word tells the next one: its text scores better than the same words in an order never seen."""
+    pairs = [(f"left{i}", f"right{i}") for i in range(400)]
+    free = (k for k in range(10 ** 6) if zlib.crc32(str(k).encode()) % 7 != 2)
+    data = [(next(free), f"{a} {b}") for a, b in pairs for _ in range(4)]
+    held = (k for k in range(10 ** 6) if zlib.crc32(str(k).encode()) % 7 == 2)
+    known, mixed = [(next(held), " ".join(x)) for x in pairs], [(next(held), f"{a} {b}") for (a, _), (_, b) in zip(pairs, pairs[1:] + pairs[:1], strict=True)]
+    df = spark.createDataFrame(data + known + mixed, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score_all(df, contexts=20).collect()}
+    mean = lambda rows: np.mean([got[d] for d, _ in rows])
+    assert mean(known) > mean(mixed) + 1
