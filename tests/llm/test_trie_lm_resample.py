@@ -293,3 +293,17 @@ def test_lm_learns_what_follows_rare_words(spark):
     got = {r.doc_id: r.score for r in pitman_yor.score_all(df, contexts=20).collect()}
     mean = lambda rows: np.mean([got[d] for d, _ in rows])
     assert mean(known) > mean(mixed) + 1
+
+
+def test_seats_anew():
+    """Entries with other customers keep theirs and the tables of the rest."""
+    rng = np.random.default_rng(2)
+    customers = rng.integers(1, 3000, 100)
+    s = pitman_yor.Seats(customers, np.full(100, 0.7), 0.6, rng)
+    e, more = np.array([3, 50, 99]), np.array([5000, 1, 40])
+    before = np.split(s.sizes, np.cumsum(s.tables)[:-1])
+    s.reseat(e, more, np.full(3, 0.7))
+    after = np.split(s.sizes, np.cumsum(s.tables)[:-1])
+    customers[e] = more
+    assert [x.sum() for x in after] == s.customers.tolist() == customers.tolist() and (s.sizes > 0).all()
+    assert all((a == b).all() for i, (a, b) in enumerate(zip(before, after, strict=True)) if i not in e)
