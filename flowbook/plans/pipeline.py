@@ -197,7 +197,7 @@ def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
         factor_lines: DataFrame | None = None, t0=None, time_spec_path: str | None = None,
         layout: str = "full", partitions: int | str | None = None, min_partitions: int | None = None,
         sink: str | None = None, output: str | None = None, view: str | None = None,
-        cache: bool = False, release: bool | None = None) -> DataFrame:
+        cache: bool = False, release: bool | None = None, compression: str | None = None) -> DataFrame:
     """L1-L3 in one function; returns the nested result (one row per contract).
 
     L1: ``run(spark, c, factors_path=f, time_spec_path=t, sink='text', output=o)``
@@ -207,7 +207,8 @@ def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
 
     ``partitions`` defaults to ``partitions_for`` the contract files.  ``release``
     (default: with the parquet sink) removes the intermediate tables once the sink is
-    written and returns, caches and registers what was written.
+    written and returns, caches and registers what was written.  ``compression`` is of
+    the text sink's files.
     """
     from flowbook.plans import sinks
 
@@ -230,7 +231,7 @@ def run(spark: SparkSession, contracts_path: str | list[str] | None = None, *,
         nested = nested.persist()
     try:
         if sink == "text":
-            sinks.write_text(nested, output)
+            sinks.write_text(nested, output, compression)
         elif sink == "parquet":
             sinks.write_parquet(nested, output)
     finally:

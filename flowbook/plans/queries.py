@@ -320,9 +320,9 @@ def q_cash_by_currency_month(spark, sf):
         FROM events_flat GROUP BY currency, substr(event_date, 1, 7)""")
 
 
-def files(spark, sf, defects: bool = False) -> dict[str, str]:
+def files(spark, sf, defects: bool = False, names: tuple[str, ...] = FXT.FILES, compression: str = "none") -> dict[str, str]:
     """The fixture as text files in a new place of the shared folder."""
-    return FXT.write_files(spark, sf, f"{K.shared_dir(spark)}/flowbook-files-{uuid.uuid4().hex}", defects)
+    return FXT.write_files(spark, sf, f"{K.shared_dir(spark)}/flowbook-files-{uuid.uuid4().hex}", defects, names, compression)
 
 
 def _flat(n: DataFrame) -> DataFrame:
@@ -331,10 +331,11 @@ def _flat(n: DataFrame) -> DataFrame:
 
 def q_run_text(spark, sf):
     """Contract, factor and time-spec files to a text sink; the
-    sink's lines read back, one row per event."""
-    f = files(spark, sf)
+    sink's lines read back, one row per event.  All of these files are compressed: the
+    sink's text takes 7 times as much disk otherwise."""
+    f = files(spark, sf, names=("contracts", "factors", "time"), compression="gzip")
     out = f["contracts"] + "-out"
-    PL.run(spark, f["contracts"], factors_path=f["factors"], time_spec_path=f["time"], min_partitions=16, sink="text", output=out)
+    PL.run(spark, f["contracts"], factors_path=f["factors"], time_spec_path=f["time"], min_partitions=16, sink="text", output=out, compression="gzip")
     return _flat(K.read_text(spark, out))
 
 

@@ -37,8 +37,11 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*[items(i).try_cast(kinds[f]).alias(f) for i, f in enumerate(NESTED_FIELDS)])
 
 
-def write_text(nested: DataFrame, path: str) -> None:
-    row_text(nested).write.mode("errorifexists").text(path)
+def write_text(nested: DataFrame, path: str, compression: str | None = None) -> None:
+    """K1: the lines of ``row_text``, files compressed by a codec of Spark's text writer (``gzip``)
+    or by its default; readers go by the files' names.  A line repeats its id, dates and amounts."""
+    writer = row_text(nested).write.mode("errorifexists")
+    (writer.option("compression", compression) if compression else writer).text(path)
 
 
 def write_parquet(nested: DataFrame, path: str) -> None:

@@ -183,15 +183,27 @@ def time_spec_lines(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return first.unionByName(orders.select(k.alias("line_no"), body.alias("value")))
 
 
-def write_files(spark: SparkSession, sf_dir: str, folder: str, defects: bool = False) -> dict[str, str]:
+FILES = ("contracts", "short", "factors", "time")
+
+
+def write_files(spark: SparkSession, sf_dir: str, folder: str, defects: bool = False, names: tuple[str, ...] = FILES, compression: str = "none") -> dict[str, str]:
     """The fixture as text files under ``folder``: contracts in both layouts, factor lines
-    and time spec, the latter two in the order of their lines over their files."""
+    and time spec, the latter two in the order of their lines over their files.  ``names``:
+    those wanted.  A compressed file is read whole by a task, which reads as much as one wrote."""
     orders = load_book_source(spark, sf_dir)
-    ordered = {"factors": factor_lines(spark, load(spark, sf_dir, "lineitem")), "time": time_spec_lines(spark, load(spark, sf_dir, "orders"))}
-    paths = {name: f"{folder}/{name}" for name in ("contracts", "short", *ordered)}
-    contract_lines(orders, defects=defects).select("value").write.text(paths["contracts"])
-    contract_lines(orders, layout="short").select("value").write.text(paths["short"])
-    files = {"factors": 4, "time": max(4, book_partitions(spark, sf_dir))}
-    for name, lines in ordered.items():
-        lines.repartitionByRange(files[name], "line_no").sortWithinPartitions("line_no").select("value").write.text(paths[name])
+    paths = {name: f"{folder}/{name}" for name in names}
+    write = lambda lines, name: lines.select("value").write.option("compression", compression).text(paths[name])
+    if "contracts" in names:
+        write(contract_lines(orders, defects=defects), "contracts")
+    if "short" in names:
+        write(contract_lines(orders, layout="short"), "short")
+    if "factors" in names:
+        write(in_order(factor_lines(spark, load(spark, sf_dir, "lineitem")), 4), "factors")
+    if "time" in names:
+        write(in_order(time_spec_lines(spark, load(spark, sf_dir, "orders")), max(4, book_partitions(spark, sf_dir))), "time")
     return paths
+
+
+def in_order(lines: DataFrame, files: int) -> DataFrame:
+    """Lines in their order over ``files`` partitions."""
+    return lines.repartitionByRange(files, "line_no").sortWithinPartitions("line_no")
