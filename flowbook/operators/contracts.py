@@ -126,7 +126,7 @@ def parse_contracts(lines: DataFrame, layout: str = "full", value_col: str = "va
     vals, oks = [], []
     for pos, name, kind in spec:
         value, ok = _term(F.col(f"_r{pos}"), kind, name in REQUIRED)
-        vals.append((own_step(f"_r{pos}") if name == "contract_id" else value).alias(f"_v{pos}"))
+        vals.append((own_step(f"_r{pos}", "string") if name == "contract_id" else value).alias(f"_v{pos}"))
         oks.append(F.when(~ok, F.lit(pos)))
     err_pos = F.least(*oks) if len(oks) > 1 else oks[0]
     staged = raw.select(*keep, "_tok", *vals, err_pos.alias("err_pos"))

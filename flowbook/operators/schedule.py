@@ -109,14 +109,14 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
     parsed = contracts.select("*", P.cycle_parts(c("ip_cycle")).alias("_ip"), P.cycle_parts(c("rr_cycle")).alias("_rr"),
                               P.period_parts(c("rr_fixing")).alias("_fx"))
     s1 = parsed.select(
-        *but(contracts.columns, "md"), own_step("md"),
+        *but(contracts.columns, "md"), own_step("md", "date"),
         P.n_of(c("_ip")).alias("_ip_n"), P.unit_of(c("_ip")).alias("_ip_u"), P.is_long(c("_ip")).alias("_ip_long"),
         P.n_of(c("_rr")).alias("_rr_n"), P.unit_of(c("_rr")).alias("_rr_u"), P.is_long(c("_rr")).alias("_rr_long"),
         (c("rr_anchor").isNotNull() | c("rr_cycle").isNotNull()).alias("_has_rr"),
         F.date_add(c("td"), 1).alias("_td_next"),
         P.n_of(c("_fx")).alias("_fx_n"), P.unit_of(c("_fx")).alias("_fx_u"))
     s2 = s1.select(
-        *but(s1.columns, "md"), own_step("md"),
+        *but(s1.columns, "md"), own_step("md", "date"),
         *_steps(c("_ip_n"), c("_ip_u"), "_ip"), *_steps(c("_rr_n"), c("_rr_u"), "_rr"),
         *_steps(c("_fx_n"), c("_fx_u"), "_fx"),
         F.when(c("ip_cycle").isNull(), c("ip_anchor")).otherwise(
@@ -126,7 +126,7 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
     ip = (c("_ip_start"), c("_ip_n"), c("_ip_u"))
     rr = (c("_rr_start"), c("_rr_n"), c("_rr_u"))
     s3 = s2.select(
-        *but(s2.columns, "md"), own_step("md"),
+        *but(s2.columns, "md"), own_step("md", "date"),
         count_before(ip[0], c("md"), ip[1], ip[2]).alias("_ip_gen"),
         F.when(c("_has_rr"), count_before(rr[0], c("md"), rr[1], rr[2])).otherwise(F.lit(0)).alias("_rr_gen"),
         F.when(c("_has_rr"), count_before(rr[0], F.date_add(t0, 1), rr[1], rr[2]))
@@ -134,14 +134,14 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
         count_before(ip[0], c("_td_next"), ip[1], ip[2]).alias("_ip_td"),
         F.when(c("_has_rr"), count_before(rr[0], c("_td_next"), rr[1], rr[2])).otherwise(F.lit(0)).alias("_rr_td"))
     s4 = s3.select(
-        *but(s3.columns, "md"), own_step("md"),
+        *but(s3.columns, "md"), own_step("md", "date"),
         _stub_count(c("_ip_gen"), ip[0], c("md"), ip[1], ip[2], c("_ip_long"), c("ip_cycle")).alias("_n_ip"),
         _stub_count(c("_rr_gen"), rr[0], c("md"), rr[1], rr[2], c("_rr_long"), c("rr_cycle")).alias("_n_rr"))
     no_td = c("td").isNull()
     flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     cap = lambda n, at_td: F.when(no_td, n).otherwise(F.least(n, at_td))
     s5 = s4.select(
-        *but(s4.columns, "md"), own_step("md"),
+        *but(s4.columns, "md"), own_step("md", "date"),
         F.least(c("_rr_past"), c("_n_rr")).alias("_k0"),
         flag(no_td | (c("ied") <= c("td"))).alias("_c_ied"),
         cap(c("_n_ip"), c("_ip_td")).alias("_c_ip"),
@@ -151,7 +151,7 @@ def with_schedule_counts(contracts: DataFrame, t0: Column) -> DataFrame:
         flag(no_td | (c("md") < c("td"))).alias("_c_md"))
     s6 = s5.select("*", F.greatest(cap(c("_n_rr"), c("_rr_td")) - c("_k0"), F.lit(0)).alias("_c_rr"))
     return s6.select(
-        *but(s6.columns, "md"), own_step("md"),
+        *but(s6.columns, "md"), own_step("md", "date"),
         c("_c_ied").alias("_o_ip"),
         (c("_c_ied") + c("_c_ip")).alias("_o_ipmd"),
         (c("_c_ied") + c("_c_ip") + c("_c_ipmd")).alias("_o_rr"),
@@ -180,14 +180,14 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     seg = (F.when(i.isNull(), F.lit(None)).when(i < c("_o_ip"), F.lit(EVENT_RANK["IED"])).when(i < c("_o_ipmd"), F.lit(EVENT_RANK["IP"]))
            .when(i < c("_o_rr"), F.lit(_IP_AT_MD)).when(i < c("_o_prd"), F.lit(EVENT_RANK["RR"]))
            .when(i < c("_o_td"), F.lit(EVENT_RANK["PRD"])).when(i < c("_o_md"), F.lit(EVENT_RANK["TD"])).otherwise(F.lit(EVENT_RANK["MD"])))
-    s1 = idx.select(*cols, own_step("_i"), "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
+    s1 = idx.select(*cols, own_step("_i", "int"), "_ip_start", "_ip_sm", "_ip_sd", "_rr_start", "_rr_sm", "_rr_sd",
                     "_fx_sm", "_fx_sd", "_n_rr", "_o_ip", "_o_rr", "_c_ip", "_c_ipmd", seg.alias("_seg"),
                     (c("_k0") + (i - c("_o_rr"))).alias("_k_rr"))
     sg, k_rr = c("_seg"), c("_k_rr")
     rr_date = cycle_date(c("_rr_start"), k_rr, c("_rr_sm"), c("_rr_sd"))
     is_rrf = (i == c("_o_rr")) & c("rr_next").isNotNull()
     s2 = s1.select(
-        *but(s1.columns, "_i"), own_step("_i"),
+        *but(s1.columns, "_i"), own_step("_i", "int"),
         (F.when(sg == EVENT_RANK["IED"], c("ied"))
          .when(sg == EVENT_RANK["IP"], cycle_date(c("_ip_start"), i - c("_o_ip"), c("_ip_sm"), c("_ip_sd")))
          .when(sg == EVENT_RANK["RR"], rr_date)
@@ -203,7 +203,7 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
     # Accrual group (X5): interest payments strictly before this event in
     # (date, rank) order -- IP cycle dates before it, and the IP at ``md``.
     d, q = c("event_date"), c(KIND)
-    s3 = s2.select(*cols, "event_date", KIND, obs.alias("obs_date"), "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", own_step("_i"), "_o_ip",
+    s3 = s2.select(*cols, "event_date", KIND, obs.alias("obs_date"), "_ip_start", "_ip_sm", "_ip_sd", "_c_ip", "_c_ipmd", "_seg", own_step("_i", "int"), "_o_ip",
                    F.when(q > EVENT_RANK["IP"], F.date_add(d, 1)).otherwise(d).alias("_end"))
     ip_before = F.least(count_before_steps(c("_ip_start"), c("_end"), c("_ip_sm"), c("_ip_sd")), c("_c_ip"))
     md_before = F.when((c("_c_ipmd") == 1) & ((c("md") < d) | ((c("md") == d) & (q > EVENT_RANK["IP"]))),
@@ -214,7 +214,7 @@ def explode_events(contracts: DataFrame, t0: Column) -> DataFrame:
            .when(sg == _IP_AT_MD, c("_c_ip"))
            .when(sg == EVENT_RANK["MD"], c("_c_ip") + c("_c_ipmd"))
            .otherwise(ip_before + md_before))
-    return s3.select(*but(cols, "md"), own_step("md"), "event_date", KIND, seq_of(q).alias("seq"), type_of(q).alias("type"), "obs_date", grp.alias("_grp"))
+    return s3.select(*but(cols, "md"), own_step("md", "date"), "event_date", KIND, seq_of(q).alias("seq"), type_of(q).alias("type"), "obs_date", grp.alias("_grp"))
 
 
 def seq_of(kind: Column) -> Column:

@@ -141,7 +141,7 @@ def contract_lines(orders: DataFrame, layout: str = "full", defects: bool = Fals
         # 0-12 as in the full layout, 13-16 unread, 17-21 currency .. notional.
         t = t[:13] + [F.lit("x")] * 4 + [t[16], t[17], t[18], t[19], t[20]]
     k, arr = F.col("o_orderkey"), F.col("_t")
-    orders = orders.select(own_step("o_orderkey"), F.array(*t).alias("_t"))
+    orders = orders.select(own_step("o_orderkey", orders.schema["o_orderkey"].dataType.simpleString()), F.array(*t).alias("_t"))
     if defects:
         arr = F.when((k > 0) & (k % 991 == 0), F.slice(arr, 1, 20)).otherwise(arr)
     value = F.array_join(arr, ";")
